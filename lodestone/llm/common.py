@@ -235,11 +235,11 @@ def arrow_schema(ddl_frame) -> pa.Schema:
     return to_arrow_schema(ddl_frame)
 
 
-def pieces(batches, most: int = 4 << 20):
-    """Record batches cut so that none holds much over `most` bytes of text (column `text`)."""
+def pieces(batches, most: int = 4 << 20, column: str = "text"):
+    """Record batches cut so that none holds much over `most` bytes of text, but for one long text."""
     for b in batches:
         if b.num_rows == 0:
             continue
-        _, off = raw(b.column("text"))
+        _, off = raw(b.column(column))
         for i, j in slices(off, most):
             yield b.slice(i, j - i)
