@@ -23,9 +23,19 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, ~held_out("doc_id", 5, 0))
+    flagged = docs.select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
+    return predict(flagged, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op5_bpe": op5_bpe,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
