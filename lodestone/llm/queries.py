@@ -32,10 +32,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(flagged, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out
+    from .quality import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 4, 2).alias("held_out"))
+    fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)), F.lit(2))
+    out = score(docs, table(spark, sf_dir, "labels"), ~F.col("held_out"), fold, keep=["doc_id", "held_out"])
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op5_bpe": op5_bpe,
     "op9_language_id": op9_language_id,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
