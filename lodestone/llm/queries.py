@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_duplicates
+
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return near_duplicates(emb).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, word_count
 
@@ -43,6 +50,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op5_bpe": op5_bpe,
     "op9_language_id": op9_language_id,
