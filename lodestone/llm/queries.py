@@ -15,6 +15,12 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(emb).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, word_count
 
@@ -51,6 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_nearest": op2_nearest,
     "op3_mix_sources": op3_mix_sources,
     "op5_bpe": op5_bpe,
     "op9_language_id": op9_language_id,
