@@ -50,6 +50,14 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
+def packed(ids: list[int]) -> bytes:
+    """Little-endian u32."""
+    return _PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Vocabulary:
     """Merge ranks over ids, the bytes of each id and the added tokens."""
 
@@ -66,10 +74,13 @@ class Vocabulary:
         self.single = [0] * 256
         for c, b in letters.items():
             self.single[b] = ids[c]
-        self.merged: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, m in enumerate(spec["model"]["merges"]):
+        self.rank: dict[tuple[int, int], int] = {}
+        self.result: list[int] = []  # by rank
+        for n, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.merged.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+            self.rank.setdefault((ids[a], ids[b]), n)
+            self.result.append(ids[a + b])
+        self.NONE = len(self.result)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: again and again the pair of least rank, the leftmost first."""
@@ -77,40 +88,39 @@ class Vocabulary:
         return self._short(ids) if len(ids) <= 48 else self._long(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
-        pairs = self.merged
-        none = (1 << 60, 0)
-        found = [pairs.get(p, none) for p in zip(ids, ids[1:], strict=False)]
-        while found:
-            best = min(found)
-            if best is none or best[0] == none[0]:
-                break
+        rank, result, none = self.rank.get, self.result, self.NONE
+        found = [rank(p, none) for p in zip(ids, ids[1:])]  # noqa: B905
+        found.append(none)
+        while (best := min(found)) != none:
             k = found.index(best)
-            ids[k : k + 2] = [best[1]]
-            del found[k]
-            if k < len(found):
-                found[k] = pairs.get((ids[k], ids[k + 1]), none)
+            ids[k] = new = result[best]
+            del ids[k + 1], found[k]
+            if k + 1 < len(ids):
+                found[k] = rank((new, ids[k + 1]), none)
+            else:
+                found[k] = none
             if k:
-                found[k - 1] = pairs.get((ids[k - 1], ids[k]), none)
+                found[k - 1] = rank((ids[k - 1], new), none)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
-        pairs, n = self.merged, len(ids)
+        rank, n = self.rank.get, len(ids)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := pairs.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         dead = bytearray(n)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            j = right[i]
+            r, i, a, b = heapq.heappop(heap)
+            j, new = right[i], self.result[r]
             if dead[i] or j >= n or ids[i] != a or ids[j] != b:
                 continue
             ids[i], dead[j], right[i] = new, 1, right[j]
             if right[i] < n:
                 left[right[i]] = i
-                if m := pairs.get((new, ids[right[i]])):
-                    heapq.heappush(heap, (m[0], i, new, ids[right[i]], m[1]))
-            if (k := left[i]) >= 0 and (m := pairs.get((ids[k], new))):
-                heapq.heappush(heap, (m[0], k, ids[k], new, m[1]))
+                if (r := rank((new, ids[right[i]]))) is not None:
+                    heapq.heappush(heap, (r, i, new, ids[right[i]]))
+            if (k := left[i]) >= 0 and (r := rank((ids[k], new))) is not None:
+                heapq.heappush(heap, (r, k, ids[k], new))
         return [x for i, x in enumerate(ids) if not dead[i]]
 
 
@@ -225,7 +235,7 @@ class _Words(dict):
         raw = word.encode()
         ids = self.lexicon.get(raw)
         if ids is None:
-            ids = struct.pack(f"<{len(m)}I", *m) if (m := self.vocab.merge(raw)) else b""
+            ids = packed(self.vocab.merge(raw))
         if len(raw) <= 64:
             if len(self) >= self.LIMIT:
                 self.clear()
@@ -233,24 +243,48 @@ class _Words(dict):
         return ids
 
 
+class _Runs(dict):
+    """Ids of " " + run, for runs between spaces that were met lately; a miss splits the run into words."""
+
+    LIMIT = 300_000
+
+    def __init__(self, find, words: _Words):
+        super().__init__()
+        self.find, self.words = find, words
+
+    def __missing__(self, run: str) -> bytes:
+        ids = b"".join(map(self.words.__getitem__, self.find(" " + run)))
+        if len(run) <= 64:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[run] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str, blob: bytes):
         import regex
 
         self.vocab = vocabulary(path)
         self.find = regex.compile(SPLIT).findall
+        self.runs = _runs(regex)
         self.words = _Words(self.vocab, Lexicon(blob))
+        self.spaced = _Runs(self.find, self.words)
         self.added = regex.compile("|".join(map(regex.escape, sorted(self.vocab.added, key=len, reverse=True)))) if self.vocab.added else None
 
+    def plain(self, text: str) -> bytes:
+        head, *rest = self.runs(text)
+        return b"".join(map(self.words.__getitem__, self.find(head))) + b"".join(map(self.spaced.__getitem__, rest))
+
     def __call__(self, text: str) -> bytes:
         if self.added is None or not any(t in text for t in self.vocab.added):
-            return b"".join(map(self.words.__getitem__, self.find(text)))
+            return self.plain(text)
         out, at = [], 0
         for m in self.added.finditer(text):
-            out += map(self.words.__getitem__, self.find(text[at : m.start()]))
+            out.append(self.plain(text[at : m.start()]))
             out.append(struct.pack("<I", self.vocab.added[m.group()]))
             at = m.end()
-        out += map(self.words.__getitem__, self.find(text[at:]))
+        out.append(self.plain(text[at:]))
         return b"".join(out)
 
 
@@ -266,6 +300,14 @@ def _encoder(path: str, blob: bytes) -> Encoder:
     return _ENCODERS[key]
 
 
+def _runs(regex):
+    """text -> its runs, cut before every space that something other than white space follows: a
+    word always begins at such a space, so the runs can be split into words one by one."""
+    odd = regex.compile(r" (?:\p{White_Space}|$)").search
+    cut = regex.compile(r" (?=\P{White_Space})").split
+    return lambda text: cut(text) if odd(text) else text.split(" ")
+
+
 # ---------------------------------------------------------------- over DataFrames
 def frequent_words(docs: DataFrame, share: float = 2e-6, lexicon_size: int = 65_536) -> list[str]:
     """The commonest words of all texts, at most lexicon_size of them."""
@@ -273,16 +315,32 @@ def frequent_words(docs: DataFrame, share: float = 2e-6, lexicon_size: int = 65_
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, seen, total, floor = regex.compile(SPLIT).findall, Counter(), 0, 0.0
+        find, cut = regex.compile(SPLIT).findall, _runs(regex)
+        seen, runs, total, floor = Counter(), Counter(), 0, 0.0
+
+        def fold() -> int:
+            n_words = 0
+            for run, n in runs.items():
+                for w in find(" " + run):
+                    seen[w] += n
+                    n_words += n
+            runs.clear()
+            return n_words
+
         for b in pieces(batches):
             for text in b.column("text").to_pylist():
                 if text:
-                    found = find(text)
-                    total += len(found)
-                    seen.update(found)
-            if len(seen) > 1_000_000:  # lossy counting: what lies under the share so far is let go
+                    head, *rest = cut(text)
+                    for w in find(head):
+                        seen[w] += 1
+                        total += 1
+                    runs.update(rest)
+            if len(runs) > 300_000:
+                total += fold()
+            if len(seen) > 600_000:  # lossy counting: what lies under the share so far is let go
                 floor = max(floor, share * total)
                 seen = Counter({w: n for w, n in seen.items() if n >= floor})
+        total += fold()
         kept = [(w, n) for w, n in seen.items() if n >= share * total - floor and len(w) <= 64]
         for i in range(0, len(kept), 50_000):
             part = kept[i : i + 50_000]
@@ -299,8 +357,7 @@ def build_lexicon(words: Iterable[str], path: str) -> bytes:
     for w in words:
         raw = w.encode()
         if raw:
-            m = vocab.merge(raw)
-            entries[raw] = struct.pack(f"<{len(m)}I", *m)
+            entries[raw] = packed(vocab.merge(raw))
     return compile_lexicon(entries.items())
 
 
