@@ -28,6 +28,15 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, size_col="size").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per finding."""
+    from .secrets import annotate, train
+
+    out = annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), train(), keep=["doc_id"])
+    out = out.select("doc_id", F.explode("findings").alias("f"))
+    return out.select("doc_id", F.col("f.start").alias("start"), F.col("f.stop").alias("stop"), F.col("f.score").alias("score"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import decode, encode
 
@@ -59,6 +68,7 @@ QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_nearest": op2_nearest,
     "op3_mix_sources": op3_mix_sources,
+    "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
