@@ -45,6 +45,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import held_out, predict, train
 
@@ -70,6 +76,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
+    "op7_ngram_join": op7_ngram_join,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
 }
