@@ -45,6 +45,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import annotate
+
+    return annotate(table(spark, sf_dir, "documents"), 35)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
