@@ -57,6 +57,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import annotate
+
+    return annotate(table(spark, sf_dir, "documents"), 400)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import held_out, predict, train
 
@@ -84,6 +90,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_join": op7_ngram_join,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
 }
