@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 _M = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 # --------------------------------------------------------------- tables and cut points
@@ -31,12 +32,29 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While a table of texts is written, few rows go to Python at once: a batch lies outside the
+    heap of the executor, and texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: the lineage ends there, so
     that a lost executor costs no more than the stages after it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    (df.repartition(parts, *keys) if parts else df).write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        (df.repartition(parts, *keys) if parts else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, raw, signed, slices, windows, words
+from .common import cut, drop, pieces, raw, signed, slices, windows, words
 
 NAMES = ["c", "n", "sha", "h", "pos", "lk", "rk"]
 SIDE = np.uint64(0xA5A5A5A5A5A5A5A5)
@@ -68,7 +68,7 @@ def survey(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in pieces(batches, 2 << 20):
             keys = b.column("c").to_numpy()
             new = []
             for i, x in enumerate(keys.tolist()):
@@ -176,7 +176,8 @@ def dedup(docs: DataFrame, length: int = 35, text_col: str = "text") -> DataFram
     seen = cut(survey(texts, length))
     anchors = seen.where("h is not null").select("c", "h", "pos", "lk", "rk")
     # first level
-    alive = cut(anchors.join(repeated(anchors, "h"), "h").select("c", "pos", "lk", "rk").distinct())
+    more = cut(repeated(anchors, "h"))  # a table of its own: Spark can then split the join's hot keys
+    alive = cut(anchors.join(more, "h").select("c", "pos", "lk", "rk").distinct())
     # second level, to the left and to the right
     both = alive.select(F.explode(F.array("lk", "rk")).alias("k")).where("k <> 0")
     twice = cut(repeated(both, "k"))
@@ -187,7 +188,8 @@ def dedup(docs: DataFrame, length: int = 35, text_col: str = "text") -> DataFram
     places = cut(flagged.groupBy("c").agg(F.collect_list("p").alias("ps")))  # as many as a text has places
     # full length
     found = cut(candidates(only(texts, places.select("c")), places, length))
-    hits = found.join(repeated(found, "h"), "h").select("c", "s").distinct()
+    met = cut(repeated(found, "h"))
+    hits = found.join(met, "h").select("c", "s").distinct()
     many = texts.select("c").groupBy("c").agg(F.count("*").alias("m")).where("m > 1").select("c")
     starts = cut(hits.groupBy("c").agg(F.collect_list("s").alias("ss")).join(many, "c", "left_anti"))
     gone = cut(remove(only(texts, starts.select("c")), starts, length).dropDuplicates(["c"]))
@@ -196,7 +198,7 @@ def dedup(docs: DataFrame, length: int = 35, text_col: str = "text") -> DataFram
     every = F.coalesce("all", F.lit(False)) & (F.col("n") >= length)
     kept = F.when(every, F.lit("")).otherwise(F.col("kept"))
     out = per.select("c", F.col("n").alias("n_words"), F.when(every, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), kept.alias("kept"), F.when(kept.isNull(), F.col("sha")).otherwise(F.sha2(kept.cast("binary"), 256)).alias("kept_sha256"))
-    drop(alive, twice, found)
+    drop(alive, more, twice, found, met)
     return out
 
 
