@@ -14,7 +14,8 @@ of its successor.  Only the starts of segments and what their chains lead to are
 Adjacent suffixes of the array that share `length` bytes are repeats.
 
 An anchor with very many different segments is cut into blocks; each block has its array, and
-the classes of equal windows that the blocks found are matched by key, so nothing is capped.
+the classes of equal windows that the blocks found are matched by ranges of their hashes, as many
+as there are blocks, so nothing is capped.
 
 Defined results: null text is empty; shorter texts lose nothing; equal texts are repetitions of
 each other as a whole; kept text is the remaining bytes, cut where they fall; ids may repeat or
@@ -32,11 +33,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, keys_of, mix, raw, signed, slices, workers
+from .common import cut, drop, keys_of, mix, pieces, raw, signed, slices, workers
 from .substring_dedup import only, repeated, texts_of
 
 GRAM = 64
-BLOCK = 48  # segments of one anchor in a block
+BLOCK = 2048  # different segments of one anchor in a block, about a megabyte
 ARRAY_BYTES = 512 << 10
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -103,7 +104,7 @@ def survey(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in pieces(batches, 2 << 20):
             new = []
             for i, x in enumerate(b.column("c").to_pylist()):
                 if x not in seen:
@@ -112,7 +113,7 @@ def survey(texts: DataFrame, length: int, gram: int) -> DataFrame:
             b = b.take(pa.array(new, pa.int64()))
             data, off = raw(b.column("text"))
             keys = b.column("c").to_numpy()
-            for i, j in slices(off):
+            for i, j in slices(off, 512 << 10):
                 block, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 c, m = keys[i:j], j - i
                 sha = [hashlib.sha256(block[x:y].tobytes()).hexdigest() for x, y in zip(o[:-1], o[1:], strict=True)]
@@ -219,61 +220,97 @@ def repeats(parts: list[bytes], counts: np.ndarray, length: int) -> tuple[np.nda
     return t, starts, found, klass
 
 
-OUT = ["c", "lo", "hi", "h", "open"]
+OUT = ["c", "lo", "hi", "h", "r", "data"]
+MOST_RANGES = 4096
 
 
 def match_segments(rows: DataFrame, length: int) -> DataFrame:
-    """Of rows(h, b, c, s1, n, done, large, bytes): spans (c, lo, hi) of repeated windows; for blocks of large
-    anchors also their windows (c, lo, h, open): open ones wait for another block to have the same."""
+    """Of rows(h, b, c, s1, n, done, ranges, bytes): spans (c, lo, hi) of repeated windows; for blocks of
+    large anchors (ranges > 0) also (h, r, data): the hash, text, start and openness of their windows,
+    by range r of the hash.  Open windows wait for another block to have the same."""
 
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        c, s1, n, done, large, parts = zip(*held, strict=True)
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        h, c, s1, n, done, ranges, parts = zip(*held, strict=True)
         counts = np.array(n, np.int64)
         t, starts, found, klass = repeats(list(parts), counts, length)
         part = np.repeat(np.arange(len(counts)), counts)
         lead = np.repeat(np.cumsum(counts) - counts, counts)
         pos = np.array(s1, np.int64)[part] + np.arange(len(part)) - lead
         owner = np.array(c, np.int64)[part]
-        done_, large_ = np.array(done)[part], np.array(large)[part]
-        new = found & ~done_
-        on = np.flatnonzero(new)
-        first = on[np.concatenate([[True], (on[1:] != on[:-1] + 1) | (part[on[1:]] != part[on[:-1]])])] if len(on) else on
-        last = on[np.concatenate([(on[1:] != on[:-1] + 1) | (part[on[1:]] != part[on[:-1]]), [True]])] if len(on) else on
-        wait = np.flatnonzero(large_ & ~found & ~done_)
-        known = np.flatnonzero(large_ & (found | done_))
+        done_, ranges_ = np.array(done)[part], np.array(ranges, np.int64)[part]
+        on = np.flatnonzero(found & ~done_)
+        gap = (on[1:] != on[:-1] + 1) | (part[on[1:]] != part[on[:-1]]) if len(on) else np.zeros(0, bool)
+        first, last = (on[np.concatenate([[True], gap])], on[np.concatenate([gap, [True]])]) if len(on) else (on, on)
+        m = len(first)
+        if m:
+            yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(pos[first]), pa.array(pos[last] + length), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], OUT)
+        wait = np.flatnonzero((ranges_ > 0) & ~found & ~done_)
+        known = np.flatnonzero((ranges_ > 0) & (found | done_))
         if len(known):
-            known = known[np.unique(klass[known], return_index=True)[1]]
+            known = known[np.unique(klass[known], return_index=True)[1]]  # one of each class will do
         w = np.concatenate([wait, known])
-        h = Hasher(t).at(starts[w], length) if len(w) else np.zeros(0, np.uint64)
-        m, k = len(first), len(w)
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([owner[first], owner[w]])), pa.array(np.concatenate([pos[first], pos[w]])),
-            pa.array(np.concatenate([pos[last] + length, pos[w] + length])),
-            pa.array(np.concatenate([np.zeros(m, np.int64), signed(h)]), mask=np.arange(m + k) < m),
-            pa.array(np.concatenate([np.zeros(m, bool), np.arange(k) < len(wait)])),
-        ], OUT)
+        if not len(w):
+            return
+        code = Hasher(t).at(starts[w], length)
+        table = np.stack([signed(code), owner[w], pos[w], np.repeat([1, 0], [len(wait), len(known)])], 1)
+        key = np.array(h, np.int64)[part[w]]
+        r = ((code >> _U(20)) % ranges_[w].astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((r, key))
+        table, key, r = table[order], key[order], r[order]
+        edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (r[1:] != r[:-1])) + 1, [len(key)]])
+        at, k = edge[:-1], len(edge) - 1
+        data = [table[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
+        none = pa.nulls(k, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(key[at]), pa.array(r[at]), pa.array(data, pa.binary())], OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for b in batches:
-            cols = [b.column(x).to_pylist() for x in ("h", "b", "c", "s1", "n", "done", "large", "bytes")]
+            cols = [b.column(x).to_pylist() for x in ("h", "b", "c", "s1", "n", "done", "ranges", "bytes")]
             for h, k, *rest in zip(*cols, strict=True):
                 if (h, k) != last:
                     if size >= ARRAY_BYTES:
-                        yield flush(held)
+                        yield from flush(held)
                         held, size = [], 0
                     last = (h, k)
-                held.append(rest)
+                held.append((h, *rest))
                 size += len(rest[-1])
         if held:
-            yield flush(held)
+            yield from flush(held)
+
+    return rows.repartition(workers(rows.sparkSession), "h", "b").sortWithinPartitions("h", "b").mapInArrow(run, "c long, lo long, hi long, h long, r long, data binary")
+
+
+def match_blocks(waiting: DataFrame, length: int) -> DataFrame:
+    """Spans (c, lo, hi) of open windows that another block of their anchor has too; rows: h, r, data."""
+
+    def spans(held: list[bytes]) -> pa.RecordBatch:
+        t = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in held])
+        _, inv, n = np.unique(t[:, 0], return_inverse=True, return_counts=True)
+        t = t[(n[inv] > 1) & (t[:, 3] == 1)]
+        t = t[np.lexsort((t[:, 2], t[:, 1]))]
+        cut_ = (t[1:, 1] != t[:-1, 1]) | (t[1:, 2] > t[:-1, 2] + length)
+        first, last = (np.concatenate([[True], cut_]), np.concatenate([cut_, [True]])) if len(t) else (slice(0), slice(0))
+        return pa.RecordBatch.from_arrays([pa.array(t[first, 1]), pa.array(t[first, 2]), pa.array(t[last, 2] + length)], ["c", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for b in batches:
+            for h, r, data in zip(*(b.column(x).to_pylist() for x in ("h", "r", "data")), strict=True):
+                if held and (h, r) != last:
+                    yield spans(held)
+                    held = []
+                last = (h, r)
+                held.append(data)
+        if held:
+            yield spans(held)
 
-    return rows.repartition(workers(rows.sparkSession), "h", "b").sortWithinPartitions("h", "b").mapInArrow(run, "c long, lo long, hi long, h long, open boolean")
+    return waiting.select("h", "r", "data").repartition(workers(waiting.sparkSession), "h", "r").sortWithinPartitions("h", "r").mapInArrow(run, "c long, lo long, hi long")
 
 
 def fetch(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted(c, list of (h, b, s1, s2, done, large)) with the bytes of each segment."""
-    names = ["h", "b", "c", "s1", "n", "done", "large", "bytes"]
+    """wanted(c, list of (h, b, s1, s2, done, ranges)) with the bytes of each segment."""
+    names = ["h", "b", "c", "s1", "n", "done", "ranges", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -283,13 +320,13 @@ def fetch(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 part = b.slice(i, 128)
                 for k, (c, list_) in enumerate(zip(part.column("c").to_pylist(), part.column("list").to_pylist(), strict=True)):
                     at = int(off[i + k])
-                    rows += [(x["h"], x["b"], c, x["s1"], x["s2"] - x["s1"] + 1, x["done"], x["large"], data[at + x["s1"] : at + x["s2"] + length].tobytes()) for x in list_]
+                    rows += [(x["h"], x["b"], c, x["s1"], x["s2"] - x["s1"] + 1, x["done"], x["ranges"], data[at + x["s1"] : at + x["s2"] + length].tobytes()) for x in list_]
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()), strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], names)
 
-    lists = wanted.groupBy("c").agg(F.collect_list(F.struct("h", "b", "s1", "s2", "done", "large")).alias("list"))  # as many as a text has segments
+    lists = wanted.groupBy("c").agg(F.collect_list(F.struct("h", "b", "s1", "s2", "done", "ranges")).alias("list"))  # as many as a text has segments
     own = only(texts, lists.select("c")).dropDuplicates(["c"])
-    return own.join(lists, "c").mapInArrow(run, "h long, b long, c long, s1 int, n int, done boolean, large boolean, bytes binary")
+    return own.join(lists, "c").mapInArrow(run, "h long, b long, c long, s1 int, n int, done boolean, ranges long, bytes binary")
 
 
 def remove(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -336,7 +373,8 @@ def dedup(docs: DataFrame, length: int = 400, text_col: str = "text", gram: int
     texts = texts_of(docs, text_col)
     seen = cut(survey(texts, length, gram))
     anchors = seen.where("h is not null").select("c", "h", "a", "s1", "s2", "seg", "lk", "rk")
-    alive = cut(anchors.join(repeated(anchors, "h"), "h").dropDuplicates(["c", "s1"]))
+    more = cut(repeated(anchors, "h"))  # a table of its own: Spark can then split the join's hot keys
+    alive = cut(anchors.join(more, "h").dropDuplicates(["c", "s1"]))
     twice = cut(repeated(alive.select(F.explode(F.array("lk", "rk")).alias("k")).where("k <> 0"), "k"))
     two = alive.join(twice.select(F.col("k").alias("lk"), F.lit(True).alias("l")), "lk", "left")
     two = two.join(twice.select(F.col("k").alias("rk"), F.lit(True).alias("r")), "rk", "left")
@@ -350,14 +388,13 @@ def dedup(docs: DataFrame, length: int = 400, text_col: str = "text", gram: int
     folded = segs.join(kinds.where("m > 1").select("h", "seg"), ["h", "seg"]).select("c", F.col("s1").cast("long").alias("lo"), (F.col("s2") + length).cast("long").alias("hi"))
     per = kinds.groupBy("h").agg(F.count("*").alias("k"))
     distinct = kinds.join(per.where("k > 1"), "h")
-    large = F.col("k") > block
-    b = F.when(large, F.pmod(F.xxhash64("seg"), F.ceil(F.col("k") / block))).otherwise(F.lit(0)).cast("long")
-    wanted = distinct.select("h", b.alias("b"), F.col("one.c").alias("c"), F.col("one.s1").alias("s1"), F.col("one.s2").alias("s2"), (F.col("m") > 1).alias("done"), large.alias("large"))
+    ranges = F.when(F.col("k") > block, F.least(F.ceil(F.col("k") / block), F.lit(MOST_RANGES))).otherwise(0).cast("long")
+    b = F.when(F.col("k") > block, F.pmod(F.xxhash64("seg"), F.ceil(F.col("k") / block))).otherwise(0).cast("long")
+    wanted = distinct.select("h", b.alias("b"), F.col("one.c").alias("c"), F.col("one.s1").alias("s1"), F.col("one.s2").alias("s2"), (F.col("m") > 1).alias("done"), ranges.alias("ranges"))
     matched = cut(match_segments(fetch(texts, cut(wanted), length), length))
-    waiting = matched.where("h is not null")
-    across = waiting.join(repeated(waiting, "h"), "h").where("open").select("c", "lo", "hi")
+    across = match_blocks(matched.where("data is not null"), length)
     many = texts.select("c").groupBy("c").agg(F.count("*").alias("m")).where("m > 1").select("c")
-    spans = folded.unionByName(matched.where("h is null").select("c", "lo", "hi")).unionByName(across)
+    spans = folded.unionByName(matched.where("data is null").select("c", "lo", "hi")).unionByName(across)
     spans = cut(spans.join(many, "c", "left_anti"))
     gone = cut(remove(texts, spans))
     per = seen.where("n is not null").select("c", "n", "sha").dropDuplicates(["c"])
@@ -371,7 +408,7 @@ def dedup(docs: DataFrame, length: int = 400, text_col: str = "text", gram: int
         F.when(every, whole).otherwise(F.col("spans")).alias("spans"), kept.alias("kept"),
         F.when(kept.isNull(), F.col("sha")).otherwise(F.sha2(kept, 256)).alias("kept_sha256"),
     )
-    drop(alive, twice, segs, kinds, matched)
+    drop(alive, more, twice, segs, kinds, matched)
     return out
 
 
