@@ -3,7 +3,7 @@
 A text is the set of its word n-grams; equal sets are one class.  Two classes of Jaccard
 similarity >= t share a token among the first |s| - ceil(t|s|) + 1 of each in any one order of
 tokens, so classes are brought together by those prefix tokens, and no link is lost.  The order
-puts tokens last that a count sketch of the whole corpus (2**18 counters, bounded) finds in many
+puts tokens last that a count sketch of the whole corpus (2**22 counters, bounded) finds in many
 texts, then goes by hash: passages that many documents share hardly ever bring them together.
 
 Classes that share a token form a group (tokens with the same classes form one).  A group is cut
@@ -12,10 +12,12 @@ tokens, nodes the OR (and AND) of their children's bitmaps and the range of thei
 traversal drops node pairs whose largest possible overlap is too small, and pairs that already
 hang together; what is left is verified on the whole sets.  A block returns a spanning forest.
 
-Large groups go in three steps, each exact in what it adds: blocks by themselves; then blocks of
-one class for each component found, again while that merges something; then all block pairs in
-which two components still meet, blocks sorted by component, sizes out of range left out.  Only
-the last step is needed for completeness; the first two leave it next to nothing.
+Classes whose prefix is largely shared are joined first, round by round, to grow components: each
+round takes one class a component and its largest group.  That only adds verified links early.
+Then every group in which two components still meet is joined completely: cut by size, in all
+pairs of blocks, classes of one component together.  There the trees first run on bitmaps alone
+(half a byte to one byte a token), and only the classes they cannot part are fetched and
+verified.  This last step alone is complete; the rounds before leave it little.
 
 Defined results: null or wordless texts have n_shingles 0 and are their own component; rows with
 a null id link with nothing; fewer than n words are one n-gram; repeated rows share a component;
@@ -31,14 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, components, cut, drop, keys_of, mix, raw, signed, slices, words, workers
+from .common import UnionFind, broadcast_if_small, components, cut, drop, keys_of, mix, raw, signed, slices, words, workers
 
-SKETCH = 1 << 18
-PARTS = 16
+SKETCH = 1 << 22
+PARTS = 64
 BLOCK = 96
 FANOUT = 8
-BITS = 1024
-TOP = np.uint64(1 << 63)
+ROUNDS = 5
 
 
 def need_of(n: int, num: int, den: int) -> int:
@@ -79,25 +80,44 @@ def sketch_slot(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each token's hash, in 4 to 8 bits a token."""
+    width = max(64, 1 << (4 * len(s) - 1).bit_length())
+    on = np.zeros(width, np.uint8)
+    on[(s >> np.uint64(20) & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(on).tobytes()
+
+
 def digest(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n, c) per document, and per partition the token counts of the sketch in `sums`."""
+    """(id, n, c, sig) per document, and per partition the token counts of the sketch in `sums`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "c", "part", "sums"]
+        names = ["id", "n", "c", "sig", "part", "sums"]
         count = np.zeros(SKETCH, np.int32)
+        seen: set[int] = set()
         for b in batches:
             data, off = raw(b.column("text"))
             for i, j in slices(off):
                 sets = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
-                full = [s for s in sets if len(s)]
-                if full:
-                    count += np.bincount(sketch_slot(np.concatenate(full)), minlength=SKETCH).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
+                kinds = [class_of(s) for s in sets]
+                sigs: list[bytes | None] = []
+                fresh = []
+                for c, s in zip(kinds, sets, strict=True):
+                    if len(s) and c not in seen:
+                        seen.add(c)
+                        fresh.append(s)
+                        sigs.append(bitmap(s))
+                    else:
+                        sigs.append(None)  # an equal set of this task has it
+                if fresh:
+                    np.add.at(count, sketch_slot(np.concatenate(fresh)), 1)
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(kinds, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
         step = SKETCH // PARTS
+        low = np.minimum(count, 255).astype(np.uint8)
         for p in range(PARTS if count.any() else 0):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([p], pa.int32()), pa.array([count[p * step : (p + 1) * step].tobytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([p], pa.int32()), pa.array([low[p * step : (p + 1) * step].tobytes()], pa.binary())], names)
 
-    return docs.mapInArrow(run, "id long, n long, c long, part int, sums binary")
+    return docs.mapInArrow(run, "id long, n long, c long, sig binary, part int, sums binary")
 
 
 def heavy_slots(digests: DataFrame) -> np.ndarray:
@@ -105,15 +125,26 @@ def heavy_slots(digests: DataFrame) -> np.ndarray:
     import pandas as pd
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["sums"])
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "sums": [total.tobytes()]})
+        total = np.zeros(SKETCH // PARTS, np.int64)
+        for x in pdf["sums"]:
+            total += np.frombuffer(x, np.uint8)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "total": [int(total.sum())], "sums": [total.tobytes()]})
 
-    rows = digests.where("part is not null").groupBy("part").applyInPandas(add, "part int, sums binary").collect()
-    count = np.zeros(SKETCH, np.int64)
-    step = SKETCH // PARTS
-    for r in rows:
-        count[r.part * step : (r.part + 1) * step] = np.frombuffer(bytes(r.sums), np.int64)
-    return np.packbits(count >= 4 * count.mean() + 64)
+    parts = cut(digests.where("part is not null").select("part", "sums").groupBy("part").applyInPandas(add, "part int, total long, sums binary"))
+    mean = (parts.agg(F.sum("total")).first()[0] or 0) / SKETCH
+    limit = mean + 4 * mean**0.5 + 4
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [np.packbits(np.frombuffer(x, np.int64) >= limit).tobytes() for x in b.column("sums").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(bits, pa.binary())], ["part", "bits"])
+
+    out = np.zeros(SKETCH // 8, np.uint8)
+    step = SKETCH // 8 // PARTS
+    for r in parts.mapInArrow(mark, "part int, bits binary").collect():  # half a megabyte in all
+        out[r.part * step : (r.part + 1) * step] = np.frombuffer(bytes(r.bits), np.uint8)
+    drop(parts)
+    return out
 
 
 def prefixes(docs: DataFrame, heavy, n: int, num: int, den: int) -> DataFrame:
@@ -159,16 +190,17 @@ def token_sets(texts: DataFrame, n: int) -> DataFrame:
 
 # ---------------------------------------------------------------- the tree
 class Tree:
-    """Levels of nodes over sets sorted by size; level 0 are the sets themselves."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        bits = []
-        for s in sets:
-            on = np.zeros(BITS, np.uint8)
-            on[(s >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64)] = 1
-            bits.append(int.from_bytes(np.packbits(on).tobytes(), "big"))
-        sizes = [len(s) for s in sets]
-        self.levels = [[(x, x, n, n) for x, n in zip(bits, sizes, strict=True)]]
+    """Levels of nodes (OR, AND, least size, largest size); level 0 are the bitmaps of single classes."""
+
+    def __init__(self, bitmaps: list[bytes], sizes: list[int]):
+        width = 8 * min(map(len, bitmaps))
+        self.levels = [[]]
+        for x, n in zip(bitmaps, sizes, strict=True):
+            bits, w = int.from_bytes(x, "big"), 8 * len(x)
+            while w > width:  # fold in halves to the width that all have
+                w //= 2
+                bits = (bits >> w) | (bits & ((1 << w) - 1))
+            self.levels[0].append((bits, bits, n, n))
         while len(self.levels[-1]) > FANOUT:
             below, level = self.levels[-1], []
             for i in range(0, len(below), FANOUT):
@@ -183,6 +215,22 @@ class Tree:
     def children(self, level: int, i: int) -> range:
         return range(i * FANOUT, min((i + 1) * FANOUT, len(self.levels[level - 1])))
 
+    def pairs(self, num: int, den: int, skip) -> Iterator[tuple[int, int]]:
+        """Dual traversal: the pairs of classes that may link, those for which skip(i, j) holds left out."""
+        top = len(self.levels) - 1
+        stack = [(top, i, j) for i in range(len(self.levels[top])) for j in range(i, len(self.levels[top]))]
+        while stack:
+            level, i, j = stack.pop()
+            nodes = self.levels[level]
+            if level == 0:
+                if i != j and not skip(i, j) and may_link(nodes[i], nodes[j], num, den):
+                    yield i, j
+            elif i == j:
+                kids = self.children(level, i)
+                stack += [(level - 1, a, b) for a in kids for b in kids if a <= b]
+            elif may_link(nodes[i], nodes[j], num, den):
+                stack += [(level - 1, a, b) for a in self.children(level, i) for b in self.children(level, j)]
+
 
 def may_link(a, b, num: int, den: int) -> bool:
     """Whether some set below a and some set below b can be similar enough."""
@@ -202,24 +250,32 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 def join_block(sets: list[np.ndarray], num: int, den: int, forest: UnionFind, side: list[int] | None = None) -> None:
     """Unite all linked sets of a block in the forest.  side: only pairs of different sides are asked for."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0])))
-    tree = Tree([sets[i] for i in order])
-    top = len(tree.levels) - 1
-    stack = [(top, i, j) for i in range(len(tree.levels[top])) for j in range(i, len(tree.levels[top]))]
-    while stack:
-        level, i, j = stack.pop()
-        nodes = tree.levels[level]
-        if level == 0:
-            p, q = order[i], order[j]
-            if i == j or (side is not None and side[p] == side[q]) or forest.find(p) == forest.find(q):
-                continue
-            if may_link(nodes[i], nodes[j], num, den) and similar(sets[p], sets[q], num, den):
-                forest.union(p, q)
-        elif i == j or may_link(nodes[i], nodes[j], num, den):
-            left = tree.children(level, i)
-            if i == j:
-                stack += [(level - 1, a, b) for a in left for b in left if a <= b]
-            else:
-                stack += [(level - 1, a, b) for a in left for b in tree.children(level, j)]
+    tree = Tree([bitmap(sets[i]) for i in order], [len(sets[i]) for i in order])
+    find = forest.find
+    skip = lambda i, j: (side is not None and side[order[i]] == side[order[j]]) or find(order[i]) == find(order[j])
+    for i, j in tree.pairs(num, den, skip):
+        if similar(sets[order[i]], sets[order[j]], num, den):
+            forest.union(order[i], order[j])
+
+
+def open_of_block(bitmaps: list[bytes], sizes: list[int], comp: list[int], num: int, den: int, side: list[int] | None) -> tuple[list[tuple[int, int]], list[int]]:
+    """What the bitmaps of a block leave possible between components: the pairs, if they are at most
+    twice the classes; else no pairs but the classes that have any."""
+    order = sorted(range(len(sizes)), key=lambda i: (sizes[i], bitmaps[i]))
+    tree = Tree([bitmaps[i] for i in order], [sizes[i] for i in order])
+    found: set[int] = set()
+    pairs: list[tuple[int, int]] = []
+    dense = False
+
+    def skip(i: int, j: int) -> bool:
+        p, q = order[i], order[j]
+        return comp[p] == comp[q] or (side is not None and side[p] == side[q]) or (dense and p in found and q in found)
+
+    for i, j in tree.pairs(num, den, skip):
+        found |= {order[i], order[j]}
+        pairs.append((order[i], order[j]))
+        dense = dense or len(pairs) > 2 * len(sizes)
+    return ([], sorted(found)) if dense else (pairs, [])
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -254,7 +310,7 @@ def join_blocks(rows: DataFrame, sets: DataFrame, keys: list[str], num: int, den
             forest, seen = UnionFind(len(c)), {}
             for i, x in enumerate(comp):
                 forest.union(i, seen.setdefault(x, i))
-            tokens = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
+            tokens = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
             before = [forest.find(i) for i in range(len(c))]
             join_block(tokens, num, den, forest, side if len(set(side)) > 1 else None)
             for i in range(len(c)):
@@ -266,10 +322,33 @@ def join_blocks(rows: DataFrame, sets: DataFrame, keys: list[str], num: int, den
                 u, v = [], []
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    full = rows.join(sets, "c").select(*keys, "c", "comp", "side", "tokens")
+    rows = rows.select(*keys, "c", "comp", "side")
+    full = broadcast_if_small(rows, rows.count()).join(sets.select("c", F.col("tokens").alias("set")), "c")
     return full.repartition(workers(rows.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
 
 
+def sift_blocks(rows: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
+    """Of rows(keys, c, comp, side, n, sig) what their block's bitmaps leave open: pairs (c, d), or of
+    blocks with very many of them the rows of the classes concerned (d null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*keys, "c", "comp", "side", "d"]
+        for t in blocks_of(batches, keys):
+            comp, side = t.column("comp").to_pylist(), t.column("side").to_pylist()
+            if len(set(comp)) < 2:
+                continue
+            pairs, on = open_of_block(t.column("sig").to_pylist(), t.column("n").to_pylist(), comp, num, den, side if len(set(side)) > 1 else None)
+            at = [p for p, _ in pairs] or on
+            if at:
+                part = t.select([*keys, "c", "comp", "side"]).take(pa.array(at)).combine_chunks()
+                d = t.column("c").take(pa.array([q for _, q in pairs])).combine_chunks() if pairs else pa.nulls(len(at), pa.int64())
+                cols = [part.column(x).combine_chunks() for x in names[:-1]]
+                yield pa.RecordBatch.from_arrays([*cols, d], names)
+
+    names = ", ".join(f"{k} long" for k in keys)
+    return rows.repartition(workers(rows.sparkSession), *keys).sortWithinPartitions(*keys).select(*keys, "c", "comp", "side", "n", "sig").mapInArrow(run, f"{names}, c long, comp long, side int, d long")
+
+
 def with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.select(F.col("id").alias("c"), F.col("component").alias("comp")), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
 
@@ -297,66 +376,83 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # groups: classes that share a prefix token; tokens with the same classes are one group
     rows = prefixes(src.where("id is not null"), heavy, n, num, den)
-    shared = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    hits = cut(rows.join(shared, "token").distinct())
+    shared = cut(rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"))
+    hits = cut(rows.join(broadcast_if_small(shared, shared.count()), "token").distinct())
     lists = hits.groupBy("token").agg(F.count("*").alias("cnt"), F.bit_xor(F.xxhash64("c")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(4), "c")).alias("x2"))
-    lists = lists.groupBy("cnt", "x1", "x2").agg(F.min("token").alias("g"))  # g stands for all tokens with these classes
-    groups = cut(hits.join(lists.select(F.col("g").alias("token"), "cnt"), "token").select(F.col("token").alias("g"), "c", "cnt"))
+    lists = lists.groupBy("cnt", "x1", "x2").agg(F.min("token").alias("g"), F.count("*").alias("tokens"))
+    sized = per_doc.where("n > 0").groupBy("c").agg(F.first("n").alias("n"))
+    groups = hits.join(lists.select(F.col("g").alias("token"), "cnt", "tokens"), "token").join(sized, "c")
+    groups = cut(groups.select(F.col("token").alias("g"), "c", "cnt", "tokens", "n"))
     drop(hits)
 
-    # the whole sets of the classes in groups
-    inside = cut(groups.select("c").distinct().join(classes, "c").select(F.col("rep").alias("id"), "c"))
-    few = inside.count() <= 500_000
-    texts = src.join(F.broadcast(inside) if few else inside, "id")
-    sets = cut(token_sets(texts, n).dropDuplicates(["c"]))
-
-    # first: of each class its largest group, in blocks
-    biggest = groups.groupBy("c").agg(F.max(F.struct("cnt", "g")).alias("m")).select(F.col("m.g").alias("g")).distinct()
-    picked = groups.join(biggest, "g").withColumn("comp", F.col("c")).withColumn("side", F.lit(0))
-    edges = cut(join_blocks(picked.withColumn("b", spread("c", F.col("cnt"), block)), sets, ["g", "b"], num, den))
-    labels = components(edges)
-    left = groups.join(biggest.join(groups.where(F.col("cnt") <= block).select("g").distinct(), "g"), "g", "left_anti")
-
-    # second: one class a component, as long as that merges some of a large group
-    while True:
-        now = with_components(left, labels)
-        large = now.where(F.col("cnt") > block)
-        one = large.groupBy("g", "comp").agg(F.min("c").alias("c"))
-        open_ = one.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
-        reps = one.join(open_, "g").withColumn("side", F.lit(0)).withColumn("b", spread("c", F.col("k"), block))
-        more = cut(join_blocks(reps, sets, ["g", "b"], num, den))
+    def sets_of(keys: DataFrame) -> DataFrame:
+        """The whole sets of some classes, from their texts."""
+        inside = cut(keys.select("c").distinct().join(classes, "c").select(F.col("rep").alias("id"), "c"))
+        texts = src.join(F.broadcast(inside) if inside.count() <= 500_000 else inside, "id")
+        return cut(token_sets(texts, n).join(inside.select("c"), "c", "left_semi").dropDuplicates(["c"]))
+
+    # rounds over the classes that share a quarter of their prefix or more
+    per_class = groups.groupBy("c").agg(F.sum("tokens").alias("tokens"), F.first("n").alias("n"))
+    likely = cut(per_class.where(F.col("tokens") * (4 * den) >= F.col("n") * (den - num)).select("c"))
+    sets = sets_of(likely)
+    alike = cut(groups.join(likely, "c", "left_semi"))
+    edges, labels, used = None, components(spark.createDataFrame([], "u long, v long")), spark.createDataFrame([], "g long")
+    for _ in range(ROUNDS):
+        now = with_components(alike.join(used, "g", "left_anti"), labels)
+        one = now.groupBy("g", "comp").agg(F.min("c").alias("c"), F.max("tokens").alias("tokens"), F.max("n").alias("n"))
+        one = cut(one.join(one.groupBy("g").agg(F.count("*").alias("k")).where("k > 1"), "g"))
+        best = one.groupBy("c").agg(F.max(F.struct((F.col("tokens") * 32 >= F.col("n")).alias("strong"), "k", "g")).alias("m")).select(F.col("m.g").alias("g")).distinct()
+        picked = cut(one.join(best, "g").withColumn("side", F.lit(0)).withColumn("b", spread("c", F.col("k"), block)))
+        more = cut(join_blocks(picked, sets, ["g", "b"], num, den))
         if more.isEmpty():
+            drop(one, picked, more)
             break
-        both = cut(edges.union(more))
-        drop(edges, more, labels)
+        gain = more.count()
+        both = more if edges is None else cut(edges.union(more))
+        found = gain if edges is None else found + gain
+        used = cut(used.union(picked.where(F.col("k") <= block).select("g").distinct()))
+        drop(one, picked, labels)
         edges, labels = both, components(both)
+        if gain * 20 < found:  # what little is left the complete join finds as well
+            break
 
-    # third: whatever pairs of blocks two components still meet in
-    now = with_components(left, labels)
-    now = cut(now.drop("cnt").join(unsettled(now), "g").join(sets.select("c", "n"), "c"))
+    # all of it: wherever two components still meet.  Sizes that can link fall in the same or the next
+    # size class, so each class goes to its own and the next one's part of the group
+    now = with_components(groups.select("g", "c", "n"), labels)
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num + 1e-9))).cast("int")
+    now = now.withColumn("g", F.explode(F.array(F.xxhash64("g", step), F.xxhash64("g", step + 1))))
+    now = cut(now.join(unsettled(now).select("g"), "g"))
     per = now.groupBy("g", "comp").agg(F.count("*").alias("m"))
     mixed = per.where(F.col("m") < block).groupBy("g").agg(F.sum("m").alias("rest"))
-    now = now.join(per, ["g", "comp"]).join(mixed, "g", "left")
+    parts = now.join(per, ["g", "comp"]).join(mixed, "g", "left")
     pure = F.col("m") >= block
-    now = now.withColumn("pure", F.when(pure, F.col("comp")))
-    now = now.withColumn("b", F.when(pure, F.xxhash64("comp", spread("c", F.col("m"), block))).otherwise(F.xxhash64(F.lit(-1), spread("c", F.coalesce("rest", F.lit(1)), block))))
-    now = cut(now.select("g", "b", "c", "comp", "pure", "n"))
-    tops = cut(now.groupBy("g", "b").agg(F.first("pure").alias("pure"), F.min("n").alias("lo"), F.max("n").alias("hi")))
-    a = tops.select("g", F.col("b").alias("b1"), F.col("pure").alias("p1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
-    z = tops.select("g", F.col("b").alias("b2"), F.col("pure").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = a.join(z, "g").where((F.col("b1") <= F.col("b2")) & ~F.coalesce(F.col("p1") == F.col("p2"), F.lit(False)) & (den * F.col("hi1") >= num * F.col("lo2")) & (den * F.col("hi2") >= num * F.col("lo1")))
+    parts = parts.withColumn("pure", F.when(pure, F.col("comp")))
+    parts = parts.withColumn("b", F.when(pure, F.xxhash64("comp", spread("c", F.col("m"), block))).otherwise(F.xxhash64(F.lit(-1), spread("c", F.coalesce("rest", F.lit(1)), block))))
+    parts = cut(parts.select("g", "b", "c", "comp", "pure", "n"))
+    tops = cut(parts.groupBy("g", "b").agg(F.first("pure").alias("pure"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2")))
+    a = tops.select("g", F.col("b").alias("b1"), F.col("pure").alias("p1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("c1").alias("ca"), F.col("c2").alias("cb"))
+    z = tops.select("g", F.col("b").alias("b2"), F.col("pure").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("c1").alias("cc"), F.col("c2").alias("cd"))
+    several = F.least("ca", "cc") < F.greatest("cb", "cd")
+    pairs = a.join(z, "g").where((F.col("b1") <= F.col("b2")) & several & (den * F.col("hi1") >= num * F.col("lo2")) & (den * F.col("hi2") >= num * F.col("lo1")))
     pairs = pairs.select("g", "b1", "b2", F.explode(F.when(F.col("b1") == F.col("b2"), F.array("b1")).otherwise(F.array("b1", "b2"))).alias("b"))
-    meet = pairs.join(now, ["g", "b"]).withColumn("side", F.when(F.col("b1") == F.col("b2"), 0).when(F.col("b") == F.col("b1"), 1).otherwise(2))
-    last = cut(join_blocks(meet, sets, ["g", "b1", "b2"], num, den))
+    meet = pairs.join(parts, ["g", "b"]).withColumn("side", F.when(F.col("b1") == F.col("b2"), 0).when(F.col("b") == F.col("b1"), 1).otherwise(2))
+    sigs = digests.where("sig is not null").select("c", "sig").dropDuplicates(["c"])
+    keys = ["g", "b1", "b2"]
+    left = cut(sift_blocks(meet.join(sigs, "c"), keys, num, den))
+    two = left.where("d is not null").select(F.least("c", "d").alias("b1"), F.greatest("c", "d").alias("b2")).distinct()
+    two = two.select(F.lit(0).cast("long").alias("g"), "b1", "b2", F.explode(F.array("b1", "b2")).alias("c")).withColumn("comp", F.col("c")).withColumn("side", F.lit(0))
+    check = cut(left.where("d is null").select(*keys, "c", "comp", "side").distinct().unionByName(two))
+    late = sets_of(check)
+    last = cut(join_blocks(check, late, keys, num, den))
     if not last.isEmpty():
-        both = cut(edges.union(last))
-        drop(edges, labels)
-        edges, labels = both, components(both)
+        both = last if edges is None else cut(edges.union(last))
+        drop(labels)
+        labels = components(both)
 
     comp = with_components(classes.select("c", "rep"), labels)
     smallest = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
     answer = comp.join(smallest, "comp").select("c", "component_id")
     known = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     out = cut(per_doc.join(answer, "c", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), known.alias("component_id")))
-    drop(digests, groups, inside, sets, edges, labels, now, tops, last)
+    drop(digests, shared, groups, likely, alike, sets, late, edges, labels, now, parts, tops, left, check, last)
     return out
