@@ -422,6 +422,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num + 1e-9))).cast("int")
     now = now.withColumn("g", F.explode(F.array(F.xxhash64("g", step), F.xxhash64("g", step + 1))))
     now = cut(now.join(unsettled(now).select("g"), "g"))
+    # many parts now hold the same classes: one of them will do
+    same = now.groupBy("g").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("c")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(4), "c")).alias("x2"))
+    same = same.groupBy("k", "x1", "x2").agg(F.min("g").alias("g")).select("g")
+    whole, now = now, cut(now.join(same, "g"))
+    drop(whole)
     per = now.groupBy("g", "comp").agg(F.count("*").alias("m"))
     mixed = per.where(F.col("m") < block).groupBy("g").agg(F.sum("m").alias("rest"))
     parts = now.join(per, ["g", "comp"]).join(mixed, "g", "left")
