@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import pieces, text_column, with_text
 
 #: Splits text into words as byte-level BPE vocabularies do; white space is Unicode's.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -368,14 +368,16 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
     held = docs.sparkSession.sparkContext.broadcast(blob)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "token_ids")]
 
+    source = text_column(docs, keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = _encoder(path, held.value)
-        for b in pieces(batches, 2 << 20, "_text"):
-            ids = [code(t) if t else b"" for t in b.column("_text").to_pylist()]
+        for b in pieces(batches, 2 << 20, source):
+            ids = [code(t) if t else b"" for t in b.column(source).to_pylist()]
             cols = [b.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*keep, "n_tokens", "token_ids"])
 
-    src = docs.select(*keep, F.col("text").alias("_text"))
+    src = with_text(docs, keep)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())])
     return src.mapInArrow(run, schema)
 

@@ -70,6 +70,16 @@ def drop(*frames: DataFrame | None) -> None:
             df._cut_path = None
 
 
+def text_column(docs: DataFrame, keep: list[str]) -> str:
+    """The name under which with_text has the text."""
+    return "text" if "text" in keep else "_text"
+
+
+def with_text(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns in keep and the text, once."""
+    return docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("_text"))
+
+
 def workers(spark: SparkSession) -> int:
     """Partitions for a stage of Python work over a small table."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)

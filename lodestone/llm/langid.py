@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, pieces
+from .common import mix, pieces, text_column, with_text
 
 ORDER = 4
 SEP = 1  # everything that is no letter
@@ -253,15 +253,16 @@ def predict(docs: DataFrame, model: Models, keep: list[str] | None = None) -> Da
     added = ("lang_pred", "score", "entropy", "rejected")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     held = docs.sparkSession.sparkContext.broadcast(model)
+    source = text_column(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in pieces(batches, 2 << 20, "_text"):
-            lang, score, h, no = m.predict(b.column("_text").to_pylist())
+        for b in pieces(batches, 2 << 20, source):
+            lang, score, h, no = m.predict(b.column(source).to_pylist())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(h, pa.float64()), pa.array(no, pa.bool_())], [*keep, *added])
 
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return with_text(docs, keep).mapInArrow(run, schema)
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:

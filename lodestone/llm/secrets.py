@@ -25,10 +25,9 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw, slices, words
+from .common import raw, slices, text_column, with_text, words
 
 # Words that announce a credential, words that announce something else, and common words.
 KEYWORDS = "token secret password passwd pwd key apikey api_key access_key auth authorization bearer credential credentials private signature login".split()
@@ -255,11 +254,12 @@ def annotate(docs: DataFrame, forest: Forest, keep: list[str] | None = None, at_
     and redacted, the text with every finding replaced (null for a null text)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("findings", "redacted")]
     held = docs.sparkSession.sparkContext.broadcast(forest)
+    source = text_column(docs, keep)
     one = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = raw(b.column("_text"))
+            data, off = raw(b.column(source))
             for i, j in slices(off):
                 block, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 found = list(candidates(block, o))
@@ -269,7 +269,7 @@ def annotate(docs: DataFrame, forest: Forest, keep: list[str] | None = None, at_
                     if s >= at_least and not (hits.get(f[0]) and hits[f[0]][-1][1] > f[1]):
                         hits.setdefault(f[0], []).append((f[1], f[2], float(s)))
                 part = b.slice(i, j - i)
-                texts = part.column("_text")
+                texts = part.column(source)
                 lists: list[list] = [[] for _ in range(j - i)]
                 changed = {}
                 for t, spans in hits.items():
@@ -293,4 +293,4 @@ def annotate(docs: DataFrame, forest: Forest, keep: list[str] | None = None, at_
 
     row = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("score", T.DoubleType())])
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("findings", T.ArrayType(row)), T.StructField("redacted", T.StringType())])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return with_text(docs, keep).mapInArrow(run, schema)
