@@ -16,8 +16,14 @@ from lodestone.llm.common import cut, drop, table
 ORACLE_SQL = None
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole rows with their texts go through Python here, outside the executors' heap: few at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose language is rejected (no letter, or unlike every learned language) go."""
+    small_batches(spark)
     model = langid.train(docs)
     return langid.predict(docs, model).where(~F.col("rejected")).select(*docs.columns)
 
@@ -35,6 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; n_chars follows the text it counts."""
+    small_batches(spark)
     out = secrets.annotate(docs, secrets.train())
     hit = F.size("findings") > 0
     if "n_chars" in docs.columns:
@@ -49,6 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens and token_ids (little-endian u32)."""
+    small_batches(spark)
     return bpe.encode(docs, keep=["doc_id", "source", "lang"])
 
 
