@@ -1,7 +1,9 @@
 """Secret scan: candidate strings judged by a random forest trained from labelled findings.
 
-Candidates are long words with digits, and what stands behind an assignment or a key word.  Each
-has features of its length, of the transitions between its character classes, of how much of it
+Candidates are long words with digits, the whole value (of 6 bytes or more) behind any `=` or `:`,
+and every word of 6 bytes or more within three words of a key word.  A value in quotes ends at its
+closing quote; without quotes, punctuation that may close a sentence is left off its end.  Each has
+features of its length, of the transitions between its character classes, of how much of it
 dictionary words cover, of a path or address around it and of its neighbouring words.  A forest
 of Gini trees, trained on the driver from a bounded set of labelled findings, takes the false
 positives (checksums, ids, numbers, addresses, placeholders) out.
@@ -11,7 +13,7 @@ ones are drawn by `built_in_findings` from the public shapes of credentials and
 false positives; at most `max_train` rows are learned from (documented bound).
 
 Defined results: null and empty texts have no findings; a value that repeats is found each time;
-overlapping candidates give one finding; places count characters, whole texts are read; extra
+overlapping candidates that are judged secret give one finding, their union; places count characters, whole texts are read; extra
 columns pass through, those named like the results are replaced.
 """
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import raw, slices, text_column, with_text, words
+from .common import _LOWER, raw, slices, text_column, with_text, words
 
 # Words that announce a credential, words that announce something else, and common words.
 KEYWORDS = "token secret password passwd pwd key apikey api_key access_key auth authorization bearer credential credentials private signature login".split()
@@ -35,14 +37,23 @@ DENIALS = "commit sha sha1 sha256 md5 checksum digest hash uuid guid build revis
 DICTIONARY = "about access account address admin after again also api app auth base before build change client code config country data default demo dummy email error event example false file first from github group hello home host http https image index info item jpg key label last light list local login mail main member message model name never node none null number object order other page part path pass password people photo place png point product profile project public query release report result right root sample search secret section server service session simple source start state static string style system table task test text that the this time title token true type under update upload url user value version view water web where white with word work world www year your".split()
 CORE = re.compile(r"[A-Za-z0-9_+/=.~@:\-]{6,}")
 ASSIGN = re.compile(r"^([A-Za-z_][A-Za-z0-9_\-]{1,30})\s*[=:]\s*(?=[^=:/])")
+TIE = re.compile(r"[=:]++>?(?!//)")
+# where the next assignment of a word without spaces begins
+NEXT = re.compile(r"[\"'`]?[&;,|?{]+[\"'`]?(?=[A-Za-z_][A-Za-z0-9_.\-]{0,60}[\"'`\])]*[=:])")
+QUOTES, OPEN, CLOSE = "\"'`", "\"'`([{<", "\"'`.,;:!?)]}>"
+LEAST = 6  # bytes of a value
+REACH = 3  # words on both sides of a key word
 MASK = "[SECRET]"
 TRANSITIONS = 16
 _DICT = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=len, reverse=True)))
 _WORD = re.compile(r"[A-Za-z_0-9]+")
+_STEMS = [k for k in KEYWORDS if not any(o != k and o in k for o in KEYWORDS)]
+_KEY = re.compile("|".join(_STEMS))
+_PAIRS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ss ec us ac tr lo la pe ge no ow pr ei ie un ue ta di em il ur qu".split())
 
 
 def _kind(c: str) -> int:
-    return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
+    return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c < "\x80" or not c.isalpha() else 1 if c.isupper() else 0
 
 
 def features(before: str, value: str, after: str) -> list[float]:
@@ -67,12 +78,15 @@ def features(before: str, value: str, after: str) -> list[float]:
     next_ = [w.lower() for w in _WORD.findall(after)][:3]
     said = sum(any(k in w for k in KEYWORDS) for w in near)
     denied = sum(w in DENIALS for w in near) + sum(w in DENIALS for w in next_)
+    told = sum(any(k in w for k in KEYWORDS) for w in next_)
+    pairs = sum(low[i : i + 2] in _PAIRS for i in range(n - 1)) / max(1, n - 1)
     tail = before.rstrip().rstrip("\"'`")[-1:] or " "
     return [
         float(n), math.log(n), entropy, entropy / max(1e-9, math.log2(max(2, n))), len(counts) / n, *moves,
         kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n, hexes / n, vowels / max(1, letters), covered / max(1, letters), steps,
         float("/" in value), float("@" in value), float(value.count(".")), float(value.count("-")), float(value.startswith(("http", "www", "/"))),
         float(before.rstrip()[-1:] in "\"'`"), float(tail in "=:"), float(said), float(denied), float(bool(near) and any(k in near[-1] for k in KEYWORDS)),
+        float(told), pairs, float(letters == n), sum(c > "\x7f" for c in value) / n, float("bearer" in near[-1:]),
         float(value[:4].isupper() and value[:4].isalpha()), float(any(w in low for w in ("example", "xxxx", "your", "test", "sample", "dummy"))),
     ]
 
@@ -133,6 +147,58 @@ def built_in_findings(n: int = 3000, seed: int = 41) -> list[tuple[str, str, str
         else:
             value, before = filler() + filler() + str(r.randint(0, 9)), f"{before}{r.choice(['name', 'title', 'page', 'id', 'width'])}{r.choice(['=', ': '])}"
         out.append((before, value, r.choice(["", ".", ",", "!!"]) + " " + context(), 0))
+    # short and punctuated values, tokens without a digit, and what stands where they stand
+    mark, alpha, low = "!@#$%&*?^~+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz"
+    leet = lambda s: "".join({"a": "4", "e": "3", "i": "1", "o": "0", "s": "5"}.get(c, c) if r.random() < 0.6 else c for c in s)
+    foreign = lambda: r.choice(["".join(r.choice("áéíóúñçüößàèêôå") if r.random() < 0.3 else c for c in filler() + filler()), "".join(chr(r.randint(0x430, 0x44F)) for _ in range(r.randint(3, 12))), "".join(chr(r.choice([r.randint(0x4E00, 0x9FA5), r.randint(0x3041, 0x3096), r.randint(0xAC00, 0xD7A3)])) for _ in range(r.randint(2, 30)))])
+    word = lambda: r.choice([filler() + filler(), r.choice(DICTIONARY), r.choice(DICTIONARY) + filler()])
+    names = ["password", "passwd", "pwd", "secret", "token", "login password", "db_password", "api_key", "client_secret"]
+    for i in range(n // 2):
+        key, shape = case(r.choice(names)), i % 6
+        eq = r.choice(["=", " = ", ": ", ":", "=\"", ": \"", "='", "\":\"", " => '"])
+        if shape == 0:  # word and number
+            value = r.choice([word(), word().capitalize()]) + r.choice(["", r.choice(mark)]) + pick("0123456789", r.randint(1, 4)) + r.choice(["", "", r.choice(mark)])
+        elif shape == 1:
+            value = (leet(word()) + pick("0123456789", 1) + r.choice(["", pick(low, 2)]))
+            eq = r.choice([eq, eq, " ", " is "])
+        elif shape == 2:
+            value = leet(word().capitalize()[:3] + r.choice(mark) + word()) + r.choice(mark) + pick("0123456789", r.randint(1, 4))
+            eq = r.choice([eq, eq, " ", " is "])
+        elif shape == 3:
+            value = pick(b64 + mark, r.randint(8, 20))
+            eq = r.choice([eq, eq, " ", " is "])
+        elif shape == 4:
+            key, eq = case(r.choice(["Bearer", "bearer", "Authorization: Bearer"])), r.choice([" ", " ", ": "])
+            value = r.choice([pick(low, r.randint(12, 40)), pick(alpha, r.randint(12, 40)), pick(b64, r.randint(12, 40)), "".join(r.sample(low, r.randint(12, 20))), low[(k := r.randint(0, 8)) : k + r.randint(12, 18)]])
+        else:
+            value = pick(r.choice([alpha, low]), r.randint(10, 24))
+        if len(value) < LEAST:
+            value += pick("0123456789", LEAST - len(value))
+        out.append((f"{context()} {key}{eq}", value, r.choice(['"', "'", "", "", ".", ";"]) + " " + context(), 1))
+    for i in range(n):
+        shape, key = i % 9, case(r.choice([*KEYWORDS, *names]))
+        eq = r.choice(["=", " = ", ": ", ":", "=\"", "='", "\":\""])
+        other = r.choice(["name", "title", "note", "width", "href", "class", "time", "see", "page", "from", "id", "said", "type", "size"])
+        before, after = f"{context()} {key}{r.choice([' ', ' ', ' of the ', ' and ', ', ', '. '])}", r.choice(["", ".", ",", ":"]) + " " + context()
+        plain = r.choice([word(), word().capitalize(), word() + "-" + word(), word() + "'s", word() + "," + word(), foreign(), foreign().capitalize(), filler() + filler() + filler()])
+        if shape in (0, 1):  # prose after a key word
+            value = plain
+        elif shape == 2:  # prose before a key word
+            value, before, after = plain, context() + " ", f" {r.choice(['', 'the ', 'and '])}{key} " + context()
+        elif shape == 3:
+            value, before = r.choice(["required", "undefined", "optional", "string", "function", "<password>", "${PASSWORD}", "********", "changeme", "your_password", "process.env.TOKEN", "os.environ['KEY']", "forgotten", "getPassword()", plain, plain, plain, plain, plain, plain, plain]), f"{context()} {r.choice([key, key, 'authors', 'the key', 'keys', 'keyboard', 'signatures'])}{r.choice([eq, ': ', ': '])}"
+        elif shape == 4:
+            value, before = plain, f"{context()} {other}{eq}"
+        elif shape == 5:
+            value, before = r.choice([f"{r.randint(1, 60)}:{r.randint(10, 59)}.{r.randint(100, 999)}Z", f"{r.randint(10, 59)}:{r.randint(10, 59)}-0{r.randint(1, 9)}00", f"{r.randint(100, 2000)}px;", f"{filler()}{r.randint(1, 99)}.html", f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}"]), f"{context()} {other}{eq}"
+        elif shape == 6:
+            value = r.choice([f"{r.randint(1, 999)},{r.randint(100, 999)}", f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(10, 28)}.{r.randint(10, 12)}.{r.randint(1990, 2030)}", f"({r.randint(1990, 2030)})", f"${r.randint(10, 999)}.{r.randint(10, 99)}"])
+        elif shape == 7:
+            value, before = r.choice([filler() + "(" + filler() + ");", "/" + filler() + "/" + filler(), filler() + "." + filler() + ".com", filler() + "@" + filler() + ".com", "#" + pick(hexa, 6), filler() + "_" + filler()]), f"{context()} {r.choice([other + eq, key + ' '])}"
+        else:
+            value, before = r.choice([filler() + filler() + str(r.randint(0, 99)), word() + "!" , word() + "?!", pick("0123456789", r.randint(6, 9))]), f"{context()} {other}{eq}"
+        if len(value) >= LEAST:
+            out.append((before, value, after, 0))
     return out
 
 
@@ -173,7 +239,7 @@ class Forest:
             gain = np.where(ok, base - hl * (k - hl) / k - hr * (n - k - hr) / (n - k), -1)
             i = int(gain.argmax())
             if gain[i] > best[0]:
-                best = (float(gain[i]), int(f), float((v[i] + v[i + 1]) / 2))
+                best = (float(gain[i]), int(f), float(mid if (mid := (v[i] + v[i + 1]) / 2) < v[i + 1] else v[i]))
         if best[1] < 0:
             return me
         side = x[:, best[1]] <= best[2]
@@ -209,10 +275,31 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _TIE = np.zeros(256, bool)
 _TIE[[58, 61]] = True
+_QUOTE = np.zeros(256, bool)
+_QUOTE[[34, 39, 96]] = True
+
+
+def keyed(data: np.ndarray, begin: np.ndarray, end: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which words stand within REACH words of one that holds a key word, in the same text."""
+    low = _LOWER[data].tobytes()
+    at = []
+    for k in _STEMS:
+        k, i = k.encode(), 0
+        while (i := low.find(k, i)) >= 0:
+            at.append(i)
+            i += len(k)
+    near = np.zeros(len(begin), bool)
+    word = np.unique(np.searchsorted(begin, np.array(at, np.int64), "right") - 1)
+    for d in (d for d in range(-REACH, REACH + 1) if d):
+        to = word + d
+        ok = (to >= 0) & (to < len(begin))
+        to, of = to[ok], word[ok]
+        near[to[text[to] == text[of]]] = True
+    return near
 
 
 def suspects(data: np.ndarray, offsets: np.ndarray):
-    """(text, first word, word, its begin and end) of words that may hold a candidate."""
+    """(text, first word, word, its begin and end, whether the whole word is a value) of words that may hold a candidate."""
     _, begin, end, first = words(data, offsets)
     size = end - begin
     if not len(begin):
@@ -220,33 +307,70 @@ def suspects(data: np.ndarray, offsets: np.ndarray):
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     ties = np.concatenate([[0], np.cumsum(_TIE[data])])
     has = digits[end] > digits[begin]
-    tied = ties[end - 1] > ties[begin]
+    tied = ties[np.maximum(end - LEAST, begin)] > ties[begin]
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    # the last byte of a word that is no quote, at most two quotes back
+    last = end - 1
+    for _ in range(2):
+        last = np.where(_QUOTE[data[last]] & (last > begin), last - 1, last)
     led = np.zeros(len(begin), bool)
-    led[1:] = _TIE[data[end[:-1] - 1]] & (text[1:] == text[:-1])
-    for w in np.flatnonzero((size >= 12) & has | tied & (size >= 10) | led & (size >= 8)):
-        yield int(text[w]), int(w), begin, end, first
+    led[1:] = _TIE[data[last[:-1]]] & (text[1:] == text[:-1])
+    led |= keyed(data, begin, end, text)
+    for w in np.flatnonzero((size >= 12) & has | tied | led & (size >= LEAST)):
+        yield int(text[w]), int(w), begin, end, first, bool(led[w])
+
+
+def values(text: str, whole: bool) -> Iterator[tuple[int, int]]:
+    """Begin and end of the values in a word: the word itself if it is one, and per assignment what is
+    behind its first tie, behind its first tie that a key word leads, and between two ties."""
+    at = 0
+    for stop in [*(m.span() for m in NEXT.finditer(text)), (len(text), len(text))]:
+        ties = [m.span() for m in TIE.finditer(text, at, stop[0])]
+        named = ties and _KEY.search(text[at : ties[0][0]].lower())
+        spans = [(at, stop[0])] if whole and at == 0 and not named else []
+        if ties:
+            spans.append((ties[0][1], stop[0]))
+            name = at
+            for i, (a, b) in enumerate(ties):
+                if i and _KEY.search(text[name:a].lower()):
+                    spans.append((b, stop[0]))
+                    break
+                name = b
+            spans += [(a[1], b[0]) for a, b in zip(ties, ties[1:])]  # noqa: B905
+        for i, j in spans:
+            closed = False
+            while i < j and text[i] in OPEN and not closed:
+                k = text.find(text[i], i + 1) if text[i] in QUOTES else -1
+                i += 1
+                if k > i:
+                    j, closed = k, True
+            while not closed and j > i and text[j - 1] in CLOSE:
+                j -= 1
+            if j - i >= LEAST:
+                yield i, j
+        at = stop[1]
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray):
     """(text, begin byte, end byte, before, value, after) of every candidate of a block of texts."""
     span = lambda i, j: data[i:j].tobytes().decode("utf-8", "replace")
-    for t, w, begin, end, first in suspects(data, offsets):
+    for t, w, begin, end, first, whole in suspects(data, offsets):
         b, e = int(begin[w]), int(end[w])
         text = data[b:e].tobytes().decode("latin-1")  # one character a byte: places stay places
         lo, hi = max(int(first[t]), w - 4), min(int(first[t + 1]), w + 4)
         before = span(int(begin[lo]), b)
         after = span(e, int(end[hi - 1])) if hi - 1 > w else ""
+        found = set(values(text, whole))
         for m in CORE.finditer(text):
             i, j = m.span()
-            lead = before + text[:i]
             if a := ASSIGN.match(text[i:j]):
-                lead += a.group()
                 i += a.end()
             while j > i and text[j - 1] in ".:=-/@":
                 j -= 1
-            if j - i >= 6:
-                yield t, b + i, b + j, lead, text[i:j], text[j:] + after
+            if j - i >= LEAST:
+                found.add((i, j))
+        for i, j in sorted(found):
+            yield t, b + i, b + j, before + text[max(0, i - 200) : i], text[i:j].encode("latin-1").decode("utf-8", "replace"), text[j : j + 200] + after
 
 
 def annotate(docs: DataFrame, forest: Forest, keep: list[str] | None = None, at_least: float = 0.5, mask: str = MASK) -> DataFrame:
@@ -266,8 +390,13 @@ def annotate(docs: DataFrame, forest: Forest, keep: list[str] | None = None, at_
                 score = held.value.predict(np.array([features(*f[3:]) for f in found])) if found else []
                 hits: dict[int, list] = {}
                 for f, s in zip(found, score, strict=True):
-                    if s >= at_least and not (hits.get(f[0]) and hits[f[0]][-1][1] > f[1]):
-                        hits.setdefault(f[0], []).append((f[1], f[2], float(s)))
+                    if s < at_least:
+                        continue
+                    spans = hits.setdefault(f[0], [])
+                    if spans and spans[-1][1] > f[1]:
+                        spans[-1] = (spans[-1][0], max(spans[-1][1], f[2]), max(spans[-1][2], float(s)))
+                    else:
+                        spans.append((f[1], f[2], float(s)))
                 part = b.slice(i, j - i)
                 texts = part.column(source)
                 lists: list[list] = [[] for _ in range(j - i)]

@@ -173,6 +173,29 @@ def test_secret_spans(spark):
     assert got[5].redacted is None and got[6].redacted == "" and not got[7].findings
 
 
+def test_secret_values_of_any_shape(spark):
+    held = {
+        "x Bearer abcdefghijklmnop y": "abcdefghijklmnop",
+        "the password s3cr3tpw": "s3cr3tpw",
+        "password: hunter2": "hunter2",
+        "password = hunter2": "hunter2",
+        "password=P@ss!w0rd#2024": "P@ss!w0rd#2024",
+        '{"user":"bob","password":"P@ss!w0rd!","x":1}': "P@ss!w0rd!",
+        "foo:password=ab:cd!99": "ab:cd!99",
+        "https://h.com/a?user=b&token=9233a8ecf7c5b09f&x=1": "9233a8ecf7c5b09f",
+    }
+    plain = ["the password strength checker and the secret garden", "The key: understanding people", "Authors: Garcia and others", "time 2020-01-01T12:30:45.123Z", "private Ciónesó", None]
+    df = docs(spark, list(enumerate([*held, *plain])))
+    got = {r.doc_id: [r.text[f.start : f.stop] for f in r.findings] for r in secrets.annotate(df, secrets.train()).collect()}
+    assert [got[i] for i in range(len(held))] == [[v] for v in held.values()]
+    assert not any(got[len(held) + i] for i in range(len(plain)))
+
+
+def test_secret_candidates_stay_linear():
+    text = ("password:" * 40_000 + "a=b&c:'" * 40_000).encode()
+    assert sum(len(c[4]) for c in secrets.candidates(np.frombuffer(text, np.uint8), np.array([0, len(text)]))) < 20 * len(text)
+
+
 # ---------------------------------------------------------------- 5
 @pytest.fixture(scope="module")
 def library():
