@@ -1,7 +1,8 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-One model per language, of order 4, over a reduced alphabet: letters are case-folded, everything
-else is one separator.  The n-gram counts are summed in Spark from a bounded sample of labelled
+One model per language, of order 4, over the UTF-16 units of the text: letters are case-folded,
+everything else is one separator, and no letter is folded away, so four symbols fill a 64-bit key
+(a letter beyond U+FFFF is two symbols).  The n-gram counts are summed in Spark from a bounded sample of labelled
 texts; a model is kept as hash arrays: sorted 64-bit keys of n-grams with their interpolated
 log-probabilities beside them.  A text gets the language of least cross-entropy per character.
 
@@ -34,8 +35,7 @@ from .common import mix, pieces, text_column, with_text
 
 ORDER = 4
 SEP = 1  # everything that is no letter
-RARE = 0  # letters outside the alphabet
-ALPHABET = 250
+BITS = 16  # of a symbol in a packed n-gram
 DISCOUNT = 0.75
 SHORT = 4.0  # a mean over n letters strays by about this over the root of n
 SALT = [np.uint64(x) for x in (0x1F83D9AB, 0x5BE0CD19, 0x9B05688C, 0x510E527F, 0x3C6EF372)]
@@ -53,6 +53,12 @@ def letters() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def folded() -> np.ndarray:
+    """letters() with the separator for all else."""
+    return np.maximum(letters(), np.uint32(SEP))
+
+
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -62,17 +68,30 @@ def squeeze(codes: np.ndarray) -> np.ndarray:
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != SEP) | (codes[:-1] != SEP)
     out = codes[keep]
-    return np.concatenate([[SEP], out[(1 if len(out) and out[0] == SEP else 0) : (-1 if len(out) > 1 and out[-1] == SEP else None)], [SEP]]).astype(np.uint8)
+    return np.concatenate([[SEP], out[(1 if len(out) and out[0] == SEP else 0) : (-1 if len(out) > 1 and out[-1] == SEP else None)], [SEP]])
+
+
+def symbols(text: str) -> np.ndarray:
+    """Case-folded letters and separators of a text as UTF-16 units."""
+    codes = squeeze(folded()[points(text)])
+    if (codes > 0xFFFF).any():
+        return np.frombuffer(codes.astype(np.uint32).tobytes().decode("utf-32-le").encode("utf-16-le"), np.uint16)
+    return codes.astype(np.uint16)
+
 
+def runs(text: str) -> np.ndarray:
+    """The packed n-grams of a text, whose first letter follows separators."""
+    return grams(np.concatenate([np.full(ORDER - 2, SEP, np.uint16), symbols(text)]), ORDER, BITS)
 
-def grams(codes: np.ndarray, n: int) -> np.ndarray:
+
+def grams(codes: np.ndarray, n: int, bits: int = 8) -> np.ndarray:
     """Packed runs of n codes; a run ends at each place after the first n - 1."""
     k = len(codes) - n + 1
     if k <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(k, np.uint64)
     for i in range(n):
-        out = (out << np.uint64(8)) | codes[i : i + k].astype(np.uint64)
+        out = (out << np.uint64(bits)) | codes[i : i + k].astype(np.uint64)
     return out
 
 
@@ -97,17 +116,17 @@ class HashArray:
 class KneserNey:
     """Interpolated model from counts of packed n-grams of the highest order."""
 
-    def __init__(self, top: np.ndarray, counts: np.ndarray, alphabet: int, order: int = ORDER):
-        self.order = order
+    def __init__(self, top: np.ndarray, counts: np.ndarray, alphabet: int, order: int = ORDER, bits: int = 8):
+        self.order, self.bits = order, bits
         g, c = top, counts.astype(np.float64)
         levels = []
         for n in range(order, 0, -1):
-            ctx, inv = np.unique(g >> np.uint64(8), return_inverse=True)
+            ctx, inv = np.unique(g >> np.uint64(bits), return_inverse=True)
             total = np.bincount(inv, c, len(ctx))
             kinds = np.bincount(inv, minlength=len(ctx)).astype(np.float64)
             levels.append((n, g, np.maximum(c - DISCOUNT, 0) / total[inv], ctx, DISCOUNT * kinds / total))
             # a lower order counts the different letters an n-gram follows
-            mask = np.uint64((1 << (8 * (n - 1))) - 1)
+            mask = np.uint64((1 << (bits * (n - 1))) - 1)
             g, c = np.unique(g & mask, return_counts=True) if n > 1 else (g, c)
             c = c.astype(np.float64)
         self.floor = 1.0 / alphabet
@@ -120,49 +139,34 @@ class KneserNey:
         """Log-probability of the last letter of each packed n-gram after the others."""
         p = np.full(len(packed), self.floor)
         for n in range(1, self.order + 1):
-            g = packed & np.uint64((1 << (8 * n)) - 1)
-            ctx = g >> np.uint64(8)
+            g = packed & np.uint64((1 << (self.bits * n)) - 1)
+            ctx = g >> np.uint64(self.bits)
             back = self.back[n].get(hashed(ctx, n - 1) if n > 1 else np.zeros(len(g), np.uint64), 1.0)
             p = self.share[n].get(hashed(g, n), 0.0) + back * p
         return np.log(p)
 
 
 class Models:
-    """All languages, their alphabet and what calibration found."""
+    """All languages and what calibration found."""
 
-    def __init__(self, languages: list[str], alphabet: np.ndarray, models: list[KneserNey]):
-        self.languages, self.alphabet, self.models = languages, alphabet, models
+    def __init__(self, languages: list[str], models: list[KneserNey]):
+        self.languages, self.models = languages, models
         self.scale, self.highest = 1.0, {}
 
-    @property
-    def table(self) -> np.ndarray:
-        if (t := self.__dict__.get("_table")) is None:
-            code = np.full(0x110000, RARE, np.uint8)
-            code[self.alphabet] = np.arange(len(self.alphabet), dtype=np.uint8) + 2
-            fold = letters()
-            t = np.where(fold == 0, SEP, code[fold]).astype(np.uint8)
-            self.__dict__["_table"] = t
-        return t
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_table"}
-
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x languages) cross-entropy per character; whether a text has a letter."""
-        codes, sizes, ink = [], [], np.zeros(len(texts), bool)
-        for i, t in enumerate(texts):
-            c = squeeze(self.table[points(t)]) if t else np.zeros(0, np.uint8)
-            ink[i] = bool((c != SEP).any())
-            g = grams(np.concatenate([np.full(ORDER - 2, SEP, np.uint8), c]), ORDER) if ink[i] else np.zeros(0, np.uint64)
-            codes.append(g.astype(np.uint32))
-            sizes.append(len(g))
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+        """(texts x languages) cross-entropy per symbol; whether a text has a letter."""
+        codes = [runs(t) if t else np.zeros(0, np.uint64) for t in texts]
+        # the last symbol of some n-gram is a letter
+        ink = np.array([bool(((g & np.uint64((1 << BITS) - 1)) != SEP).any()) for g in codes], bool)
+        codes = [g if i else g[:0] for g, i in zip(codes, ink, strict=True)]
+        sizes = [len(g) for g in codes]
+        flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         kinds, inv = np.unique(flat, return_inverse=True)
         owner = np.repeat(np.arange(len(texts)), sizes)
         n = np.maximum(np.array(sizes), 1)
         out = np.zeros((len(texts), len(self.models)))
         for j, m in enumerate(self.models):
-            lp = m.logp(kinds.astype(np.uint64))
+            lp = m.logp(kinds)
             out[:, j] = -np.bincount(owner, lp[inv], len(texts)) / n
         return out, ink
 
@@ -196,29 +200,21 @@ def train(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_i
     """Models from docs(text, lang) where trainable holds."""
     rows = sample(docs, F.lit(True) if trainable is None else trainable, id_col, sample_docs)
 
-    def alphabet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = letters()
-        for b in pieces(batches):
-            seen, n = np.unique(np.concatenate([fold[points(t)] for t in b.column("text").to_pylist()]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(n)], ["code", "n"])
-
-    found = rows.mapInArrow(alphabet, "code long, n long").where("code > 0").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(ALPHABET).collect()
-    codes = np.array(sorted(r.code for r in found), np.int64)
-    model = Models([], codes, [])
+    model = Models([], [])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             for lang in sorted(set(b.column("lang").to_pylist())):
                 texts = [t for t, x in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True) if x == lang]
-                runs = [grams(np.concatenate([np.full(ORDER - 2, SEP, np.uint8), squeeze(model.table[points(t)])]), ORDER) for t in texts]
-                g, n = np.unique(np.concatenate(runs), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                g, n = np.unique(np.concatenate([runs(t) for t in texts]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counted = rows.where("part < 2").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    # different symbols of all languages together, and one for all that were not seen
+    alphabet = len(np.unique(counted.gram.to_numpy(np.int64).view(np.uint64) & np.uint64((1 << BITS) - 1))) + 1
     for lang, part in sorted(counted.groupby("lang"), key=lambda x: x[0]):
-        part = part.sort_values("gram")
         model.languages.append(lang)
-        model.models.append(KneserNey(part.gram.to_numpy().astype(np.uint64), part.n.to_numpy(), len(codes) + 2))
+        model.models.append(KneserNey(part.gram.to_numpy(np.int64).view(np.uint64), part.n.to_numpy(), alphabet, bits=BITS))
     if not model.models:
         return model
     calibrate(model, rows.where("part = 2"), keep, margin)

@@ -313,6 +313,22 @@ def test_language_models(spark, sf):
     assert all(r.lang_pred == "und" for r in none)
 
 
+def test_languages_of_large_scripts(spark):
+    """Two languages that differ in thousands of letters alone, each of them rarer than those of the Latin texts."""
+    r = random.Random(4)
+    han = [chr(c) for c in range(0x4E00, 0x4E00 + 4000)]
+    r.shuffle(han)
+    kinds = {"aa": han[:2000], "bb": han[2000:], "cc": [chr(c) for c in range(0x20000, 0x20400)]}
+    text = lambda k: "".join(r.choice(kinds[k]) + ("" if r.random() < 0.7 else " ") for _ in range(120))
+    latin = " ".join(chr(c) * 3 for c in range(0x61, 0x17F) if chr(c).isalpha() and chr(c) == chr(c).lower()) + " " + " ".join(chr(c) * 3 for c in range(0x3B1, 0x587) if chr(c).isalpha() and chr(c) == chr(c).lower())
+    d = spark.createDataFrame([(i, k, text(k)) for i, k in enumerate(["aa", "bb", "cc"] * 80)] + [(1000 + i, "la", latin * 3) for i in range(40)], "doc_id long, lang string, text string")
+    model = langid.train(d)
+    asked = spark.createDataFrame([(i, k, text(k)) for i, k in enumerate(["aa", "bb", "cc"] * 20)] + [(100, "new", "".join(chr(0xAC00 + r.randrange(9000)) for _ in range(200)))], d.schema)
+    got = langid.predict(asked, model).collect()
+    assert all(x.lang_pred == x.lang and not x.rejected for x in got if x.doc_id < 100)
+    assert [x.rejected for x in got if x.doc_id == 100] == [True]
+
+
 def test_kneser_ney_sums_to_one():
     codes = np.array([1, 2, 3, 2, 3, 4, 1, 2, 3, 1, 1, 2, 4, 3, 1], np.uint8)
     g, n = np.unique(langid.grams(codes, 4), return_counts=True)
