@@ -10,9 +10,11 @@ Rejection is calibrated on sampled labelled texts that the models did not see: p
 `keep` quantile of the cross-entropy, plus a margin and an allowance for short texts, is the
 highest that is accepted.
 
-Training sample: texts are drawn by a hash of the id at the rate that gives about `sample_docs`
-texts a language (documented bound; whole texts), two thirds for the models, one third for
-calibration.  Prediction covers every text, whole.
+Training sample: texts are drawn by a hash of id and text at the rate that gives about
+`sample_docs` texts a language (documented bound; whole texts), two thirds for the models, one
+third for calibration.  A language of at most SMALL labelled texts uses all of them for its model,
+one that the draw left without a text takes one, and one with fewer than FEWEST texts that
+calibration got right rejects nothing.  Prediction covers every text, whole.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and are rejected;
 rows without a label are not learned from; with no labelled text at all everything is `und`;
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ from .common import mix, pieces, text_column, with_text
 
 ORDER = 4
 SEP = 1  # everything that is no letter
+SMALL = 30  # labelled texts up to which a language has none for calibration
+FEWEST = 5  # calibration texts a rejection limit rests on
 BITS = 16  # of a symbol in a packed n-gram
 DISCOUNT = 0.75
 SHORT = 4.0  # a mean over n letters strays by about this over the root of n
@@ -185,20 +190,26 @@ class Models:
         return lang, score, np.where(ink, top, np.inf), ~ink | (top > limit)
 
 
-def sample(docs: DataFrame, trainable: Column, id_col: str, sample_docs: int) -> DataFrame:
-    """(lang, text, part): about sample_docs texts a language, drawn by a hash of the id; part 2 is for calibration."""
-    rows = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    h = F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(1_000_000))
+def labelled(docs: DataFrame, trainable: Column) -> DataFrame:
+    return docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
+def sample(rows: DataFrame, sizes: dict[str, int], id_col: str, sample_docs: int) -> DataFrame:
+    """(lang, text, part): about sample_docs texts a language, drawn by a hash of id and text; part 2 is for calibration."""
+    draw = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("text")), F.lit(n))
     rate = F.lit(0)
     for lang, n in sizes.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1_000_000, int(1_000_000 * sample_docs / n) + 1))).otherwise(rate)
-    return rows.where(h < rate).select("lang", "text", F.pmod(F.xxhash64(F.lit(6), F.col(id_col)), F.lit(3)).alias("part"))
+    small = [lang for lang, n in sizes.items() if n <= SMALL]
+    part = F.when(F.col("lang").isin(small), F.lit(0).cast("long")).otherwise(draw(6, 3))
+    return rows.where(draw(5, 1_000_000) < rate).select("lang", "text", part.alias("part"))
 
 
 def train(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", sample_docs: int = 600, keep: float = 0.998, margin: float = 0.6) -> Models:
     """Models from docs(text, lang) where trainable holds."""
-    rows = sample(docs, F.lit(True) if trainable is None else trainable, id_col, sample_docs)
+    known = labelled(docs, F.lit(True) if trainable is None else trainable)
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = sample(known, sizes, id_col, sample_docs)
 
     model = Models([], [])
 
@@ -209,7 +220,11 @@ def train(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_i
                 g, n = np.unique(np.concatenate([runs(t) for t in texts]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counted = rows.where("part < 2").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = lambda texts: texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counted = counts(rows.where("part < 2").select("lang", "text"))
+    if missing := sorted(set(sizes) - set(counted.lang)):
+        one = F.min_by("text", F.xxhash64(F.lit(5), F.col(id_col), F.col("text")))
+        counted = pd.concat([counted, counts(known.where(F.col("lang").isin(missing)).groupBy("lang").agg(one.alias("text")))], ignore_index=True)
     # different symbols of all languages together, and one for all that were not seen
     alphabet = len(np.unique(counted.gram.to_numpy(np.int64).view(np.uint64) & np.uint64((1 << BITS) - 1))) + 1
     for lang, part in sorted(counted.groupby("lang"), key=lambda x: x[0]):
@@ -235,7 +250,7 @@ def calibrate(model: Models, rows: DataFrame, keep: float, margin: float) -> Non
 
     got = rows.mapInArrow(measure, "lang string, best string, h double, gap double").toPandas()
     right = got[got.lang == got.best]
-    model.highest = {lang: float(part.h.quantile(keep)) + margin for lang, part in right.groupby("lang")}
+    model.highest = {lang: float(part.h.quantile(keep)) + margin for lang, part in right.groupby("lang") if len(part) >= FEWEST}
     # logistic in the gap, fitted by the least log loss over a grid of scales
     if len(got):
         hit = (got.lang == got.best).to_numpy()

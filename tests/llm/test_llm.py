@@ -329,6 +329,20 @@ def test_languages_of_large_scripts(spark):
     assert [x.rejected for x in got if x.doc_id == 100] == [True]
 
 
+def test_rare_languages_keep_a_model(spark):
+    many = [(1000 + i, "en", f"the one and the other of them {i} were there at the end") for i in range(60)]
+    few = [(i, f"l{i}", " ".join(chr(0x3B1 + 40 * i + k) * 2 for k in range(20))) for i in range(9)]
+    same = [(None, "oo", "ooo oo oooo ooo")] * 200
+    d = spark.createDataFrame(many + few + same, "doc_id long, lang string, text string")
+    model = langid.train(d, sample_docs=40)
+    assert model.languages == sorted({x[1] for x in many + few + same})
+    got = langid.predict(d, model).where("doc_id < 1000").collect()
+    assert len(got) == 9 and all(r.lang_pred == r.lang and not r.rejected for r in got)
+    unknown = spark.createDataFrame([(None, "en", f"text of number {i}") for i in range(90)], d.schema)
+    parts = Counter(r.part for r in langid.sample(unknown, {"en": 90}, "doc_id", 600).collect())
+    assert set(parts) == {0, 1, 2} and sum(parts.values()) == 90
+
+
 def test_kneser_ney_sums_to_one():
     codes = np.array([1, 2, 3, 2, 3, 4, 1, 2, 3, 1, 1, 2, 4, 3, 1], np.uint8)
     g, n = np.unique(langid.grams(codes, 4), return_counts=True)
