@@ -3,38 +3,43 @@
 Frequent words of the corpus, with the ids they encode to, are compiled into a minimal acyclic
 transducer: words share prefixes and suffixes, arcs carry the number of words they pass over, so
 that the sum along a path is the word's row in a table of ids.  The automaton is one flat blob;
-each Python worker maps it into memory from an unnamed file.  Words that are not in it are merged
-exactly by the vocabulary's merge ranks, so the lexicon only decides the speed, never the result.
+each Python worker maps it into memory from an unnamed file.  The different words of a block of
+texts walk through it together; those that are not in it are merged exactly by the vocabulary's
+merge ranks, also together.  So the lexicon only decides the speed, never the result.
 
 Which words are frequent is counted over all texts: every partition reports the words whose share
 of its words is at least `share`; a word whose share of the whole corpus is that large has it in
 at least one partition, so none is missed.  The lexicon keeps the `lexicon_size` largest.
 
-Defined results: null text encodes as empty; an added token of the vocabulary written in a text
-is one id; decoding joins the bytes of all ids and reads them as UTF-8 with replacement; extra
-columns pass through, those named like the results are replaced; repeated rows stay rows.
+Defined results: null text encodes as empty, an empty table to an empty one; an added token of the
+vocabulary written in a text is one id; decoding joins the bytes of all ids and reads them as
+UTF-8 with replacement; null ids decode to an empty text; a text of any length is one row, taken
+whole (a very long one makes a block of its own); extra columns pass through, those named like
+the results are replaced; repeated rows stay rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import mmap
-import struct
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, text_column, with_text
+from .common import pieces, raw, text_column, with_text
 
-#: Splits text into words as byte-level BPE vocabularies do; white space is Unicode's.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+SLICE = 2 << 20  # bytes of text in a block
+LONG = 64  # bytes of a word beyond which it is merged by a heap, and never in the lexicon
+CELLS = 1 << 19  # bytes of words merged together
 
 
 def default_path() -> str:
@@ -50,12 +55,68 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of the ranges begin..begin+size, one range after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def packed(ids: list[int]) -> bytes:
-    """Little-endian u32."""
-    return _PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
+# ---------------------------------------------------------------- words
+OTHER, LETTER, DIGIT, WHITE = range(4)
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """The kind of every code point."""
+    import regex
+
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    every, out = "".join(map(chr, points)), np.zeros(0x110000, np.uint8)
+    shift = lambda i: i if i < 0xD800 else i + 0x800
+    for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (WHITE, r"\p{White_Space}+")):
+        for m in regex.finditer(pattern, every):
+            out[shift(m.start()) : shift(m.end() - 1) + 1] = kind
+    return out
+
+
+def word_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the words of a block of UTF-8 texts begin; every byte is in one word.
+
+    A word is a run of letters, of digits or of other signs, with one space before it if there is
+    one; white space before that space is a word, and so is white space that ends a text; after an
+    apostrophe that begins a word, the endings s t re ve m ll d make a word of their own with it.
+    """
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(at):
+        return at
+    b = data[at]
+    kind = kinds()[b]
+    wide = np.flatnonzero(b >= 0x80)
+    if len(wide):
+        lead, size = b[wide].astype(np.int64), np.diff(np.append(at, len(data)))[wide]
+        code = np.where(size == 2, lead & 0x1F, np.where(size == 3, lead & 0x0F, lead & 0x07))
+        for i in range(1, 4):
+            on = size > i
+            code[on] = code[on] << 6 | data[at[wide[on]] + i] & 0x3F
+        kind[wide] = kinds()[code]
+    m = len(at)
+    first = np.zeros(m + 1, bool)
+    first[np.searchsorted(at, offsets)] = True
+    edge = first.copy()
+    edge[1:m] |= kind[1:] != kind[:-1]
+    white = kind == WHITE
+    last = np.flatnonzero(white[:-1] & ~white[1:] & ~first[1:m])  # of white space, before a word
+    edge[last] = True
+    edge[last + 1] = b[last] != 0x20
+    mark = np.flatnonzero((b[:-1] == 0x27) & edge[: m - 1] & (kind[1:] == LETTER) & ~first[1:m])
+    if len(mark):
+        one = b[mark + 1]
+        second = np.where((mark + 2 < m) & ~first[np.minimum(mark + 2, m)], b[np.minimum(mark + 2, m - 1)], 0)
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        double = ((one == ord("r")) | (one == ord("v"))) & (second == ord("e")) | (one == ord("l")) & (second == ord("l"))
+        mark, n = mark[short | double], np.where(short, 1, 2)[short | double]
+        edge[mark + 1] = False
+        edge[mark + 1 + n] = True
+    return at[edge[:m]]
 
 
 class Vocabulary:
@@ -66,62 +127,112 @@ class Vocabulary:
         ids = spec["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = max([*ids.values(), *self.added.values()]) + 1
-        self.bytes_of: list[bytes] = [b""] * size
+        bytes_of: list[bytes] = [b""] * size
         for piece, i in ids.items():
-            self.bytes_of[i] = bytes(letters[c] for c in piece)
+            bytes_of[i] = bytes(letters[c] for c in piece)
         for text, i in self.added.items():
-            self.bytes_of[i] = text.encode()
-        self.single = [0] * 256
+            bytes_of[i] = text.encode()
+        self.piece_size = np.array([len(x) for x in bytes_of], np.int64)
+        self.piece_begin = np.cumsum(self.piece_size) - self.piece_size
+        self.pieces = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.single = np.zeros(256, np.int32)
         for c, b in letters.items():
             self.single[b] = ids[c]
-        self.rank: dict[tuple[int, int], int] = {}
-        self.result: list[int] = []  # by rank
+        pairs: dict[int, int] = {}
+        result = []  # by rank
+        self.size = size
         for n, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.rank.setdefault((ids[a], ids[b]), n)
-            self.result.append(ids[a + b])
-        self.NONE = len(self.result)
-
-    def merge(self, word: bytes) -> list[int]:
-        """The ids of one word: again and again the pair of least rank, the leftmost first."""
-        ids = [self.single[b] for b in word]
-        return self._short(ids) if len(ids) <= 48 else self._long(ids)
-
-    def _short(self, ids: list[int]) -> list[int]:
-        rank, result, none = self.rank.get, self.result, self.NONE
-        found = [rank(p, none) for p in zip(ids, ids[1:])]  # noqa: B905
-        found.append(none)
-        while (best := min(found)) != none:
-            k = found.index(best)
-            ids[k] = new = result[best]
-            del ids[k + 1], found[k]
-            if k + 1 < len(ids):
-                found[k] = rank((new, ids[k + 1]), none)
-            else:
-                found[k] = none
-            if k:
-                found[k - 1] = rank((ids[k - 1], new), none)
-        return ids
-
-    def _long(self, ids: list[int]) -> list[int]:
-        rank, n = self.rank.get, len(ids)
+            pairs.setdefault(ids[a] * size + ids[b], n)
+            result.append(ids[a + b])
+        self.NONE = len(result)
+        self.result = np.array([*result, 0], np.int32)
+        keys, ranks = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], ranks[order]
+        s = self.single.astype(np.int64)
+        self.first = self.rank(np.repeat(s, 256), np.tile(s, 256)).reshape(256, 256)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs of ids, NONE where they never merge."""
+        if not len(self.keys):
+            return np.full(len(a), self.NONE, np.int32)
+        key = a.astype(np.int64) * self.size + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], np.int32(self.NONE))
+
+    def merge(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words, one after another, and how many each has.  In every word again and
+        again the pair of least rank merges, the leftmost first; words of one length go together."""
+        count = np.zeros(len(begin), np.int64)
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for length in np.unique(size).tolist():
+            rows = np.flatnonzero(size == length)
+            step = CELLS // max(length, 1) if length <= LONG else 1
+            for i in range(0, len(rows), step):
+                part = rows[i : i + step]
+                if length > LONG:
+                    ids = self._long(data[begin[part[0]] : begin[part[0]] + length])[None]
+                    count[part] = ids.shape[1]
+                else:
+                    ids, count[part] = self._together(data[begin[part][:, None] + np.arange(length)])
+                done.append((part, ids, count[part]))
+        out, lead = np.zeros(count.sum(), np.uint32), np.cumsum(count) - count
+        for part, ids, n in done:
+            on = np.arange(ids.shape[1]) < n[:, None]
+            out[(lead[part][:, None] + np.arange(ids.shape[1]))[on]] = ids[on]
+        return out, count
+
+    def _together(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words of one length, a row of bytes each: (ids, how many of each row are theirs)."""
+        n, width = letters.shape
+        ids, rank = self.single[letters], self.first[letters[:, :-1], letters[:, 1:]]
+        out, count, live = np.zeros((n, width), np.int32), np.zeros(n, np.int64), np.arange(n)
+        while width > 1 and len(live):
+            best = rank.argmin(1)
+            least = rank[np.arange(len(live)), best]
+            on = least < self.NONE
+            if not on.all():
+                out[live[~on], :width], count[live[~on]] = ids[~on], width
+                live, ids, rank, best, least = live[on], ids[on], rank[on], best[on], least[on]
+            row = np.arange(len(live))
+            ids[row, best] = self.result[least]
+            ids = ids[np.arange(width) != best[:, None] + 1].reshape(len(live), width - 1)
+            rank = rank[np.arange(width - 1) != best[:, None]].reshape(len(live), width - 2)
+            width -= 1
+            for side in (best - 1, best):
+                at = np.flatnonzero((side >= 0) & (side < width - 1))
+                rank[at, side[at]] = self.rank(ids[at, side[at]], ids[at, side[at] + 1])
+        out[live, :width], count[live] = ids, width
+        return out, count
+
+    def _long(self, letters: np.ndarray) -> np.ndarray:
+        """One long word, by a heap of its pairs."""
+        ids = self.single[letters].tolist()
+        n = len(ids)
+        ranks = self.first[letters[:-1], letters[1:]]
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
+        heap = [(int(ranks[i]), int(i), ids[i], ids[i + 1]) for i in np.flatnonzero(ranks < self.NONE)]
         heapq.heapify(heap)
         dead = bytearray(n)
+        rank = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True)).get if len(heap) > 5_000 else lambda key: self._one(key)
         while heap:
             r, i, a, b = heapq.heappop(heap)
-            j, new = right[i], self.result[r]
+            j, new = right[i], int(self.result[r])
             if dead[i] or j >= n or ids[i] != a or ids[j] != b:
                 continue
             ids[i], dead[j], right[i] = new, 1, right[j]
             if right[i] < n:
                 left[right[i]] = i
-                if (r := rank((new, ids[right[i]]))) is not None:
+                if (r := rank(new * self.size + ids[right[i]])) is not None:
                     heapq.heappush(heap, (r, i, new, ids[right[i]]))
-            if (k := left[i]) >= 0 and (r := rank((ids[k], new))) is not None:
+            if (k := left[i]) >= 0 and (r := rank(ids[k] * self.size + new)) is not None:
                 heapq.heappush(heap, (r, k, ids[k], new))
-        return [x for i, x in enumerate(ids) if not dead[i]]
+        return np.array([x for i, x in enumerate(ids) if not dead[i]], np.int32)
+
+    def _one(self, key: int) -> int | None:
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.ranks[at]) if at < len(self.keys) and self.keys[at] == key else None
 
 
 @lru_cache(maxsize=4)
@@ -131,12 +242,12 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 # ---------------------------------------------------------------- the transducer
-def compile_lexicon(entries: Iterable[tuple[bytes, bytes]]) -> bytes:
-    """A blob of the minimal automaton of all words with their ids (as little-endian u32).
+def compile_lexicon(entries: Iterable[tuple[bytes, np.ndarray]]) -> bytes:
+    """A blob of the minimal automaton of all words with their ids.
 
     Words come in sorted; the states of a finished suffix are looked up in a register and shared.
-    Layout: 5 u32 sizes | arc labels | state begin u32 | state final u8 | arc target u32 |
-    arc passed-over count u32 | id begin u32 | ids.
+    Layout, all u32: arcs, states, root, words, ids | arc key (state, label) | arc target | words
+    passed over by an arc | state final | id begin | ids.
     """
     entries = sorted(dict(entries).items())
     register: dict[tuple, int] = {}
@@ -167,125 +278,107 @@ def compile_lexicon(entries: Iterable[tuple[bytes, bytes]]) -> bytes:
         child = freeze(path.pop())
         path[-1][1].append((last[len(path) - 1], child))
     root = freeze(path[0])
-    labels, begin, target, passed = bytearray(), [0], [], []
-    for final, arcs in states:
+    keys, target, passed = [], [], []
+    for s, (final, arcs) in enumerate(states):
         run = int(final)
         for label, t in arcs:
-            labels.append(label)
+            keys.append(s << 8 | label)
             target.append(t)
             passed.append(run)
             run += counts[t]
-        begin.append(len(labels))
-    id_begin, ids = [0], bytearray()
-    for _, x in entries:
-        ids += x
-        id_begin.append(len(ids))
-    u32 = lambda xs: struct.pack(f"<{len(xs)}I", *xs)
-    finals = bytes(int(f) for f, _ in states)
-    head = struct.pack("<5I", len(labels), len(states), root, len(entries), len(ids))
-    return head + bytes(labels) + finals + b"\0" * (-(len(labels) + len(finals)) % 4) + u32(begin) + u32(target) + u32(passed) + u32(id_begin) + bytes(ids)
+    begin = np.cumsum([0, *[len(x) for _, x in entries]])
+    ids = np.concatenate([np.zeros(0, np.uint32), *[x for _, x in entries]])
+    parts = ([len(keys), len(states), root, len(entries), len(ids)], keys, target, passed, [f for f, _ in states], begin, ids)
+    return np.concatenate([np.asarray(p, np.uint32) for p in parts]).tobytes()
 
 
 class Lexicon:
-    """A compiled lexicon, mapped into memory from an unnamed file of the worker."""
+    """A compiled lexicon, mapped into memory from an unnamed file in the worker's own temp folder
+    (no other process reads it; a lost worker's successor maps its own)."""
 
     def __init__(self, blob: bytes):
         with tempfile.TemporaryFile() as f:
             f.write(blob)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        arcs, states, self.root, self.size, n_ids = struct.unpack_from("<5I", self.map, 0)
-        view = memoryview(self.map)
-        self.labels_at = at = 20
-        at += arcs
-        self.final = view[at : at + states]
-        at += states
-        at += -(at - 20) % 4
-        parts = []
-        for n in (states + 1, arcs, arcs, self.size + 1):
-            parts.append(view[at : at + 4 * n].cast("I"))
-            at += 4 * n
-        self.begin, self.target, self.passed, self.id_begin = parts
-        self.ids = view[at : at + n_ids]
-
-    def get(self, word: bytes) -> bytes | None:
-        """The ids of a word as little-endian u32, None if the word isn't in the lexicon."""
-        s, row, find, base = self.root, 0, self.map.find, self.labels_at
-        begin, target, passed = self.begin, self.target, self.passed
-        for i in range(len(word)):
-            k = find(word[i : i + 1], base + begin[s], base + begin[s + 1])
-            if k < 0:
-                return None
-            k -= base
-            row += passed[k]
-            s = target[k]
-        return bytes(self.ids[self.id_begin[row] : self.id_begin[row + 1]]) if self.final[s] else None
-
-
-class _Words(dict):
-    """Ids of the words met lately; a miss asks the lexicon, then merges."""
-
-    LIMIT = 300_000
-
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon):
-        super().__init__()
-        self.vocab, self.lexicon = vocab, lexicon
-
-    def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = self.lexicon.get(raw)
-        if ids is None:
-            ids = packed(self.vocab.merge(raw))
-        if len(raw) <= 64:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-class _Runs(dict):
-    """Ids of " " + run, for runs between spaces that were met lately; a miss splits the run into words."""
-
-    LIMIT = 300_000
-
-    def __init__(self, find, words: _Words):
-        super().__init__()
-        self.find, self.words = find, words
-
-    def __missing__(self, run: str) -> bytes:
-        ids = b"".join(map(self.words.__getitem__, self.find(" " + run)))
-        if len(run) <= 64:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[run] = ids
-        return ids
+        u32 = np.frombuffer(self.map, np.uint32)
+        arcs, states, self.root, self.size, n_ids = (int(x) for x in u32[:5])
+        cuts = np.cumsum([5, arcs, arcs, arcs, states, self.size + 1, n_ids])
+        self.keys, self.target, self.passed, self.final, self.begin, self.ids = (u32[i:j] for i, j in itertools.pairwise(cuts))
+
+    def rows(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The row of each word, -1 for a word that isn't in the lexicon: all words walk together."""
+        out = np.full(len(begin), -1, np.int64)
+        if not self.size:
+            return out
+        live = np.arange(len(begin))
+        state, row, depth = np.full(len(live), self.root, np.uint32), np.zeros(len(live), np.int64), 0
+        while len(live):
+            ends = size[live] == depth
+            if ends.any():
+                hit = ends & (self.final[state] == 1)
+                out[live[hit]] = row[hit]
+                live, state, row = live[~ends], state[~ends], row[~ends]
+            key = state << np.uint32(8) | data[begin[live] + depth]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[at] == key
+            live, at = live[on], at[on]
+            row, state = row[on] + self.passed[at], self.target[at]
+            depth += 1
+        return out
 
 
 class Encoder:
     def __init__(self, path: str, blob: bytes):
         import regex
 
-        self.vocab = vocabulary(path)
-        self.find = regex.compile(SPLIT).findall
-        self.runs = _runs(regex)
-        self.words = _Words(self.vocab, Lexicon(blob))
-        self.spaced = _Runs(self.find, self.words)
-        self.added = regex.compile("|".join(map(regex.escape, sorted(self.vocab.added, key=len, reverse=True)))) if self.vocab.added else None
-
-    def plain(self, text: str) -> bytes:
-        head, *rest = self.runs(text)
-        return b"".join(map(self.words.__getitem__, self.find(head))) + b"".join(map(self.spaced.__getitem__, rest))
-
-    def __call__(self, text: str) -> bytes:
-        if self.added is None or not any(t in text for t in self.vocab.added):
-            return self.plain(text)
-        out, at = [], 0
-        for m in self.added.finditer(text):
-            out.append(self.plain(text[at : m.start()]))
-            out.append(struct.pack("<I", self.vocab.added[m.group()]))
-            at = m.end()
-        out.append(self.plain(text[at:]))
-        return b"".join(out)
+        self.vocab, self.lexicon = vocabulary(path), Lexicon(blob)
+        added = sorted(self.vocab.added, key=len, reverse=True)
+        self.added = [t.encode() for t in added]
+        self.find = regex.compile(b"|".join(regex.escape(t) for t in self.added)).finditer if added else None
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of a block of texts, one after another; how many each text has)."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        whole = data.tobytes()
+        special = []
+        if any(t in whole for t in self.added):
+            for i, j in itertools.pairwise(offsets.tolist()):
+                special += [(i + m.start(), i + m.end(), self.vocab.added[m.group().decode()]) for m in self.find(whole[i:j])]
+        cuts = np.array(special, np.int64).reshape(-1, 3)
+        begin = word_begins(data, np.unique(np.concatenate([offsets, cuts[:, 0], cuts[:, 1]])))
+        if len(cuts):  # an added token is one word, whatever it is made of
+            inside = np.searchsorted(cuts[:, 0], begin, "left") - 1
+            begin = begin[(inside < 0) | (begin >= cuts[inside, 1])]
+        which, words = distinct(whole, begin)
+        word, at, size = words
+        row = self.lexicon.rows(word, at, size)
+        known = row >= 0
+        new, n_new = self.vocab.merge(word, at[~known], size[~known])
+        count, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        lo, hi = (self.lexicon.begin[row[known] + k].astype(np.int64) for k in (0, 1))
+        count[known], count[~known] = hi - lo, n_new
+        old = self.lexicon.ids[ragged(lo, hi - lo)]
+        start[known] = np.cumsum(hi - lo) - (hi - lo)
+        start[~known] = len(old) + np.cumsum(n_new) - n_new
+        if len(cuts):
+            which[np.searchsorted(begin, cuts[:, 0])] = len(at) + np.arange(len(cuts))
+            start = np.concatenate([start, len(old) + len(new) + np.arange(len(cuts))])
+            count = np.concatenate([count, np.ones(len(cuts), np.int64)])
+        pool = np.concatenate([old, new, cuts[:, 2].astype(np.uint32)])
+        n = count[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        per_text = total[np.searchsorted(begin, offsets)]
+        return pool[ragged(start[which], n)], np.diff(per_text)
+
+
+def distinct(whole: bytes, begin: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the words that begin so: the number of each one's kind, and (bytes, begin, size) of the kinds."""
+    ends = np.append(begin, len(whole)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(whole)]).dictionary_encode()
+    data, off = raw(words.dictionary)
+    return words.indices.to_numpy().astype(np.int64), (data, off[:-1], np.diff(off))
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -300,51 +393,30 @@ def _encoder(path: str, blob: bytes) -> Encoder:
     return _ENCODERS[key]
 
 
-def _runs(regex):
-    """text -> its runs, cut before every space that something other than white space follows: a
-    word always begins at such a space, so the runs can be split into words one by one."""
-    odd = regex.compile(r" (?:\p{White_Space}|$)").search
-    cut = regex.compile(r" (?=\P{White_Space})").split
-    return lambda text: cut(text) if odd(text) else text.split(" ")
-
-
 # ---------------------------------------------------------------- over DataFrames
 def frequent_words(docs: DataFrame, share: float = 2e-6, lexicon_size: int = 65_536) -> list[str]:
     """The commonest words of all texts, at most lexicon_size of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find, cut = regex.compile(SPLIT).findall, _runs(regex)
-        seen, runs, total, floor = Counter(), Counter(), 0, 0.0
-
-        def fold() -> int:
-            n_words = 0
-            for run, n in runs.items():
-                for w in find(" " + run):
-                    seen[w] += n
-                    n_words += n
-            runs.clear()
-            return n_words
-
-        for b in pieces(batches):
-            for text in b.column("text").to_pylist():
-                if text:
-                    head, *rest = cut(text)
-                    for w in find(head):
-                        seen[w] += 1
-                        total += 1
-                    runs.update(rest)
-            if len(runs) > 300_000:
-                total += fold()
+        seen, total, floor = Counter(), 0, 0.0
+        for b in pieces(batches, SLICE):
+            data, off = raw(b.column("text"))
+            if not len(data):
+                continue
+            begin = word_begins(data, off)
+            which, (word, at, size) = distinct(data.tobytes(), begin)
+            n, whole = np.bincount(which, minlength=len(at)), word.tobytes()
+            total += len(begin)
+            for i, k, m in zip(at.tolist(), size.tolist(), n.tolist(), strict=True):
+                if k <= LONG:
+                    seen[whole[i : i + k]] += m
             if len(seen) > 600_000:  # lossy counting: what lies under the share so far is let go
                 floor = max(floor, share * total)
                 seen = Counter({w: n for w, n in seen.items() if n >= floor})
-        total += fold()
-        kept = [(w, n) for w, n in seen.items() if n >= share * total - floor and len(w) <= 64]
+        kept = [(w, n) for w, n in seen.items() if n >= share * total - floor]
         for i in range(0, len(kept), 50_000):
             part = kept[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], ["word", "n"])
 
     rows = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = rows.orderBy(F.desc("n"), "word").limit(lexicon_size).collect()
@@ -352,13 +424,20 @@ def frequent_words(docs: DataFrame, share: float = 2e-6, lexicon_size: int = 65_
 
 
 def build_lexicon(words: Iterable[str], path: str) -> bytes:
-    vocab = vocabulary(path)
-    entries = {}
-    for w in words:
-        raw = w.encode()
-        if raw:
-            entries[raw] = packed(vocab.merge(raw))
-    return compile_lexicon(entries.items())
+    raws = [w.encode() for w in words if w]
+    size = np.array([len(w) for w in raws], np.int64)
+    ids, n = vocabulary(path).merge(np.frombuffer(b"".join(raws), np.uint8), np.cumsum(size) - size, size)
+    ends = np.cumsum(n)
+    return compile_lexicon((w, ids[e - k : e]) for w, e, k in zip(raws, ends.tolist(), n.tolist(), strict=True))
+
+
+def _blobs(data: np.ndarray, size: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A column of len(size) values that lie one after another in data."""
+    wide = int(size.sum()) >= 1 << 31
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64 if wide else np.int32)
+    if wide:
+        kind = pa.large_string() if kind == pa.string() else pa.large_binary()
+    return pa.Array.from_buffers(kind, len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = None, lexicon_size: int = 65_536) -> DataFrame:
@@ -372,28 +451,42 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = _encoder(path, held.value)
-        for b in pieces(batches, 2 << 20, source):
-            ids = [code(t) if t else b"" for t in b.column(source).to_pylist()]
+        for b in pieces(batches, SLICE, source):
+            ids, n = code(*raw(b.column(source)))
             cols = [b.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*keep, "n_tokens", "token_ids"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n), _blobs(ids, 4 * n, pa.binary())], [*keep, "n_tokens", "token_ids"])
 
     src = with_text(docs, keep)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())])
     return src.mapInArrow(run, schema)
 
 
+def _texts(vocab: Vocabulary, column: pa.Array) -> pa.Array:
+    """The texts of a column of token ids."""
+    data, off = raw(column)
+    ids = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
+    size = vocab.piece_size[ids]
+    out = vocab.pieces[ragged(vocab.piece_begin[ids], size)]
+    ends = np.concatenate([[0], np.cumsum(size)])[off // 4]
+    at = ends[:-1][np.diff(ends) > 0]
+    try:
+        sound = not ((out[at] & 0xC0) == 0x80).any() and out.tobytes().decode() is not None
+    except UnicodeDecodeError:
+        sound = False
+    if sound:  # as a whole, and no text begins inside a character
+        return _blobs(out, np.diff(ends), pa.string())
+    return pa.array([out[i:j].tobytes().decode("utf-8", "replace") for i, j in itertools.pairwise(ends.tolist())], pa.string())
+
+
 def decode(encoded: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """encoded (the columns in keep, else all) with decoded, the text of token_ids."""
     path = path or default_path()
     keep = [c for c in (encoded.columns if keep is None else keep) if c != "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = vocabulary(path).bytes_of.__getitem__
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                texts = [b"".join(map(piece, memoryview(x).cast("I"))).decode("utf-8", "replace") if x else "" for x in part.column("_ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, "decoded"])
+        vocab = vocabulary(path)
+        for b in pieces(batches, SLICE, "_ids"):
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], _texts(vocab, b.column("_ids"))], [*keep, "decoded"])
 
     src = encoded.select(*keep, F.col("token_ids").alias("_ids"))
     schema = T.StructType([*[encoded.schema[c] for c in keep], T.StructField("decoded", T.StringType())])

@@ -217,18 +217,39 @@ def test_bpe_equals_the_library(spark, rows, library):
 
 def test_lexicon_shares_suffixes():
     words_ = [b"walking", b"talking", b"walk", b"talk", b"sing", "é".encode(), b"a"]
-    lex = bpe.Lexicon(bpe.compile_lexicon((w, struct.pack("<I", k)) for k, w in enumerate(words_)))
-    assert [lex.get(w) for w in words_] == [struct.pack("<I", k) for k in range(len(words_))]
-    assert lex.get(b"walkin") is None and lex.get(b"") is None and lex.get(b"zzz") is None
+    lex = bpe.Lexicon(bpe.compile_lexicon((w, np.array([k, k], np.uint32)) for k, w in enumerate(words_)))
+    asked = [*words_, b"walkin", b"zzz", b"walkings"]
+    size = np.array([len(w) for w in asked])
+    rows_ = lex.rows(np.frombuffer(b"".join(asked), np.uint8), np.cumsum(size) - size, size).tolist()
+    assert rows_[:7] == [sorted(words_).index(w) for w in words_] and rows_[7:] == [-1] * 3
+    assert [lex.ids[lex.begin[r] : lex.begin[r + 1]].tolist() for r in rows_[:7]] == [[k, k] for k in range(7)]
     assert len(lex.final) < sum(map(len, words_)) - 6  # -ing and -alk are there once
 
 
-def test_long_and_short_merges_agree():
+def test_merges_agree_with_the_plain_rule():
     v = bpe.vocabulary(bpe.default_path())
+    ranks = dict(zip(v.keys.tolist(), v.ranks.tolist()))
     r = random.Random(2)
-    for _ in range(200):
-        ids = [v.single[b] for b in bytes(r.choice(b"thean ingor") for _ in range(r.randint(1, 60)))]
-        assert v._short(list(ids)) == v._long(list(ids))
+    words_ = [bytes(r.choice(b"thean ingor") for _ in range(r.randint(1, 150))) for _ in range(300)]
+
+    def plain(word):
+        ids = [int(v.single[b]) for b in word]
+        while pairs := [(ranks[a * v.size + b], i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if a * v.size + b in ranks]:
+            best = min(pairs)
+            ids[best[1] : best[1] + 2] = [int(v.result[best[0]])]
+        return ids
+
+    size = np.array([len(w) for w in words_])
+    ids, n = v.merge(np.frombuffer(b"".join(words_), np.uint8), np.cumsum(size) - size, size)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [plain(w) for w in words_]
+
+
+def test_decoding_reads_any_ids(spark, library):
+    r = random.Random(3)
+    lists = [[r.randrange(50_000) for _ in range(r.randint(0, 6))] for _ in range(200)] + [None]
+    rows_ = [(i, None if x is None else struct.pack(f"<{len(x)}I", *x)) for i, x in enumerate(lists)]
+    got = {x.id: x.decoded for x in bpe.decode(spark.createDataFrame(rows_, "id long, token_ids binary")).collect()}
+    assert got == {i: library.decode(x or [], skip_special_tokens=False) for i, x in enumerate(lists)}
 
 
 # ---------------------------------------------------------------- 6 and 8
