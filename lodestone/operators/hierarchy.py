@@ -1,4 +1,4 @@
-"""Type hierarchy: direct relations, and closures by recursion in SQL."""
+"""Type hierarchy: direct relations, and closures in rounds."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rounds import settled
+
 RELATIONS = ["class", "extends", "implements", "sub", "impl"]
 
 
@@ -32,34 +34,56 @@ def relation_rank():
 def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     """child, ancestor, depth: every ancestor with its least distance, at most max_depth hops.
 
-    edges: child, parent (supers and interfaces alike).  Runs as a recursive CTE; a cycle ends at the cap."""
-    spark = edges.sparkSession
-    view = f"_edges_{abs(hash(id(edges)))}"
-    edges.select("child", "parent").distinct().createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE up(child, ancestor, depth) MAX RECURSION LEVEL {max_depth + 2} AS (
-            SELECT child, parent, 1 FROM {view}
-            UNION ALL
-            SELECT up.child, e.parent, up.depth + 1 FROM up JOIN {view} e ON e.child = up.ancestor WHERE up.depth < {max_depth})
-        SELECT child, ancestor, min(depth) AS depth FROM up GROUP BY child, ancestor""")
+    edges: child, parent (supers and interfaces alike).  Each round goes one hop up from the pairs
+    that the last one found and keeps those that are new, so a pair is found once however many
+    paths lead to it, and cycles end by themselves."""
+    up = edges.select("child", "parent").distinct()
+    new = settled(up.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+    found = new
+    up = up.select(F.col("child").alias("ancestor"), "parent")
+    for depth in range(2, max_depth + 1):
+        step = new.join(up, "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
+        new = settled(step.join(found, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        if new.isEmpty():
+            break
+        found = found.unionByName(new)
+    return found
 
 
 def subtypes(edges: DataFrame, top: str, max_depth: int = 64) -> DataFrame:
     """class, depth of everything below a type; a frontier of new names a round, so cycles end by themselves."""
-    seen = edges.where(F.col("parent") == top).select(F.col("child").alias("class")).distinct().withColumn("depth", F.lit(1))
-    spark = edges.sparkSession
-    view = f"_sub_{abs(hash(id(edges)))}"
-    edges.select("child", "parent").distinct().createOrReplaceTempView(view)
-    del seen
-    return spark.sql(
-        f"""
-        WITH RECURSIVE down(class, depth) MAX RECURSION LEVEL {max_depth + 2} AS (
-            SELECT child, 1 FROM {view} WHERE parent = :top
-            UNION ALL
-            SELECT e.child, d.depth + 1 FROM down d JOIN {view} e ON e.parent = d.class WHERE d.depth < {max_depth})
-        SELECT class, min(depth) AS depth FROM down GROUP BY class""",
-        args={"top": top},
-    )
+    down = edges.select(F.col("parent").alias("class"), "child").distinct()
+    new = settled(down.where(F.col("class") == top).select(F.col("child").alias("class"), F.lit(1).alias("depth")))
+    found = new
+    for depth in range(2, max_depth + 1):
+        step = new.join(down, "class").select(F.col("child").alias("class")).distinct()
+        new = settled(step.join(found, "class", "left_anti").withColumn("depth", F.lit(depth)))
+        if new.isEmpty():
+            break
+        found = found.unionByName(new)
+    return found
+
+
+def assignable(pairs: DataFrame, closed: DataFrame, top: str = "java/lang/Object") -> DataFrame:
+    """pairs (sub, sup: names, or descriptors of arrays) with ok: whether sub can stand where sup is asked for.
+
+    A type is itself, all that lies above it in closed (child, ancestor), and the top unless it is
+    primitive.  Arrays of references follow their elements, dimension by dimension; arrays of
+    primitives are only themselves."""
+    depth = lambda c: F.length(F.regexp_extract(c, r"^(\[*)", 1))
+    dims = F.least(depth("sub"), depth("sup"))
+    name = lambda c: F.when(F.col(c).rlike("^L.*;$") & (F.col("_dims") > 0), F.expr(f"substring({c}, 2, length({c}) - 2)")).otherwise(F.col(c))
+    peeled = pairs.select("sub", "sup", F.struct("sub", "sup").alias("_pair"), dims.alias("_dims"))
+    peeled = peeled.select("_pair", "_dims", *[F.expr(f"substring({c}, _dims + 1)").alias(c) for c in ("sub", "sup")])
+    simple = lambda c: F.col(c).rlike("^[IZBSCJFDV]$")
+    peeled = peeled.withColumn("_plain", simple("sub") | simple("sup"))
+    peeled = peeled.select("_pair", "_dims", "_plain", name("sub").alias("sub"), name("sup").alias("sup"))
+    # an array reaches the top, and above it in closed there is nothing else; L..; is the name of an element
+    known = closed.select(F.col("child").alias("sub"), F.col("ancestor").alias("sup"), F.lit(True).alias("_above")).distinct()
+    got = peeled.join(known, ["sub", "sup"], "left")
+    same, array = F.col("sub") == F.col("sup"), F.col("sub").startswith("[")
+    ok = same | (~F.col("_plain") & ((F.col("sup") == top) | (~array & F.coalesce("_above", F.lit(False)))))
+    return got.select("_pair.sub", "_pair.sup", ok.alias("ok"))
 
 
 def reachable(start: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
@@ -68,6 +92,6 @@ def reachable(start: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
     new = seen
     for k in range(1, rounds + 1):
         step = new.join(edges, new["name"] == edges["src"]).select(F.col("dst").alias("name")).distinct()
-        new = step.join(seen, "name", "left_anti").withColumn("round", F.lit(k))
+        new = settled(step.join(seen, "name", "left_anti").withColumn("round", F.lit(k)))
         seen = seen.unionByName(new)
     return seen

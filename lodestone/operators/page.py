@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+DEFAULT_CAP = 500  # rows of an answer that names no limit
+
+
 def window(rows: DataFrame, order: list, offset: int = 0, limit: int = 0) -> DataFrame:
     """The rows from offset on in the order, limit 0: all of them.  A limit plans as one take-ordered."""
     out = rows.orderBy(*order)
@@ -27,6 +30,11 @@ def total(rows: DataFrame, count: Column | None = None) -> DataFrame:
     return rows.agg((count if count is not None else F.count("*")).alias("total"))
 
 
+def capped(rows: DataFrame, order: list, cap: int = DEFAULT_CAP) -> DataFrame:
+    """The first rows, at most cap of them, each with truncated: whether there are more."""
+    return with_total(rows, order, 0, cap).withColumn("truncated", F.col("total") > cap).drop("total")
+
+
 def with_total(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     """The page, each row with the total of all rows."""
     return window(rows, order, offset, limit).crossJoin(F.broadcast(total(rows)))  # the total is one row

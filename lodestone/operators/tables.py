@@ -38,6 +38,15 @@ def all_inside(candidates: DataFrame, refs: DataFrame, key: str, violates: Colum
     return candidates.join(refs.where(violates).select(key), key, "left_anti")
 
 
+def outside_writes(refs: DataFrame, fields: DataFrame, key: list[str], owner: str, writer: str, method: str, constructors: Sequence[str] = ("<init>", "<clinit>")) -> DataFrame:
+    """References that write a final field from another class, or from its own outside a constructor.
+
+    refs: key, writer, method, is_write; fields: key, owner, is_final."""
+    final = fields.where("is_final").select(*key, F.col(owner).alias("_owner"))
+    hit = refs.where("is_write").join(final, key)
+    return hit.where((F.col("_owner") != F.col(writer)) | ~F.col(method).isin(*constructors)).drop("_owner")
+
+
 def crossing(refs: DataFrame, left: Column, right: Column) -> DataFrame:
     """References between different groups: the theta part stays a filter after the equi-join."""
     return refs.where(left != right)
@@ -51,14 +60,26 @@ def unique_value(rows: DataFrame, domain: DataFrame, keys: list[str], value: str
 
 def nesting(names: DataFrame, name: str, sep: str = "$") -> DataFrame:
     """name and outer: the part before the last sep if a class of that name exists, else null."""
-    parent = F.substring_index(F.col(name), sep, -1)
     cut = F.when(F.contains(F.col(name), F.lit(sep)), F.expr(f"substring({name}, 1, length({name}) - length(substring_index({name}, '{sep}', -1)) - 1)"))
-    del parent
     known = names.select(F.col(name).alias("outer")).distinct()
     cand = names.select(name, cut.alias("_o"))
     return cand.join(known, cand["_o"] == known["outer"], "left").select(name, "outer")
 
 
+def nesting_evidence(annotations: DataFrame) -> DataFrame:
+    """image_seq, class_seq, enclosing_class, enclosing_method, inner_name, members of the classes that the
+    system annotations place; annotations: image_seq, class_seq, type, elements (JSON), on classes."""
+    said = lambda kind, key: F.max(F.when(F.col("type") == f"Ldalvik/annotation/{kind};", F.get_json_object("elements", f"$.{key}")))
+    per = annotations.where(F.col("type").startswith("Ldalvik/annotation/")).groupBy("image_seq", "class_seq")
+    got = per.agg(
+        said("EnclosingClass", "value").alias("enclosing_class"),
+        said("EnclosingMethod", "value").alias("enclosing_method"),
+        said("InnerClass", "name").alias("inner_name"),
+        F.from_json(said("MemberClasses", "value"), "array<string>").alias("members"),
+    )
+    return got.where(F.coalesce("enclosing_class", "enclosing_method", "inner_name", F.to_json("members")).isNotNull())
+
+
 def top_level(nested: DataFrame) -> DataFrame:
     """Classes without a real outer class."""
     return nested.where(F.col("outer").isNull()).drop("outer")

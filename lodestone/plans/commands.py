@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +18,9 @@ from ..operators import hierarchy as H
 from ..operators import page as W
 from ..operators import refs as R
 from ..operators import tables as J
+from ..operators.rounds import settled
 from ..sources import archive, axml
-from ..sources.artifact import Artifacts
+from ..sources.artifact import FILE_TABLES, Artifacts
 
 KINDS = ("string", "type", "field", "method")
 SHORT = {"string": "const-string", "type": "type", "field": "field", "method": "invoke"}
@@ -62,8 +64,13 @@ class Session:
 
     def __post_init__(self):
         self.a = Artifacts(self.spark, self.path, self.dex)
+        self._checked = False
 
     def t(self, name: str) -> DataFrame:
+        """A table; the first one of images checks that there are any."""
+        if name not in FILE_TABLES and not self._checked:
+            self._checked = True
+            self.check()
         return self.a.table(name)
 
     def images(self) -> DataFrame:
@@ -72,7 +79,10 @@ class Session:
 
     def check(self) -> None:
         """Fails if no image is left: none there, none that decodes, or none that --dex names."""
-        if self.t("images").limit(1).count() == 0:
+        if self.a.table("images").isEmpty():
+            bad = self.a.corrupt().orderBy("image_seq").limit(20).collect()
+            if bad:
+                raise NotFound("no image decodes: " + "; ".join(f"{r.label}: {r.reason}" for r in bad))
             labels = [r.label for r in Artifacts(self.spark, self.path).images_raw().select("label").orderBy("image_seq").limit(20).collect()]
             raise NotFound(f"no image matches; there are: {', '.join(labels) or 'none'}")
 
@@ -154,7 +164,10 @@ class Session:
         page = W.window(rows.select("image_seq", "string_idx", "dex", F.col("value").alias("string")), ["image_seq", "string_idx"], offset, limit)
         if not locations:
             return page.select("dex", "string")
-        used = self.refs().where("ref_kind = 'string'").select("image_seq", F.col("ref_idx").alias("string_idx"), F.concat(N.dotted(F.col("class")), F.lit("."), "method").alias("u")).distinct()
+        page = settled(page)
+        mine = page.select("image_seq", F.col("string_idx").alias("ref_idx"))
+        asked = self.refs().where("ref_kind = 'string'").join(F.broadcast(mine) if 0 < limit <= 10_000 else mine, ["image_seq", "ref_idx"], "left_semi")
+        used = asked.select("image_seq", F.col("ref_idx").alias("string_idx"), F.concat(N.dotted(F.col("class")), F.lit("."), "method").alias("u")).distinct()
         got = page.join(used, ["image_seq", "string_idx"], "left").groupBy("image_seq", "string_idx", "dex", "string").agg(F.array_sort(F.collect_list("u")).alias("used_by"))
         return got.orderBy("image_seq", "string_idx").select("dex", "string", "used_by")
 
@@ -219,12 +232,12 @@ class Session:
     # ------------------------------------------------------------ context
     def facts(self) -> dict:
         """Package, version, application, launcher and sdk of the manifest."""
-        rows = self.t("manifest_elements").orderBy("input", "nr").limit(100_000).collect()  # one document
-        if not rows:
+        every = self.t("manifest_elements")
+        first = every.agg(F.min("input")).first()[0]
+        if first is None:
             raise NotFound("no manifest")
         get = lambda r, k: r.attrs.get(f"android:{k}", r.attrs.get(k))
-        first = rows[0].input
-        rows = [r for r in rows if r.input == first]
+        rows = every.where(F.col("input") == first).orderBy("nr").collect()  # one document
         root = rows[0]
         pkg = root.attrs.get("package", "")
         out = {"package": pkg, "version": get(root, "versionName"), "version_code": get(root, "versionCode"), "application": None, "label": None, "launcher": None, "min_sdk": None, "target_sdk": None}
@@ -258,15 +271,17 @@ class Session:
         row = self.t("resources").where((F.col("pkg") == n >> 24) & (F.col("type") == (n >> 16 & 255)) & (F.col("entry") == (n & 0xFFFF))).first()
         return row.value if row else text
 
-    def info(self) -> dict:
+    def info(self, offset: int = 0, limit: int = W.DEFAULT_CAP) -> dict:
+        """Facts of the manifest, totals, and a page of the images; next_offset says that there are more."""
         per = self.t("images").orderBy("image_seq")
         total = per.agg(F.count("*").alias("n"), F.sum("classes").alias("c")).first()
         try:
             facts = self.facts()
         except NotFound:
             facts = {}
-        images = per.select("label", "dex_version", "classes", "methods", "fields", "strings").limit(500).collect()
-        return facts | {"images": [r.asDict() for r in images], "total_images": total.n, "total_classes": total.c or 0}
+        page = W.fetch(per.select("image_seq", "label", "dex_version", "classes", "methods", "fields", "strings"), ["image_seq"], offset, limit)
+        images = [{k: v for k, v in r.asDict().items() if k != "image_seq"} for r in page.rows]
+        return facts | {"images": images, "total_images": total.n, "total_classes": total.c or 0, "next_offset": page.next_offset}
 
     def mainactivity(self) -> dict:
         f = self.facts()
@@ -275,20 +290,29 @@ class Session:
         return {"package": f["package"], "application": f["application"], "launcher": f["launcher"], "dex": row.dex if row else "-"}
 
     def _bytes(self, name: str) -> bytes:
-        for r in self.a.files.orderBy("path").limit(1).collect():
-            got = bytes(r.content) if name == "AndroidManifest.xml" and bytes(r.content[:2]) == b"\x03\x00" else archive.member(r.path, bytes(r.content), name)
-            if got:
-                return got
-        raise NotFound(f"no {name}")
+        """The member of that name of the first input that has one."""
+
+        def find(batches):
+            for b in batches:
+                for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                    got = data if name == "AndroidManifest.xml" and data[:2] == b"\x03\x00" else archive.member(path, data, name)
+                    if got:
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([got], pa.binary())], ["path", "data"])
+
+        row = self.a.files.mapInArrow(find, "path string, data binary").orderBy("path").first()
+        if row is None:
+            raise NotFound(f"no {name}")
+        return bytes(row.data)
 
     def manifest(self, component: str | None = None) -> str | DataFrame:
         """The manifest as text, or the elements of one kind (plural or singular; launcher: the activity that starts)."""
         if component is None:
             return axml.to_xml(self._bytes("AndroidManifest.xml"))
-        kind = component.rstrip("s") if component not in ("activities",) else "activity"
-        known = {"activity": "activity", "activitie": "activity", "service": "service", "receiver": "receiver", "provider": "provider", "permission": "uses-permission", "launcher": "activity"}
+        plural = {"activities": "activity", "activity-aliases": "activity-alias"} | {f"{k}s": k for k in ("service", "receiver", "provider", "permission", "application", "launcher")}
+        kind = plural.get(component, component)
+        known = {"activity": "activity", "activity-alias": "activity-alias", "service": "service", "receiver": "receiver", "provider": "provider", "application": "application", "permission": "uses-permission", "launcher": "activity"}
         if kind not in known:
-            raise BadQuery(f"unknown component {component}")
+            raise BadQuery(f"unknown component {component}; one of {', '.join(known)}")
         rows = self.t("manifest_elements").where(F.col("element") == known[kind])
         if kind == "launcher":
             f = self.facts()
@@ -341,8 +365,14 @@ class Session:
         src = outlines(self.a.images_raw(), None, None, package.replace(".", "/"))
         return src.select(F.concat("class", F.lit(".java")).alias("path"), "source")
 
+    def nesting(self) -> DataFrame:
+        """image_seq, class, enclosing_class, enclosing_method, inner_name, members: what the system
+        annotations of a class say about where it is nested."""
+        owner = self.t("class_defs").select("image_seq", "class_seq", "class")
+        return J.nesting_evidence(self.t("annotations")).join(owner, ["image_seq", "class_seq"]).drop("class_seq")
+
     def export(self, out: str, package: str | None = None) -> None:
-        """One file row per top-level class, as text Parquet partitions below out."""
+        """A Parquet table (path, source) below out, one row per top-level class."""
         self.pkg(package if package is not None else "").write.mode("overwrite").parquet(out)
 
 

@@ -87,6 +87,11 @@ def findrefs_page(t: Tables) -> DataFrame:
     return W.with_total(_methods(_found(t, NEEDLE2)), ["class", "method", "dex"], 40, 20)
 
 
+@query(f"WITH m AS ({_sql_methods(_sql_found(NEEDLE2))}) SELECT *, (SELECT count(*) FROM m) > 500 AS truncated FROM m ORDER BY class, method, dex LIMIT 500")
+def findrefs_capped(t: Tables) -> DataFrame:
+    return W.capped(_methods(_found(t, NEEDLE2)), ["class", "method", "dex"])
+
+
 @query(_sql_methods(f"(SELECT r.*, p_name AS target FROM {SQL_REFS} r JOIN part ON p_partkey = ref_idx WHERE p_name = (SELECT min(p_name) FROM part))"))
 def callers(t: Tables) -> DataFrame:
     name = t.part.agg(F.min("p_name").alias("p_name"))
@@ -121,7 +126,8 @@ def strings_page(t: Tables) -> DataFrame:
  SELECT string_idx, string, coalesce(string_agg(class, '; ' ORDER BY class), '') AS used_by FROM u GROUP BY ALL""")
 def strings_locations(t: Tables) -> DataFrame:
     page = W.window(t.part.where(N.contains(F.col("p_name"), NEEDLE2)).select(F.col("p_partkey").alias("string_idx"), F.col("p_name").alias("string")), ["string_idx"], 0, 10)
-    used = t.refs().select(F.col("ref_idx").alias("string_idx"), "class").distinct()
+    mine = t.refs().join(F.broadcast(page.select(F.col("string_idx").alias("ref_idx"))), "ref_idx", "left_semi")  # a page of ten
+    used = mine.select(F.col("ref_idx").alias("string_idx"), "class").distinct()
     got = page.join(used, "string_idx", "left").groupBy("string_idx", "string").agg(F.array_sort(F.collect_list("class")).alias("used_by"))
     return got.withColumn("used_by", F.array_join("used_by", "; "))
 
@@ -185,9 +191,9 @@ def tree_by_count(t: Tables) -> DataFrame:
     return P.in_order(P.frontier(t.classes(), "class", depth=2), "count").select(*TREE).limit(10)
 
 
-@query(f"SELECT class, image FROM {SQL_CLASSES} WHERE contains(lower(class), 'china') ORDER BY class_seq LIMIT 50")
+@query(f"SELECT class, image FROM {SQL_CLASSES} WHERE contains(lower(class), 'nation_1') ORDER BY class_seq LIMIT 50")
 def listclasses_pattern(t: Tables) -> DataFrame:
-    return W.window(t.classes().where(N.contains_ignoring_case(F.col("class"), "ChiNA")).select("class", "image", "class_seq"), ["class_seq"], 0, 50).select("class", "image")
+    return W.window(t.classes().where(N.contains_ignoring_case(F.col("class"), "NaTion_1")).select("class", "image", "class_seq"), ["class_seq"], 0, 50).select("class", "image")
 
 
 @query(sql_frontier(f"(SELECT class AS key, 1 AS w FROM {SQL_CLASSES})", "."))
@@ -206,17 +212,20 @@ def entry_lookup(t: Tables) -> DataFrame:
 
 
 # ------------------------------------------------------------------ hierarchy
-_SQL_DIRECT = f"""(SELECT 'class' AS relation, n_name AS class FROM nation WHERE n_name = 'CHINA'
- UNION ALL SELECT 'extends', parent FROM {SQL_EDGES} WHERE child = 'CHINA' UNION ALL SELECT 'sub', child FROM {SQL_EDGES} WHERE parent = 'CHINA'
- UNION ALL SELECT 'impl', c_name FROM {SQL_CLASSES} WHERE c_mktsegment = 'CHINA')"""
+_SQL_DIRECT = f"""(SELECT 'class' AS relation, n_name AS class FROM nation WHERE n_name = (SELECT min(n_name) FROM nation)
+ UNION ALL SELECT 'extends', parent FROM {SQL_EDGES} WHERE child = (SELECT min(n_name) FROM nation)
+ UNION ALL SELECT 'sub', child FROM {SQL_EDGES} WHERE parent = (SELECT min(n_name) FROM nation)
+ UNION ALL SELECT 'impl', s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = (SELECT min(n_name) FROM nation))"""
 
 
 @query(f"SELECT relation, class FROM {_SQL_DIRECT}")
 def hierarchy_direct(t: Tables) -> DataFrame:
-    c = t.classes()
-    types = c.select(F.lit("a").alias("dex"), F.col("c_name").alias("class"), F.col("n_name").alias("super"), F.array("c_mktsegment").alias("interfaces"))
-    nations = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit("a").alias("dex"), F.col("n_name").alias("class"), F.col("r_name").alias("super"), F.array().cast("array<string>").alias("interfaces"))
-    return H.direct(types.unionByName(nations), "CHINA").select("relation", "class")
+    none, nations = F.array().cast("array<string>"), t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    kinds = t.classes().select(F.lit("a").alias("dex"), F.col("c_name").alias("class"), F.col("n_name").alias("super"), none.alias("interfaces"))
+    above = nations.select(F.lit("a"), "n_name", "r_name", none)
+    makers = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("a"), "s_name", F.lit(None).cast("string"), F.array("n_name"))
+    first = t.nation.agg(F.min("n_name")).first()[0]  # one row
+    return H.direct(kinds.union(above).union(makers), first).select("relation", "class")
 
 
 @query(sql_frontier("(SELECT 'sub' AS relation, n_name || '.' || c_mktsegment || '.' || c_name AS key, 1 AS w FROM " + SQL_CLASSES + " UNION ALL SELECT 'impl', c_mktsegment || '.' || c_name, 1 FROM " + SQL_CLASSES + ")", ".", depth=2, by="relation"))
@@ -240,6 +249,30 @@ def subtypes_of(t: Tables) -> DataFrame:
     return H.subtypes(t.edges(), "ASIA")
 
 
+_SQL_SHAPES = """(SELECT c_name, n_name, c_custkey % 3 AS d1, c_custkey % 4 AS d2, c_custkey % 5 AS k,
+ CASE c_custkey % 5 WHEN 0 THEN n_name WHEN 1 THEN r_name WHEN 2 THEN 'ROOT' WHEN 3 THEN 'java/lang/Object' ELSE 'NATION_0' END AS up
+ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+@query(f"""SELECT CASE WHEN d1 = 0 THEN c_name ELSE repeat('[', d1) || 'L' || c_name || ';' END AS sub, CASE WHEN d2 = 0 THEN up ELSE repeat('[', d2) || 'L' || up || ';' END AS sup,
+ CASE WHEN d1 = d2 THEN k < 4 OR n_name = 'NATION_0' WHEN d1 > d2 THEN k = 3 ELSE false END AS ok FROM {_SQL_SHAPES}""")
+def assignable_types(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    up = F.when(k % 5 == 0, F.col("n_name")).when(k % 5 == 1, F.col("r_name")).when(k % 5 == 2, F.lit("ROOT")).when(k % 5 == 3, F.lit("java/lang/Object")).otherwise(F.lit("NATION_0"))
+    wrap = lambda name, d: F.when(d == 0, name).otherwise(F.concat(F.rpad(F.lit(""), d, F.lit("[")), F.lit("L"), name, F.lit(";")))
+    pairs = t.classes().select(wrap(F.col("c_name"), (k % 3).cast("int")).alias("sub"), wrap(up, (k % 4).cast("int")).alias("sup"))
+    return H.assignable(pairs, H.closure(t.edges()))
+
+
+@query("""SELECT l_orderkey, l_linenumber, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'O' AND p_size < 20
+ AND (p_size % 4 <> l_linenumber % 4 OR l_returnflag NOT IN ('A', 'N'))""")
+def final_field_writes(t: Tables) -> DataFrame:
+    method = F.when(F.col("l_returnflag") == "A", "<init>").when(F.col("l_returnflag") == "N", "<clinit>").otherwise("run")
+    refs = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), (F.col("l_linenumber") % 4).cast("string").alias("writer"), method.alias("method"), (F.col("l_linestatus") == "O").alias("is_write"))
+    fields = t.part.select("p_partkey", (F.col("p_size") % 4).cast("string").alias("owner"), (F.col("p_size") < 20).alias("is_final"))
+    return J.outside_writes(refs, fields, ["p_partkey"], "owner", "writer", "method").select("l_orderkey", "l_linenumber", "p_partkey")
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
  r(name, round) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, round + 1 FROM r JOIN e ON e.src = r.name WHERE round < 3)
  SELECT name, min(round) AS round FROM r GROUP BY name""")
@@ -363,10 +396,9 @@ def quote_string(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", N.quoted(F.col("text")).alias("quoted"))
 
 
-@query("SELECT path, count(*) AS pages FROM " + SQL_PATHS + " WHERE starts_with(path, split_part(path, '/', 1) || '/') GROUP BY path")
+@query(f"SELECT class, image FROM {SQL_CLASSES} WHERE starts_with(class, 'ASIA.NATION_2.')")
 def prefix_normalize(t: Tables) -> DataFrame:
-    root = F.substring_index("path", "/", 1)
-    return t.paths().where(F.col("path").startswith(F.concat(root, F.lit("/")))).groupBy("path").agg(F.count("*").alias("pages"))
+    return t.classes().where(N.under_prefix(F.col("class"), N.normalize_prefix(" ASIA/NATION_2/ "))).select("class", "image")
 
 
 @query("""SELECT n_name, CASE WHEN starts_with(x, '.') THEN 'com.app' || x WHEN contains(x, '.') THEN x ELSE 'com.app.' || x END AS resolved

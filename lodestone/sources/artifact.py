@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.names import any_label
+from ..operators.rounds import settled
 from . import archive, axml
 from .dex import NO_INDEX, CorruptImage, Image, decode_all, md5, operands, uleb128
 
@@ -186,6 +187,8 @@ def file_rows(table: str, path: str, data: bytes) -> Iterator[tuple]:
             stack: list[int] = []
             nr = 0
             for e in axml.elements(raw):
+                if isinstance(e, str):
+                    continue
                 if e is None:
                     stack.pop()
                     continue
@@ -241,8 +244,13 @@ class Artifacts:
                         for k, f in enumerate(archive.images(path, data)):
                             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int32()), pa.array([f.label]), pa.array([f.entry]), pa.array([f.data], pa.binary())], ["path", "k", "label", "entry", "data"])
 
-            found = self.files.mapInArrow(run, "path string, k int, label string, entry string, data binary")
-            rank = found.select("path", "k").withColumn("image_seq", F.row_number().over(Window.orderBy("path", "k")) - 1)
+            # every container is read and inflated once; all tables are decoded from this copy
+            found = settled(self.files.mapInArrow(run, "path string, k int, label string, entry string, data binary"))
+            part = settled(found.select("path", "k").repartitionByRange("path", "k").withColumn("p", F.spark_partition_id()))
+            inside = F.row_number().over(Window.partitionBy("p").orderBy("path", "k")) - 1
+            before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            starts = part.groupBy("p").agg(F.count("*").alias("n")).select("p", before.alias("before"))  # one row a partition of names
+            rank = part.withColumn("inside", inside).join(starts, "p").select("path", "k", (F.col("inside") + F.col("before")).cast("int").alias("image_seq"))
             all_ = found.join(rank, ["path", "k"]).where(any_label(F.col("label"), self.dex))
             self._images = all_.select("image_seq", "label", "entry", "data")
         return self._images

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from xml.sax.saxutils import quoteattr
+from xml.sax.saxutils import escape, quoteattr
 
 # Fixed values of the public chunk format.
 STRING_POOL, XML, XML_START, XML_END, XML_TEXT, TABLE, PACKAGE, TYPE = 0x0001, 0x0003, 0x0102, 0x0103, 0x0104, 0x0002, 0x0200, 0x0201
@@ -67,8 +67,8 @@ def value(kind: int, data: int, pool: list[str]) -> str:
     return str(signed)
 
 
-def elements(b: bytes) -> Iterator[Element | None]:
-    """Elements in document order; None closes the innermost one."""
+def elements(b: bytes) -> Iterator[Element | str | None]:
+    """Elements and texts in document order; None closes the innermost element."""
     kind, head, total = struct.unpack_from("<2HI", b, 0)
     if kind != XML:
         raise ValueError("not binary XML")
@@ -93,6 +93,10 @@ def elements(b: bytes) -> Iterator[Element | None]:
                 e.attrs[label] = pool[text] if t == 3 and text < len(pool) else value(t, data, pool)
             depth += 1
             yield e
+        elif kind == XML_TEXT:
+            (text,) = struct.unpack_from("<I", b, at + head)
+            if text < len(pool):
+                yield pool[text]
         elif kind == XML_END:
             depth -= 1
             yield None
@@ -103,7 +107,12 @@ def to_xml(b: bytes) -> str:
     """Text form with two spaces a level."""
     out, stack, open_ = ['<?xml version="1.0" encoding="utf-8"?>'], [], False
     for e in elements(b):
-        if e is not None:
+        if isinstance(e, str):
+            if text := e.strip():
+                out[-1] += ">" if open_ else ""
+                out.append(f"{'  ' * len(stack)}{escape(text)}")
+                open_ = False
+        elif e is not None:
             if open_:
                 out[-1] += ">"
             attrs = "".join(f" {k}={quoteattr(v)}" for k, v in e.attrs.items())

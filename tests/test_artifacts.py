@@ -1,5 +1,5 @@
 import io
-import struct
+import json
 import zipfile
 
 import numpy as np
@@ -231,15 +231,36 @@ def test_stream_ingest(spark, folder, tmp_path):
 
 
 def test_pages_and_envelopes(spark):
-    df = spark.range(10).toDF("id")
-    for (o, n), ids, nxt in (((4, 3), [4, 5, 6], 7), ((8, 3), [8, 9], None), ((20, 3), [], None), ((7, 0), [7, 8, 9], None)):
-        p = W.fetch(df, ["id"], o, n)
-        assert ([r.id for r in p.rows], p.next_offset, p.total) == (ids, nxt, 10)
-    p = W.fetch(df, ["id"], 0, 2)
-    assert render.to_json(p, "rows", view="full") == '{"view": "full", "total": 10, "offset": 0, "limit": 2, "returned": 2, "next_offset": 2, "rows": [{"id": 0}, {"id": 1}]}'
+    ids = list(range(3, 40, 3))
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    for offset in (0, 2, len(ids) - 1, len(ids), 99):
+        for limit in (0, 1, 6):
+            p = W.fetch(df, ["id"], offset, limit)
+            want = ids[offset : offset + limit] if limit else ids[offset:]
+            end = offset + len(want)
+            assert ([r.id for r in p.rows], p.next_offset, p.total) == (want, end if want and end < len(ids) else None, len(ids))
+    p = W.fetch(df, ["id"], 1, 2)
+    assert json.loads(render.to_json(p, "rows", view="full")) == {"view": "full", "total": 13, "offset": 1, "limit": 2, "returned": 2, "next_offset": 3, "rows": [{"id": 6}, {"id": 9}]}
     assert render.table(p.rows).splitlines()[0].strip() == "id"
-    assert render.json_lines(p.rows) == '{"id": 0}\n{"id": 1}\n'
+    assert [json.loads(x) for x in render.json_lines(p.rows).splitlines()] == [{"id": 6}, {"id": 9}]
+    assert {r.truncated for r in W.capped(df, ["id"], 5).collect()} == {True} and {r.truncated for r in W.capped(df, ["id"], 13).collect()} == {False}
 
 
-def test_struct_is_little_endian():
-    assert struct.pack("<I", 1) == b"\1\0\0\0"
+def test_inputs_that_cannot_be_used(spark, tmp_path):
+    (tmp_path / "bad.dex").write_bytes(b"dex\n039\0" + b"\0" * 200)
+    with pytest.raises(NotFound, match="no image decodes: bad"):
+        Session(spark, str(tmp_path)).listclasses()
+    (tmp_path / "good.dex").write_bytes(K.hello().build())
+    with pytest.raises(NotFound, match="no image matches; there are: .*good"):
+        Session(spark, str(tmp_path), ["zzz"]).listclasses()
+    assert Session(spark, str(tmp_path)).listclasses(full=True).count() == 2
+
+
+def test_components(spark, folder):
+    s = Session(spark, str(folder))
+    assert s.manifest("application").count() == 1 == s.manifest("applications").count() and s.manifest("activity-aliases").columns == s.manifest("activity-alias").columns
+    for bad in ("activitie", "servicess", "thing"):
+        with pytest.raises(BadQuery):
+            s.manifest(bad)
+    page = s.info(limit=1)
+    assert len(page["images"]) == 1 and page["next_offset"] == 1 and page["total_images"] == 2 and s.info()["next_offset"] is None
