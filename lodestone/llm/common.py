@@ -5,10 +5,11 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set (tests, one machine)."""
+    """The cluster's shared folder; a folder of our own only where none is set and all is one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
     return sc.getCheckpointDir()
 
@@ -90,6 +93,50 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFr
     return F.broadcast(df) if rows <= limit else df
 
 
+def text_key(docs: DataFrame, text: Column) -> Column:
+    """A 64-bit key of each different text of docs.  It is a hash; where two texts share it, which a
+    second hash tells, the others take that one.  Those few pairs (n*n / 2**65 of n texts) are
+    all that is collected, and 128 bits decide what is one text."""
+    a, b = F.xxhash64(text), F.xxhash64(F.lit(71), text)
+    per = docs.select(a.alias("a"), b.alias("b")).groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
+    clash = per.where("lo <> hi").select("a", "lo").collect()
+    if not clash:
+        return a
+    first = F.create_map(*[F.lit(x) for r in clash for x in (r.a, r.lo)])
+    return F.when(a.isin([r.a for r in clash]) & (b != F.element_at(first, a)), b).otherwise(a)
+
+
+def sum_blobs(rows: DataFrame, keys: list[str], kind: str = "f8", fan_in: int = 256) -> DataFrame:
+    """(keys, sums): the element-wise sums, as float64, of arrays of a numpy kind; rows: keys, lane int,
+    sums binary.  A lane is the task that made the row; lanes are added in steps, at most fan_in
+    in a group, so no group grows with the number of tasks."""
+    import pandas as pd
+
+    names = [*keys, "lane"]
+    schema = ", ".join([*(f"{k} int" for k in names), "sums binary"])
+
+    def adder(kind: str):
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.frombuffer(pdf["sums"].iloc[0], kind).astype(float)
+            for x in pdf["sums"].iloc[1:]:
+                total += np.frombuffer(x, kind)
+            return pdf[names].iloc[:1].assign(sums=[total.tobytes()])
+
+        return add
+
+    rows = cut(rows.select(*names, "sums"))
+    lanes = (rows.agg(F.max("lane")).first()[0] or 0) + 1
+    while True:
+        made = rows.withColumn("lane", F.floor(F.col("lane") / fan_in).cast("int")).groupBy(*names).applyInPandas(adder(kind), schema)
+        made, kind, lanes = cut(made), "f8", -(-lanes // fan_in)
+        drop(rows)
+        rows = made
+        if lanes == 1:
+            out = rows.drop("lane")
+            out._cut_path = rows._cut_path
+            return out
+
+
 # --------------------------------------------------------------- connected components
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) of all ids in edges(u, v): component is the smallest id reachable.
@@ -142,6 +189,19 @@ class UnionFind:
         return True
 
 
+def unite(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """root (the smallest index of each index's class) after all pairs u, v are united."""
+    while len(u):
+        a, b = root[u], root[v]
+        on = a != b
+        a, b, u, v = a[on], b[on], u[on], v[on]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while ((up := root[root]) != root).any():
+            root = up
+    return root
+
+
 # --------------------------------------------------------------- 64-bit hashing in numpy
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
@@ -179,7 +239,8 @@ def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
+        binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+        column = column.fill_null(b"" if binary else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     bufs = column.buffers()
     if len(column) == 0:
@@ -228,12 +289,12 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
     return mix(np.add.reduceat(value, lead) + size.astype(np.uint64)), begin, end, first
 
 
-def windows(h: np.ndarray, k: int) -> np.ndarray:
+def windows(h: np.ndarray, k: int, seed: int = 13) -> np.ndarray:
     """Hashes of all runs of k consecutive entries of h."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, m = np.zeros(n, np.uint64), keys_of(k, 13)
+    out, m = np.zeros(n, np.uint64), keys_of(k, seed)
     for i in range(k):
         out += h[i : i + n] * m[i]
     return mix(out)
@@ -271,3 +332,23 @@ def pieces(batches, most: int = 4 << 20, column: str = "text"):
         _, off = raw(b.column(column))
         for i, j in slices(off, most):
             yield b.slice(i, j - i)
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows with equal keys, from a partition sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in keys])
+        edges = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for x, y in zip(edges, edges[1:]):  # noqa: B905
+            now = tuple(k[:, x].tolist())
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(x, y - x))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)

@@ -21,7 +21,7 @@ verified.  This last step alone is complete; the rounds before leave it little.
 
 Defined results: null or wordless texts have n_shingles 0 and are their own component; rows with
 a null id link with nothing; fewer than n words are one n-gram; repeated rows share a component;
-only the id and the text are read of a table, whatever else it has; empty tables stay empty.
+a text of any length is one set, whole; only the id and the text are read of a table, whatever else it has; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -30,14 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, broadcast_if_small, components, cut, drop, keys_of, mix, raw, signed, slices, words, workers
+from .common import UnionFind, broadcast_if_small, components, cut, drop, groups_of, keys_of, mix, raw, signed, slices, sum_blobs, words, workers
 
 SKETCH = 1 << 22
 PARTS = 64
-BLOCK = 96
+BLOCK = 512
+TOKENS = 4 << 20  # of the sets of a block
 FANOUT = 8
 ROUNDS = 5
 
@@ -68,12 +69,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     return out
 
 
-def class_of(s: np.ndarray) -> int:
-    """63 bits of the whole set."""
+def class_of(s: np.ndarray) -> tuple[int, int]:
+    """Twice 63 bits of the whole set."""
     if not len(s):
-        return 0
+        return 0, 0
     a, b = mix(s).sum(keepdims=True), mix(s ^ np.uint64(0x5DEECE66D)).sum(keepdims=True)
-    return int(mix(a + mix(b + np.uint64(len(s))))[0] >> np.uint64(1))
+    x, y = (mix(np.concatenate([a + mix(b + np.uint64(len(s))), b ^ mix(a)])) >> np.uint64(1)).tolist()
+    return x, y
 
 
 def sketch_slot(tokens: np.ndarray) -> np.ndarray:
@@ -89,12 +91,14 @@ def bitmap(s: np.ndarray) -> bytes:
 
 
 def digest(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n, c, sig) per document, and per partition the token counts of the sketch in `sums`."""
+    """(id, n, c, c2, sig) per document, and per partition the token counts of the sketch in `sums`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "c", "sig", "part", "sums"]
+        from pyspark import TaskContext
+
+        names, lane = ["id", "n", "c", "c2", "sig", "part", "lane", "sums"], TaskContext.get().partitionId()
         count = np.zeros(SKETCH, np.int32)
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             data, off = raw(b.column("text"))
             for i, j in slices(off):
@@ -111,43 +115,49 @@ def digest(docs: DataFrame, n: int) -> DataFrame:
                         sigs.append(None)  # an equal set of this task has it
                 if fresh:
                     np.add.at(count, sketch_slot(np.concatenate(fresh)), 1)
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(kinds, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([c[k] for c in kinds], pa.int64()) for k in (0, 1)), pa.array(sigs, pa.binary()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
         step = SKETCH // PARTS
         low = np.minimum(count, 255).astype(np.uint8)
         for p in range(PARTS if count.any() else 0):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([p], pa.int32()), pa.array([low[p * step : (p + 1) * step].tobytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), pa.array([p], pa.int32()), pa.array([lane], pa.int32()), pa.array([low[p * step : (p + 1) * step].tobytes()], pa.binary())], names)
 
-    return docs.mapInArrow(run, "id long, n long, c long, sig binary, part int, sums binary")
+    return docs.mapInArrow(run, "id long, n long, c long, c2 long, sig binary, part int, lane int, sums binary")
 
 
 def heavy_slots(digests: DataFrame) -> np.ndarray:
     """The slots of the sketch that stand out: a packed bit each."""
-    import pandas as pd
+    step = SKETCH // PARTS
+    parts = sum_blobs(digests.where("part is not null").select("part", "lane", "sums"), ["part"], "u1")
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SKETCH // PARTS, np.int64)
-        for x in pdf["sums"]:
-            total += np.frombuffer(x, np.uint8)
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "total": [int(total.sum())], "sums": [total.tobytes()]})
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(x).sum() for x in b.column("sums").to_pylist()], pa.float64())], ["total"])
 
-    parts = cut(digests.where("part is not null").select("part", "sums").groupBy("part").applyInPandas(add, "part int, total long, sums binary"))
-    mean = (parts.agg(F.sum("total")).first()[0] or 0) / SKETCH
+    mean = (parts.mapInArrow(totals, "total double").agg(F.sum("total")).first()[0] or 0) / SKETCH
     limit = mean + 4 * mean**0.5 + 4
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = [np.packbits(np.frombuffer(x, np.int64) >= limit).tobytes() for x in b.column("sums").to_pylist()]
+            bits = [np.packbits(np.frombuffer(x) >= limit).tobytes() for x in b.column("sums").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(bits, pa.binary())], ["part", "bits"])
 
     out = np.zeros(SKETCH // 8, np.uint8)
-    step = SKETCH // 8 // PARTS
     for r in parts.mapInArrow(mark, "part int, bits binary").collect():  # half a megabyte in all
-        out[r.part * step : (r.part + 1) * step] = np.frombuffer(bytes(r.bits), np.uint8)
+        out[r.part * step // 8 : (r.part + 1) * step // 8] = np.frombuffer(bytes(r.bits), np.uint8)
     drop(parts)
     return out
 
 
-def prefixes(docs: DataFrame, heavy, n: int, num: int, den: int) -> DataFrame:
+def one_class(digests: DataFrame) -> tuple[DataFrame, set[int]]:
+    """digests with a c that stands for one set alone, and the c that two sets share by chance (n*n / 2**64
+    of n sets): those sets go by c2, so that 126 bits decide."""
+    per = digests.where("c is not null").groupBy("c").agg(F.min("c2").alias("lo"), F.max("c2").alias("hi"))
+    clash = [r.c for r in per.where("lo <> hi").select("c").collect()]
+    own = F.when(F.col("c").isin(clash), F.col("c2")).otherwise(F.col("c")) if clash else F.col("c")
+    return digests.withColumn("c", own), set(clash)
+
+
+def prefixes(docs: DataFrame, heavy, clash: set[int], n: int, num: int, den: int) -> DataFrame:
     """(token, c): the prefix tokens of every class; each task reports a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +168,11 @@ def prefixes(docs: DataFrame, heavy, n: int, num: int, den: int) -> DataFrame:
             for i, j in slices(off):
                 tokens, owner, size = [], [], []
                 for s in shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n):
-                    if not len(s) or (c := class_of(s)) in seen:
+                    if not len(s):
+                        continue
+                    c, c2 = class_of(s)
+                    c = c2 if c in clash else c
+                    if c in seen:
                         continue
                     seen.add(c)
                     k = len(s) - need_of(len(s), num, den) + 1
@@ -278,32 +292,12 @@ def open_of_block(bitmaps: list[bytes], sizes: list[int], comp: list[int], num:
     return ([], sorted(found)) if dense else (pairs, [])
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The runs of rows with equal keys, from a partition sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in keys])
-        edges = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
-        for x, y in zip(edges, edges[1:]):  # noqa: B905
-            now = tuple(k[:, x].tolist())
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(x, y - x))
-            last = now
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def join_blocks(rows: DataFrame, sets: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
     """Edges (u, v) of the blocks of rows(keys, c, comp, side); comp: what already hangs together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = [], []
-        for t in blocks_of(batches, keys):
+        for t in groups_of(batches, keys):
             c, comp, side = (t.column(x).to_pylist() for x in ("c", "comp", "side"))
             if len(set(comp)) < 2:
                 continue
@@ -333,7 +327,7 @@ def sift_blocks(rows: DataFrame, keys: list[str], num: int, den: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*keys, "c", "comp", "side", "d"]
-        for t in blocks_of(batches, keys):
+        for t in groups_of(batches, keys):
             comp, side = t.column("comp").to_pylist(), t.column("side").to_pylist()
             if len(set(comp)) < 2:
                 continue
@@ -353,12 +347,24 @@ def with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.select(F.col("id").alias("c"), F.col("component").alias("comp")), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
 
 
+def with_few(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with one row a key of sums over them.  These are cut first: then the join has an
+    exchange of its own, whose hot keys Spark can split, or none if they are counted to be few."""
+    few = cut(few)
+    return rows.join(broadcast_if_small(few, few.count()), on, how)
+
+
 def unsettled(rows: DataFrame) -> DataFrame:
     """g and its number of classes, of the groups in which two components meet; rows: g, c, comp."""
     return rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("cnt")).where("lo < hi").select("g", "cnt")
 
 
-def spread(key: str, count, size: int):
+def block_size(n: Column, block: int) -> Column:
+    """Classes in a block whose largest set has n tokens."""
+    return F.greatest(F.lit(2), F.least(F.lit(block), F.floor(F.lit(TOKENS) / n)))
+
+
+def spread(key: str, count: Column, size: Column) -> Column:
     """A block number by hash, so many that a block has about `size` rows."""
     return F.pmod(F.xxhash64(F.lit(9), key), F.greatest(F.lit(1), F.ceil(count / size))).cast("long")
 
@@ -369,13 +375,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     num, den = threshold
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    digests = cut(digest(src, n))
+    made = cut(digest(src, n))
+    digests, clash = one_class(made)
     heavy = spark.sparkContext.broadcast(heavy_slots(digests))
     per_doc = digests.where("part is null").select("id", "n", "c")
     classes = per_doc.where("n > 0 and id is not null").groupBy("c").agg(F.min("id").alias("rep"))
 
     # groups: classes that share a prefix token; tokens with the same classes are one group
-    rows = prefixes(src.where("id is not null"), heavy, n, num, den)
+    rows = prefixes(src.where("id is not null"), heavy, clash, n, num, den)
     shared = cut(rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"))
     hits = cut(rows.join(broadcast_if_small(shared, shared.count()), "token").distinct())
     lists = hits.groupBy("token").agg(F.count("*").alias("cnt"), F.bit_xor(F.xxhash64("c")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(4), "c")).alias("x2"))
@@ -399,10 +406,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges, labels, used = None, components(spark.createDataFrame([], "u long, v long")), spark.createDataFrame([], "g long")
     for _ in range(ROUNDS):
         now = with_components(alike.join(used, "g", "left_anti"), labels)
-        one = now.groupBy("g", "comp").agg(F.min("c").alias("c"), F.max("tokens").alias("tokens"), F.max("n").alias("n"))
-        one = cut(one.join(one.groupBy("g").agg(F.count("*").alias("k")).where("k > 1"), "g"))
+        all_ = cut(now.groupBy("g", "comp").agg(F.min("c").alias("c"), F.max("tokens").alias("tokens"), F.max("n").alias("n")))
+        one = cut(with_few(all_, all_.groupBy("g").agg(F.count("*").alias("k"), block_size(F.max("n"), block).alias("size")).where("k > 1"), ["g"]))
+        drop(all_)
         best = one.groupBy("c").agg(F.max(F.struct((F.col("tokens") * 32 >= F.col("n")).alias("strong"), "k", "g")).alias("m")).select(F.col("m.g").alias("g")).distinct()
-        picked = cut(one.join(best, "g").withColumn("side", F.lit(0)).withColumn("b", spread("c", F.col("k"), block)))
+        picked = cut(one.join(best, "g").withColumn("side", F.lit(0)).withColumn("b", spread("c", F.col("k"), F.col("size"))))
         more = cut(join_blocks(picked, sets, ["g", "b"], num, den))
         if more.isEmpty():
             drop(one, picked, more)
@@ -410,7 +418,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         gain = more.count()
         both = more if edges is None else cut(edges.union(more))
         found = gain if edges is None else found + gain
-        used = cut(used.union(picked.where(F.col("k") <= block).select("g").distinct()))
+        used = cut(used.union(picked.where(F.col("k") <= F.col("size")).select("g").distinct()))
         drop(one, picked, labels)
         edges, labels = both, components(both)
         if gain * 20 < found:  # what little is left the complete join finds as well
@@ -421,18 +429,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     now = with_components(groups.select("g", "c", "n"), labels)
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num + 1e-9))).cast("int")
     now = now.withColumn("g", F.explode(F.array(F.xxhash64("g", step), F.xxhash64("g", step + 1))))
-    now = cut(now.join(unsettled(now).select("g"), "g"))
+    now = cut(now)
+    whole, now = now, cut(with_few(now, unsettled(now).select("g"), ["g"]))
+    drop(whole)
     # many parts now hold the same classes: one of them will do
     same = now.groupBy("g").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("c")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(4), "c")).alias("x2"))
     same = same.groupBy("k", "x1", "x2").agg(F.min("g").alias("g")).select("g")
-    whole, now = now, cut(now.join(same, "g"))
+    whole, now = now, cut(with_few(now, same, ["g"]))
     drop(whole)
-    per = now.groupBy("g", "comp").agg(F.count("*").alias("m"))
-    mixed = per.where(F.col("m") < block).groupBy("g").agg(F.sum("m").alias("rest"))
-    parts = now.join(per, ["g", "comp"]).join(mixed, "g", "left")
-    pure = F.col("m") >= block
+    per = cut(now.groupBy("g", "comp").agg(F.count("*").alias("m"), F.max("n").alias("top")))
+    per = with_few(per, per.groupBy("g").agg(block_size(F.max("top"), block).alias("size")), ["g"])
+    mixed = per.where("m < size").groupBy("g").agg(F.sum("m").alias("rest"))
+    parts = with_few(with_few(now, per, ["g", "comp"]), mixed, ["g"], "left")
+    pure = F.col("m") >= F.col("size")
     parts = parts.withColumn("pure", F.when(pure, F.col("comp")))
-    parts = parts.withColumn("b", F.when(pure, F.xxhash64("comp", spread("c", F.col("m"), block))).otherwise(F.xxhash64(F.lit(-1), spread("c", F.coalesce("rest", F.lit(1)), block))))
+    parts = parts.withColumn("b", F.when(pure, F.xxhash64("comp", spread("c", F.col("m"), F.col("size")))).otherwise(F.xxhash64(F.lit(-1), spread("c", F.coalesce("rest", F.lit(1)), F.col("size")))))
     parts = cut(parts.select("g", "b", "c", "comp", "pure", "n"))
     tops = cut(parts.groupBy("g", "b").agg(F.first("pure").alias("pure"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2")))
     a = tops.select("g", F.col("b").alias("b1"), F.col("pure").alias("p1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("c1").alias("ca"), F.col("c2").alias("cb"))
@@ -459,5 +470,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answer = comp.join(smallest, "comp").select("c", "component_id")
     known = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     out = cut(per_doc.join(answer, "c", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), known.alias("component_id")))
-    drop(digests, shared, groups, likely, alike, sets, late, edges, labels, now, parts, tops, left, check, last)
+    drop(made, shared, groups, likely, alike, sets, late, edges, labels, now, parts, tops, left, check, last)
     return out
