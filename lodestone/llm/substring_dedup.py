@@ -9,11 +9,14 @@ repeated that far bounds the windows that can still be; the windows that remain
 bounds are counted at the full length, and no candidates are left after that.  Each level moves
 only what survived the one before, and counts are partial sums before any shuffle.
 
-Equal texts are handled once: a text that occurs twice has all its windows repeated.  Keys are
-64-bit hashes of word runs.
+Equal texts are handled once: a text that occurs twice has all its windows repeated.  At the first
+two lengths a key is a 64-bit hash of a word run (a chance match only keeps a candidate); what
+is removed has 128 bits of its window in common with another, and texts are told apart by 128.
 
 Defined results: null text has no words; a text of fewer than `length` words loses nothing;
-repeated rows are repetitions of each other; ids may repeat or be null; only the text is read.
+repeated rows are repetitions of each other; ids may repeat or be null; only the id and the text
+are read, whatever else the table has; a text of any length is one unit, taken whole; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, pieces, raw, signed, slices, windows, words
+from .common import cut, drop, mix, pieces, raw, signed, slices, text_key, windows, words
 
 NAMES = ["c", "n", "sha", "h", "pos", "lk", "rk"]
 SIDE = np.uint64(0xA5A5A5A5A5A5A5A5)
+SECOND = np.uint64(0x3C6EF372FE94F82B)
 
 
 def levels(length: int) -> tuple[int, int, int]:
@@ -101,13 +105,13 @@ def survey(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "c long, n long, sha string, h long, pos int, lk long, rk long")
 
 
-def repeated(rows: DataFrame, key: str) -> DataFrame:
+def repeated(rows: DataFrame, *key: str) -> DataFrame:
     """The values of a key that more than one row has."""
-    return rows.groupBy(key).agg(F.count("*").alias("n_")).where("n_ > 1").select(key)
+    return rows.groupBy(*key).agg(F.count("*").alias("n_")).where("n_ > 1").select(*key)
 
 
 def candidates(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """(h, c, s): windows of full length whose chosen place survived; texts(c, text), places(c, ps)."""
+    """(h, h2, c, s): windows of full length whose chosen place survived; texts(c, text), places(c, ps)."""
     base, half, _ = levels(length)
     reach = half - base
 
@@ -131,9 +135,10 @@ def candidates(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
                 s = s[ok]
                 text = np.searchsorted(first, s, "right") - 1
                 c = b.column("c").slice(i, j - i).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(signed(windows(h, length)[s])), pa.array(c[text]), pa.array((s - first[text]).astype(np.int32))], ["h", "c", "s"])
+                two = windows(mix(h ^ SECOND), length, 14)[s]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(windows(h, length)[s])), pa.array(signed(two)), pa.array(c[text]), pa.array((s - first[text]).astype(np.int32))], ["h", "h2", "c", "s"])
 
-    return texts.join(places, "c").mapInArrow(run, "h long, c long, s int")
+    return texts.join(places, "c").mapInArrow(run, "h long, h2 long, c long, s int")
 
 
 def remove(texts: DataFrame, starts: DataFrame, length: int) -> DataFrame:
@@ -158,9 +163,11 @@ def remove(texts: DataFrame, starts: DataFrame, length: int) -> DataFrame:
     return texts.join(starts, "c").mapInArrow(run, "c long, n_removed long, kept string")
 
 
-def texts_of(docs: DataFrame, text_col: str) -> DataFrame:
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id_col, c) and (c, text) of docs; c: a key of each different text."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.xxhash64(t).alias("c"), t.alias("text"))
+    c = text_key(docs, t).alias("c")
+    return docs.select(F.col(id_col), c), docs.select(c, t.alias("text"))
 
 
 def only(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -169,10 +176,9 @@ def only(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(keys) if keys.count() <= 500_000 else keys, "c", "left_semi")
 
 
-def dedup(docs: DataFrame, length: int = 35, text_col: str = "text") -> DataFrame:
-    """One row per different text: c (xxhash64 of the text), n_words, n_removed, kept (the text without
-    the repeated runs, words joined by one space; null where nothing is removed), kept_sha256."""
-    texts = texts_of(docs, text_col)
+def dedup(texts: DataFrame, length: int = 35) -> DataFrame:
+    """Of texts(c, text) a row per different text: c, n_words, n_removed, kept (the text without the
+    repeated runs, words joined by one space; null where nothing is removed), kept_sha256."""
     seen = cut(survey(texts, length))
     anchors = seen.where("h is not null").select("c", "h", "pos", "lk", "rk")
     # first level
@@ -188,8 +194,8 @@ def dedup(docs: DataFrame, length: int = 35, text_col: str = "text") -> DataFram
     places = cut(flagged.groupBy("c").agg(F.collect_list("p").alias("ps")))  # as many as a text has places
     # full length
     found = cut(candidates(only(texts, places.select("c")), places, length))
-    met = cut(repeated(found, "h"))
-    hits = found.join(met, "h").select("c", "s").distinct()
+    met = cut(repeated(found, "h", "h2"))
+    hits = found.join(met, ["h", "h2"]).select("c", "s").distinct()
     many = texts.select("c").groupBy("c").agg(F.count("*").alias("m")).where("m > 1").select("c")
     starts = cut(hits.groupBy("c").agg(F.collect_list("s").alias("ss")).join(many, "c", "left_anti"))
     gone = cut(remove(only(texts, starts.select("c")), starts, length).dropDuplicates(["c"]))
@@ -204,6 +210,6 @@ def dedup(docs: DataFrame, length: int = 35, text_col: str = "text") -> DataFram
 
 def annotate(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_removed, kept_sha256), one row per row of docs."""
-    per = cut(dedup(docs, length, text_col).drop("kept"))
-    keyed = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("c"))
+    keyed, texts = keyed_texts(docs, id_col, text_col)
+    per = cut(dedup(texts, length).drop("kept"))
     return keyed.join(per, "c").select(id_col, "n_words", "n_removed", "kept_sha256")

@@ -17,9 +17,13 @@ An anchor with very many different segments is cut into blocks; each block has i
 the classes of equal windows that the blocks found are matched by ranges of their hashes, as many
 as there are blocks, so nothing is capped.
 
+Keys that only bring candidates together have 64 bits; what is folded, matched across blocks or
+taken for one text has 128, and what an array finds is compared byte by byte.
+
 Defined results: null text is empty; shorter texts lose nothing; equal texts are repetitions of
 each other as a whole; kept text is the remaining bytes, cut where they fall; ids may repeat or
-be null; only the text is read.
+be null; only the id and the text are read, whatever else the table has; a text of any length is
+one unit, taken whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,36 +38,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop, keys_of, mix, pieces, raw, signed, slices, workers
-from .substring_dedup import only, repeated, texts_of
+from .substring_dedup import keyed_texts, only, repeated
 
 GRAM = 64
 BLOCK = 2048  # different segments of one anchor in a block, about a megabyte
 ARRAY_BYTES = 512 << 10
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-_BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_LETTER = keys_of(256, 31)
 _SIDE = _U(0xA5A5A5A5A5A5A5A5)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_LETTERS = [keys_of(256, 31), keys_of(256, 32)]
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**n and more."""
+    if len(_POWERS.get(base, ())) <= n:
+        _POWERS[base] = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(n + n // 4, base, np.uint64)]))
+    return _POWERS[base]
 
 
 class Hasher:
-    """64-bit hashes of any substring of a block of bytes."""
+    """64-bit hashes of any substring of a block of bytes, of either of two kinds."""
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        if len(_POWERS[0]) <= n:
-            for k, p in enumerate((_BASE, _BASE_INVERSE)):
-                _POWERS[k] = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(n + n // 4, p, np.uint64)]))
+    def __init__(self, data: np.ndarray, kind: int = 0):
+        n, base = len(data), _BASES[kind]
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LETTER[data] * _POWERS[0][:n], out=self.sums[1:])
+        np.cumsum(_LETTERS[kind][data] * _powers(base, n)[:n], out=self.sums[1:])
+        self.back = _powers(pow(base, -1, 1 << 64), n)
 
     def at(self, begin: np.ndarray, size) -> np.ndarray:
-        return mix((self.sums[begin + size] - self.sums[begin]) * _POWERS[1][begin] + np.asarray(size, np.int64).astype(np.uint64))
+        return mix((self.sums[begin + size] - self.sums[begin]) * self.back[begin] + np.asarray(size, np.int64).astype(np.uint64))
 
     def all(self, size: int) -> np.ndarray:
         n = len(self.sums) - size
-        return mix((self.sums[size:] - self.sums[:n]) * _POWERS[1][:n]) if n > 0 else np.zeros(0, np.uint64)
+        return mix((self.sums[size:] - self.sums[:n]) * self.back[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
 def least(key: np.ndarray, k: int) -> np.ndarray:
@@ -85,7 +93,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     if n <= 0:
         return z, z, z, z, hasher, np.zeros(0, np.uint64)
     g = hasher.all(gram)
-    low = _U((1 << 28) - 1)
+    low = _U((1 << 32) - 1)  # no text has more bytes; equal hashes go by place, which is relative in equal windows
     anchor = (least((g & ~low) | np.arange(len(g), dtype=np.uint64), length - gram + 1) & low).astype(np.int64)[:n]
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     ok = text[:n] == text[length - 1 :]
@@ -98,9 +106,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
 
 
 def survey(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Of texts(c, text): a row (c, n, sha) for each text and (c, h, a, s1, s2, seg, lk, rk) for each segment."""
+    """Of texts(c, text): a row (c, n, sha) for each text and (c, h, a, s1, s2, seg, seg2, lk, rk) for each segment."""
     half = length // 2
-    names = ["c", "n", "sha", "h", "a", "s1", "s2", "seg", "lk", "rk"]
+    names = ["c", "n", "sha", "h", "a", "s1", "s2", "seg", "seg2", "lk", "rk"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -118,7 +126,7 @@ def survey(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 c, m = keys[i:j], j - i
                 sha = [hashlib.sha256(block[x:y].tobytes()).hexdigest() for x, y in zip(o[:-1], o[1:], strict=True)]
                 no, none = pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.diff(o)), pa.array(sha), no, none, none, none, no, no, no], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.diff(o)), pa.array(sha), no, none, none, none, no, no, no, no], names)
                 text, a, s1, s2, hasher, h = segments(block, o, length, gram)
                 if not len(a):
                     continue
@@ -126,12 +134,12 @@ def survey(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 lk = np.where(lead >= o[text], hasher.at(np.maximum(lead, 0), half), _U(0))
                 fits = a + half <= o[text + 1]
                 rk = np.where(fits, hasher.at(np.where(fits, a, 0), half) ^ _SIDE, _U(0))
-                seg = hasher.at(s1, s2 - s1 + length)
+                seg, seg2 = hasher.at(s1, s2 - s1 + length), Hasher(block, 1).at(s1, s2 - s1 + length)
                 k, base = len(a), o[text]
                 short = lambda x: pa.array((x - base).astype(np.int32))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(c[text]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.array(signed(h)), short(a), short(s1), short(s2), pa.array(signed(seg)), pa.array(signed(lk)), pa.array(signed(rk))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c[text]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.array(signed(h)), short(a), short(s1), short(s2), pa.array(signed(seg)), pa.array(signed(seg2)), pa.array(signed(lk)), pa.array(signed(rk))], names)
 
-    return texts.mapInArrow(run, "c long, n long, sha string, h long, a int, s1 int, s2 int, seg long, lk long, rk long")
+    return texts.mapInArrow(run, "c long, n long, sha string, h long, a int, s1 int, s2 int, seg long, seg2 long, lk long, rk long")
 
 
 # ---------------------------------------------------------------- the suffix array
@@ -251,8 +259,8 @@ def match_segments(rows: DataFrame, length: int) -> DataFrame:
         w = np.concatenate([wait, known])
         if not len(w):
             return
-        code = Hasher(t).at(starts[w], length)
-        table = np.stack([signed(code), owner[w], pos[w], np.repeat([1, 0], [len(wait), len(known)])], 1)
+        code, code2 = Hasher(t).at(starts[w], length), Hasher(t, 1).at(starts[w], length)
+        table = np.stack([signed(code), signed(code2), owner[w], pos[w], np.repeat([1, 0], [len(wait), len(known)])], 1)
         key = np.array(h, np.int64)[part[w]]
         r = ((code >> _U(20)) % ranges_[w].astype(np.uint64)).astype(np.int64)
         order = np.lexsort((r, key))
@@ -285,13 +293,15 @@ def match_blocks(waiting: DataFrame, length: int) -> DataFrame:
     """Spans (c, lo, hi) of open windows that another block of their anchor has too; rows: h, r, data."""
 
     def spans(held: list[bytes]) -> pa.RecordBatch:
-        t = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in held])
-        _, inv, n = np.unique(t[:, 0], return_inverse=True, return_counts=True)
-        t = t[(n[inv] > 1) & (t[:, 3] == 1)]
-        t = t[np.lexsort((t[:, 2], t[:, 1]))]
-        cut_ = (t[1:, 1] != t[:-1, 1]) | (t[1:, 2] > t[:-1, 2] + length)
+        t = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 5) for x in held])
+        t = t[np.lexsort((t[:, 1], t[:, 0]))]
+        same = (t[1:, 0] == t[:-1, 0]) & (t[1:, 1] == t[:-1, 1])
+        twice = np.append(same, False) | np.insert(same, 0, False)
+        t = t[twice & (t[:, 4] == 1)]
+        t = t[np.lexsort((t[:, 3], t[:, 2]))]
+        cut_ = (t[1:, 2] != t[:-1, 2]) | (t[1:, 3] > t[:-1, 3] + length)
         first, last = (np.concatenate([[True], cut_]), np.concatenate([cut_, [True]])) if len(t) else (slice(0), slice(0))
-        return pa.RecordBatch.from_arrays([pa.array(t[first, 1]), pa.array(t[first, 2]), pa.array(t[last, 2] + length)], ["c", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(t[first, 2]), pa.array(t[first, 3]), pa.array(t[last, 3] + length)], ["c", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -364,15 +374,14 @@ def remove(texts: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- over DataFrames
-def dedup(docs: DataFrame, length: int = 400, text_col: str = "text", gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """One row per different text: c (xxhash64 of the text), n_bytes, n_removed, spans (maximal removed runs),
+def dedup(texts: DataFrame, length: int = 400, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+    """Of texts(c, text) a row per different text: c, n_bytes, n_removed, spans (maximal removed runs),
     kept (remaining bytes; null where nothing is removed), kept_sha256."""
     gram = min(gram, max(1, length // 3))
     half = length // 2
     reach = half - gram
-    texts = texts_of(docs, text_col)
     seen = cut(survey(texts, length, gram))
-    anchors = seen.where("h is not null").select("c", "h", "a", "s1", "s2", "seg", "lk", "rk")
+    anchors = seen.where("h is not null").select("c", "h", "a", "s1", "s2", "seg", "seg2", "lk", "rk")
     more = cut(repeated(anchors, "h"))  # a table of its own: Spark can then split the join's hot keys
     alive = cut(anchors.join(more, "h").dropDuplicates(["c", "s1"]))
     twice = cut(repeated(alive.select(F.explode(F.array("lk", "rk")).alias("k")).where("k <> 0"), "k"))
@@ -381,15 +390,16 @@ def dedup(docs: DataFrame, length: int = 400, text_col: str = "text", gram: int
     # a start at offset o before its anchor needs the left extension if o >= reach, the right one if length - gram - o >= reach
     s1 = F.when(F.coalesce("l", F.lit(False)), F.col("s1")).otherwise(F.greatest("s1", F.col("a") - reach + 1))
     s2 = F.when(F.coalesce("r", F.lit(False)), F.col("s2")).otherwise(F.least("s2", F.col("a") - (length - gram - reach) - 1))
-    segs = two.select("h", "c", s1.alias("t1"), s2.alias("t2"), F.xxhash64("seg", s1 - F.col("s1"), s2 - F.col("s1")).alias("seg")).where("t1 <= t2")
-    segs = cut(segs.select("h", "seg", "c", F.col("t1").alias("s1"), F.col("t2").alias("s2")))
+    trimmed = lambda seg: F.xxhash64(seg, s1 - F.col("s1"), s2 - F.col("s1")).alias(seg)
+    segs = two.select("h", "c", s1.alias("t1"), s2.alias("t2"), trimmed("seg"), trimmed("seg2")).where("t1 <= t2")
+    segs = cut(segs.select("h", "seg", "seg2", "c", F.col("t1").alias("s1"), F.col("t2").alias("s2")))
     # equal segments are one; whatever was folded is repeated
-    kinds = cut(segs.groupBy("h", "seg").agg(F.count("*").alias("m"), F.min(F.struct("c", "s1", "s2")).alias("one")))
-    folded = segs.join(kinds.where("m > 1").select("h", "seg"), ["h", "seg"]).select("c", F.col("s1").cast("long").alias("lo"), (F.col("s2") + length).cast("long").alias("hi"))
-    per = kinds.groupBy("h").agg(F.count("*").alias("k"))
-    distinct = kinds.join(per.where("k > 1"), "h")
+    kinds = cut(segs.groupBy("h", "seg", "seg2").agg(F.count("*").alias("m"), F.min(F.struct("c", "s1", "s2")).alias("one")))
+    folded = segs.join(kinds.where("m > 1").select("h", "seg", "seg2"), ["h", "seg", "seg2"]).select("c", F.col("s1").cast("long").alias("lo"), (F.col("s2") + length).cast("long").alias("hi"))
+    per = cut(kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))  # a table of its own, as above
+    distinct = kinds.join(per, "h")
     ranges = F.when(F.col("k") > block, F.least(F.ceil(F.col("k") / block), F.lit(MOST_RANGES))).otherwise(0).cast("long")
-    b = F.when(F.col("k") > block, F.pmod(F.xxhash64("seg"), F.ceil(F.col("k") / block))).otherwise(0).cast("long")
+    b = F.when(F.col("k") > block, F.pmod(F.xxhash64("seg", "seg2"), F.ceil(F.col("k") / block))).otherwise(0).cast("long")
     wanted = distinct.select("h", b.alias("b"), F.col("one.c").alias("c"), F.col("one.s1").alias("s1"), F.col("one.s2").alias("s2"), (F.col("m") > 1).alias("done"), ranges.alias("ranges"))
     matched = cut(match_segments(fetch(texts, cut(wanted), length), length))
     across = match_blocks(matched.where("data is not null"), length)
@@ -397,6 +407,7 @@ def dedup(docs: DataFrame, length: int = 400, text_col: str = "text", gram: int
     spans = folded.unionByName(matched.where("data is null").select("c", "lo", "hi")).unionByName(across)
     spans = cut(spans.join(many, "c", "left_anti"))
     gone = cut(remove(texts, spans))
+    drop(per)
     per = seen.where("n is not null").select("c", "n", "sha").dropDuplicates(["c"])
     per = per.join(gone, "c", "left").join(many.withColumn("all", F.lit(True)), "c", "left")
     every = F.coalesce("all", F.lit(False)) & (F.col("n") >= length)
@@ -414,8 +425,8 @@ def dedup(docs: DataFrame, length: int = 400, text_col: str = "text", gram: int
 
 def annotate(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256), one row per row of docs."""
-    per = dedup(docs, length, text_col, **options)
+    keyed, texts = keyed_texts(docs, id_col, text_col)
+    per = dedup(texts, length, **options)
     per = cut(per.select("c", "n_bytes", "n_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), "kept_sha256"))
     per = per.withColumn("n_spans", F.greatest("n_spans", F.lit(0)).cast("long"))
-    keyed = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("c"))
     return keyed.join(per, "c").select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")
