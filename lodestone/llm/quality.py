@@ -2,14 +2,15 @@
 
 Each text becomes a vector of statistics (lengths, repetition, classes of bytes).  Standardised
 vectors pass through D random cosines, whose inner products approximate a Gaussian kernel.  Every
-partition adds up its normal equations per fold, Spark adds the partitions, and only those sums
+partition adds up its normal equations per fold, Spark adds the partitions in steps, and only those sums
 (3 x (D+1)^2 numbers, whatever the input) reach the driver, where ridge regressions are solved:
 one over all folds, and one without each fold.  The latter score their own left-out fold; pooling
 adjacent violators over a histogram of these scores gives the monotone map to a probability.
 
 All labelled training rows are used; every text is scored, whole.
 
-Defined results: null and empty texts have the statistics of an empty text and get a score; rows
+Defined results: null and empty texts have the statistics of an empty text and get a score; an
+empty table of documents gives an empty result; long texts count whole; rows
 without a label are not learned from; without labels every score is 0.5, with one class it is
 that class's; repeated rows score alike; extra columns pass through, those named like results
 are replaced.
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, raw, slices, windows_of, words
+from .common import cut, drop, raw, slices, sum_blobs, windows_of, words
 
 BINS = 512
 SLICES = 8
@@ -154,19 +155,17 @@ def normal_sums(rows: DataFrame, kernel: Kernel, folds: list[int]) -> dict[int,
             for k in folds:
                 part = f[fold == k]
                 total[k] += part.T @ part
+        from pyspark import TaskContext
+
+        lane = TaskContext.get().partitionId()
         for k in folds:
             for s in range(SLICES):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([s], pa.int32()), pa.array([total[k][cuts[s] : cuts[s + 1]].tobytes()], pa.binary())], ["fold", "slice", "sums"])
-
-    def merge(pdf):
-        import pandas as pd
-
-        out = sum(np.frombuffer(x) for x in pdf["sums"])
-        return pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "slice": [pdf["slice"].iloc[0]], "sums": [out.tobytes()]})
+                yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.int32()) for x in (k, s, lane)], pa.array([total[k][cuts[s] : cuts[s + 1]].tobytes()], pa.binary())], ["fold", "slice", "lane", "sums"])
 
-    schema = "fold int, slice int, sums binary"
-    parts = rows.select("x", F.col("y").cast("double").alias("y"), F.col("fold").cast("int").alias("fold")).mapInArrow(add, schema)
-    got = parts.groupBy("fold", "slice").applyInPandas(merge, schema).collect()
+    parts = rows.select("x", F.col("y").cast("double").alias("y"), F.col("fold").cast("int").alias("fold")).mapInArrow(add, "fold int, slice int, lane int, sums binary")
+    sums = sum_blobs(parts, ["fold", "slice"])
+    got = sums.collect()  # folds x slices rows
+    drop(sums)
     out = {}
     for k in folds:
         mine = sorted((r for r in got if r.fold == k), key=lambda r: r.slice)
