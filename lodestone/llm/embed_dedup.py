@@ -5,7 +5,9 @@ scale each, and the exact norm of what quantisation lost is kept.  Tiles of vect
 meet in pairs; the integer product of two tiles (exact in float32) and the bound
 |x.y - s q.s' q'| <= |x^||e'| + |e||x^'| + |e||e'| tell which pairs can reach the threshold, and
 only those are computed again in double precision.  A pair of tiles returns sums and a spanning
-forest, one row per vector at most, never its pairs.
+forest, one row per vector at most, never its pairs.  The work is quadratic in the different
+vectors of a label, as the method is: n of them make (n / tile)**2 / 2 products of tiles, and
+every vector is sent to n / tile of them.
 
 Defined results: a vector that is null, zero or holds null or non-finite components, and one
 without label or id, links with nothing and is its own component; vectors of different length
@@ -19,8 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, components, cut, drop
-from .vectors import distinct_vectors, unit, usable
+from .common import components, cut, drop, unite
+from .vectors import distinct_vectors, unit, usable, vector_key
 
 TILE = 2048
 _EXACT_DIM = (1 << 24) // (127 * 127)
@@ -69,18 +71,15 @@ def tile_links(codes_a, codes_b, threshold: float):
     rep = ra if same else np.concatenate([ra, rb])
     at = 0 if same else len(ra)
     links = np.zeros(len(rep), np.int64)
-    forest = UnionFind(len(rep))
+    root = np.arange(len(rep))
     for i, j in linked_pairs(xa, qa, xb, qb, threshold, same):
         np.add.at(links, i, wb[j])
         np.add.at(links, at + j, wa[i])
-        for u, v in zip(i.tolist(), (at + j).tolist(), strict=True):
-            forest.union(u, v)
+        root = unite(root, i, at + j)
     on = np.flatnonzero(links)
-    root = np.array([forest.find(k) for k in on.tolist()], np.int64)
-    best: dict[int, int] = {}
-    for k, r in zip(on.tolist(), root.tolist(), strict=True):
-        best[r] = min(best.get(r, rep[k]), rep[k])
-    return rep[on], links[on], np.array([best[r] for r in root.tolist()], np.int64)
+    least = np.full(len(rep), np.iinfo(np.int64).max)
+    np.minimum.at(least, root[on], rep[on])
+    return rep[on], links[on], least[root[on]]
 
 
 def near_duplicates(emb: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tile: int = TILE) -> DataFrame:
@@ -91,8 +90,8 @@ def near_duplicates(emb: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     keep = [c for c in emb.columns if c not in added]
     d = emb.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("d"), F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
     good = usable(F.col("v"), F.col("id")) & F.col("label").isNotNull()
-    rows = d.where(good).select("label", "v", "id")
-    reps = cut(distinct_vectors(rows, ["label"]).withColumn("dim", F.size("v")))
+    d = d.select("*", *vector_key("v"))
+    reps = cut(distinct_vectors(d.where(good), ["label"]).withColumn("dim", F.size("v")))
 
     sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).where("n > 1")
     packed = reps.join(sizes, ["label", "dim"]).withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
@@ -115,10 +114,10 @@ def near_duplicates(emb: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     found = cut(pairs.groupBy("label", "dim", "a", "b").applyInPandas(run, "rep long, links long, root long"))
     per = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    info = reps.select("label", "v", "rep", "cnt").join(per, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    info = cut(info.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    info = reps.select("label", "h1", "h2", "rep", "cnt").join(per, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+    info = cut(info.select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     drop(found)
-    out = d.where(good).join(info, ["label", "v"], "left").select("d", "id", "n_links", "component_id")
+    out = d.where(good).join(info, ["label", "h1", "h2"], "left").select("d", "id", "n_links", "component_id")
     rest = d.where(~good).select("d", "id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
     out = out.unionByName(rest)
     comp_id = F.coalesce("component_id", "id")

@@ -18,6 +18,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def vector_key(vec: str) -> list[Column]:
+    """h1 and h2, 128 bits that stand for a vector."""
+    return [F.xxhash64(vec).alias("h1"), F.xxhash64(F.lit(71), vec).alias("h2")]
+
+
 def distinct_vectors(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, v, rep (smallest id) and cnt of equal vectors; rows: keys, v, id."""
-    return rows.groupBy(*keys, "v").agg(F.min("id").alias("rep"), F.count("*").alias("cnt"))
+    """keys, h1, h2, v, rep (smallest id) and cnt of equal vectors; rows: keys, h1, h2, v, id."""
+    return rows.groupBy(*keys, "h1", "h2").agg(F.first("v").alias("v"), F.min("id").alias("rep"), F.count("*").alias("cnt"))
