@@ -4,11 +4,14 @@ Targets: sources share a number of words by weight; a source's share stops at `m
 its own size, and what is over is shared again by weight among the others until none is above.
 Sampling: a source with target t and size s takes floor(t/s) whole repetitions of each document
 and one more repetition of some documents, drawn in the order of a seeded hash, whose sizes add
-up to the fraction that is left.  The boundary is found on histograms of the hash (two levels of
-1024 cells), so a source that holds a third of all rows is never gathered or sorted in one task.
+up to the fraction that is left.  The hash is of id and text.  The boundary is found on its histograms (two
+levels of 1024 cells), so a source that holds a third of all rows is never gathered or sorted in
+one task.
 
 Defined results: null text is size 0; a null source is a source of its own, after all others; a
-document of size 0 takes 0; repeated rows are separate documents drawn alike; an empty table
+document of size 0 takes 0; rows with a null or repeated id are drawn apart if their texts differ,
+rows equal in both alike (so a source made of very few different rows meets its target only to
+within one of them with its copies); texts of any length count whole; an empty table
 gives an empty mix; extra columns pass through `mix` unless they clash with the added ones,
 which then win.
 """
@@ -73,12 +76,15 @@ def _boundary(cells: DataFrame, keys: list[str], cell: str, need: str) -> DataFr
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, id_col: str = "doc_id", size_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, id_col: str = "doc_id", size_col: str | None = None, mark_col: str | None = None) -> DataFrame:
     """docs with size, source_size, target and taken (words the mix takes of the document).
-    size_col: a column that has the sizes already."""
+    size_col: a column that has the sizes already; mark_col: one that tells texts apart (else the
+    MD5 of the text does)."""
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
     size = F.coalesce(F.col("d")[size_col].cast("long"), F.lit(0)) if size_col else word_count(F.col("d")["text"])
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col("d")[id_col]), F.lit(CELLS * CELLS))
+    mark = F.col("d")[mark_col] if mark_col else F.md5(F.col("d")["text"].cast("binary"))
+    drawn = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("d")[id_col].cast("string"), F.lit("-")), F.coalesce(mark.cast("string"), F.lit("-")))
+    h = F.conv(F.substring(F.md5(drawn.cast("binary")), 1, 5), 16, 10).cast("int")  # 20 bits: CELLS * CELLS
     s = F.coalesce(F.concat(F.lit("="), F.col("d")["source"]), F.lit("-"))  # never null
     base = d.select("d", s.alias("s"), size.alias("size"), F.floor(h / CELLS).cast("int").alias("c1"), F.pmod(h, F.lit(CELLS)).cast("int").alias("c2"))
     slim = cut(base.select(F.col("d")["source"].alias("source"), "s", "size", "c1", "c2").groupBy("source", "s", "c1", "c2").agg(F.sum("size").alias("size")))

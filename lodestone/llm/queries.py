@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,15 +25,16 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, word_count
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
-    return mix(docs, size_col="size").select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"), F.md5(F.col("text").cast("binary")).alias("mark"))
+    return mix(docs, size_col="size", mark_col="mark").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per finding."""
-    from .secrets import annotate, train
+    from .secrets import annotate, common_words, train
 
-    out = annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), train(), keep=["doc_id"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = annotate(docs, train(words=common_words(docs)), keep=["doc_id"])
     out = out.select("doc_id", F.explode("findings").alias("f"))
     return out.select("doc_id", F.col("f.start").alias("start"), F.col("f.stop").alias("stop"), F.col("f.score").alias("score"))
 
@@ -93,6 +95,4 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
-}
-
-ORACLE_SQL: dict[str, str] = {}
+}
\ No newline at end of file

@@ -1,24 +1,28 @@
 """Secret scan: candidate strings judged by a random forest trained from labelled findings.
 
 Candidates are long words with digits, the whole value (of 6 bytes or more) behind any `=` or `:`,
-and every word of 6 bytes or more within three words of a key word.  A value in quotes ends at its
+every word of 6 bytes or more within three words of a key word, and every block over several lines
+between a BEGIN and an END line of dashes.  A value in quotes ends at its
 closing quote; without quotes, punctuation that may close a sentence is left off its end.  Each has
 features of its length, of the transitions between its character classes, of how much of it
-dictionary words cover, of a path or address around it and of its neighbouring words.  A forest
+dictionary words cover (a fixed list and the commonest words of the corpus, see `common_words`),
+of a path or address around it and of its neighbouring words.  A forest
 of Gini trees, trained on the driver from a bounded set of labelled findings, takes the false
 positives (checksums, ids, numbers, addresses, placeholders) out.
 
 Labelled findings are rows (before, value, after, label).  Where none are given, the built-in
 ones are drawn by `built_in_findings` from the public shapes of credentials and of their common
-false positives; at most `max_train` rows are learned from (documented bound).
+false positives, with made-up words and those of the dictionary around them; at most `max_train` rows are learned from (documented bound).
 
-Defined results: null and empty texts have no findings; a value that repeats is found each time;
+Defined results: null and empty texts have no findings, an empty table gives an empty result; a value that repeats is found each time;
 overlapping candidates that are judged secret give one finding, their union; places count characters, whole texts are read; extra
 columns pass through, those named like the results are replaced.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import random
 import re
@@ -29,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import bpe
 from .common import _LOWER, raw, slices, text_column, with_text, words
 
 # Words that announce a credential, words that announce something else, and common words.
@@ -45,7 +50,8 @@ LEAST = 6  # bytes of a value
 REACH = 3  # words on both sides of a key word
 MASK = "[SECRET]"
 TRANSITIONS = 16
-_DICT = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=len, reverse=True)))
+BLOCK = re.compile(rb"-----BEGIN [A-Z0-9 ]{1,40}-----[^-]{16,20000}-----END [A-Z0-9 ]{1,40}-----")
+_KNOWN = frozenset(w for w in DICTIONARY if len(w) > 2)
 _WORD = re.compile(r"[A-Za-z_0-9]+")
 _STEMS = [k for k in KEYWORDS if not any(o != k and o in k for o in KEYWORDS)]
 _KEY = re.compile("|".join(_STEMS))
@@ -56,8 +62,22 @@ def _kind(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c < "\x80" or not c.isalpha() else 1 if c.isupper() else 0
 
 
-def features(before: str, value: str, after: str) -> list[float]:
-    """Numbers about a candidate; before and after are a few neighbouring words."""
+def coverage(low: str, known: frozenset[str]) -> int:
+    """How many of its characters the longest known words cover, from left to right."""
+    at = total = 0
+    while at < len(low):
+        for k in range(min(14, len(low) - at), 2, -1):
+            if low[at : at + k] in known:
+                total += k
+                at += k
+                break
+        else:
+            at += 1
+    return total
+
+
+def features(before: str, value: str, after: str, known: frozenset[str] = _KNOWN) -> list[float]:
+    """Numbers about a candidate; before and after are a few neighbouring words, known is the dictionary."""
     n = len(value)
     kinds = [_kind(c) for c in value]
     moves = [0.0] * TRANSITIONS
@@ -70,7 +90,7 @@ def features(before: str, value: str, after: str) -> list[float]:
     entropy = -sum(v / n * math.log2(v / n) for v in counts.values())
     low = value.lower()
     letters = sum(k < 2 for k in kinds)
-    covered = sum(len(m) for m in _DICT.findall(low))
+    covered = coverage(low, known)
     vowels = sum(c in "aeiou" for c in low)
     hexes = sum(c in "0123456789abcdef" for c in low)
     steps = sum(ord(b) - ord(a) in (0, 1) for a, b in zip(value, value[1:])) / max(1, n - 1)  # noqa: B905
@@ -88,17 +108,19 @@ def features(before: str, value: str, after: str) -> list[float]:
         float(before.rstrip()[-1:] in "\"'`"), float(tail in "=:"), float(said), float(denied), float(bool(near) and any(k in near[-1] for k in KEYWORDS)),
         float(told), pairs, float(letters == n), sum(c > "\x7f" for c in value) / n, float("bearer" in near[-1:]),
         float(value[:4].isupper() and value[:4].isalpha()), float(any(w in low for w in ("example", "xxxx", "your", "test", "sample", "dummy"))),
+        float("private key-" in low), float(value.startswith("-----begin") or value.startswith("-----BEGIN")),
     ]
 
 
 # ---------------------------------------------------------------- labelled findings
-def built_in_findings(n: int = 3000, seed: int = 41) -> list[tuple[str, str, str, int]]:
+def built_in_findings(n: int = 3000, seed: int = 41, words: Sequence[str] = DICTIONARY) -> list[tuple[str, str, str, int]]:
     """(before, value, after, label): shapes of credentials, and of what only looks like one."""
     r = random.Random(seed)
+    lexis = sorted(w for w in words if 2 < len(w) < 10) or DICTIONARY
     hexa, upper, b64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     pick = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
-    syllable = lambda: r.choice("th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split())
-    filler = lambda: "".join(syllable() for _ in range(r.randint(1, 4)))
+    syllable = lambda: r.choice("bcdfghjklmnprstvwz") + r.choice("aeiouy") + r.choice(["", "", "n", "r", "s", "t", "l"])
+    filler = lambda: r.choice(lexis) if r.random() < 0.5 else "".join(syllable() for _ in range(r.randint(1, 4)))
     context = lambda: " ".join(filler() for _ in range(r.randint(0, 4)))
     case = lambda s: s.upper() if r.random() < 0.15 else s
     out = []
@@ -117,7 +139,7 @@ def built_in_findings(n: int = 3000, seed: int = 41) -> list[tuple[str, str, str
             value, before = r.choice(["ghp_", "sk_live_", "xoxb-", "glpat-"]) + pick(b64, r.randint(20, 40)), context() + " "
         else:
             value, before = pick(b64, 12) + r.choice("!#_-") + pick(b64, 6), f"{context()} {key}{eq}"
-        out.append((before, value, r.choice(['"', "'", "", " ", "###", "!!"]) + " " + context(), 1))
+        out.append((before, value, r.choice(['"', "'", "", " ", ";", ".", ",", ")", "!", "#", "...", "*"]) + " " + context(), 1))
     for _ in range(n):
         shape, before = r.randrange(14), context() + " "
         if shape == 0:
@@ -127,7 +149,7 @@ def built_in_findings(n: int = 3000, seed: int = 41) -> list[tuple[str, str, str
         elif shape in (2, 3):
             value = pick("0123456789", r.choice([10, 12, 13, 15, 16, 16, 16, 18]))
         elif shape == 4:
-            value = f"{filler()}.{pick('0123456789', 2)}@mail{r.randint(0, 9)}.{r.choice(['example.com', 'host.org', 'site.net'])}"
+            value = f"{filler()}{r.choice(['', '.', '_', '-'])}{r.choice([filler(), pick('0123456789', r.randint(1, 4))])}@{filler()}{r.choice(['', str(r.randint(0, 99))])}{r.choice(['', '.' + filler()])}.{r.choice(['com', 'org', 'net', 'de', 'fr', 'io'])}"
         elif shape == 5:
             value = f"https://{filler()}.{r.choice(['com', 'org'])}/{filler()}/{pick('0123456789', r.randint(1, 8))}"
         elif shape == 6:
@@ -147,6 +169,12 @@ def built_in_findings(n: int = 3000, seed: int = 41) -> list[tuple[str, str, str
         else:
             value, before = filler() + filler() + str(r.randint(0, 9)), f"{before}{r.choice(['name', 'title', 'page', 'id', 'width'])}{r.choice(['=', ': '])}"
         out.append((before, value, r.choice(["", ".", ",", "!!"]) + " " + context(), 0))
+    # blocks over several lines
+    for i in range(n // 8):
+        lines = "\n".join(pick(b64 + "+/", r.choice([64, 64, 48, 24])) for _ in range(r.randint(1, 12)))
+        kind = r.choice(["PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY"] if i % 2 else ["CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST", "PGP SIGNATURE", "X509 CRL"])
+        out.append((context() + " ", f"-----BEGIN {kind}-----\n{lines}\n-----END {kind}-----", " " + context(), i % 2))
+        out.append((context() + " ", pick(b64 + "+/", r.choice([64, 48])), " " + context(), 0))  # a line of one, by itself
     # short and punctuated values, tokens without a digit, and what stands where they stand
     mark, alpha, low = "!@#$%&*?^~+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz"
     leet = lambda s: "".join({"a": "4", "e": "3", "i": "1", "o": "0", "s": "5"}.get(c, c) if r.random() < 0.6 else c for c in s)
@@ -206,7 +234,8 @@ def built_in_findings(n: int = 3000, seed: int = 41) -> list[tuple[str, str, str
 class Forest:
     """Bagged Gini trees over random subsets of the features, kept as flat arrays."""
 
-    def __init__(self, trees: int = 40, depth: int = 9, leaf: int = 3, seed: int = 3):
+    def __init__(self, trees: int = 40, depth: int = 9, leaf: int = 3, seed: int = 3, known: frozenset[str] = _KNOWN):
+        self.known = known  # the dictionary that its features were made with
         self.n_trees, self.depth, self.leaf, self.seed = trees, depth, leaf, seed
         self.trees: list[tuple[np.ndarray, ...]] = []
 
@@ -260,14 +289,25 @@ class Forest:
         return out / max(1, len(self.trees))
 
 
-def train(findings: DataFrame | Sequence[tuple[str, str, str, int]] | None = None, max_train: int = 20_000) -> Forest:
-    """A forest from labelled findings (before, value, after, label)."""
+def common_words(docs: DataFrame, most: int = 20_000) -> list[str]:
+    """The commonest words of all texts that are made of letters alone, of 4 letters or more, in lower case."""
+    out: dict[str, None] = {}
+    for w in bpe.frequent_words(docs):
+        w = w.strip()
+        if len(w) > 3 and w.isalpha() and len(out) < most:
+            out.setdefault(w.lower())
+    return list(out)
+
+
+def train(findings: DataFrame | Sequence[tuple[str, str, str, int]] | None = None, max_train: int = 20_000, words: Sequence[str] = ()) -> Forest:
+    """A forest from labelled findings (before, value, after, label); words: more words of the dictionary."""
+    known = _KNOWN | frozenset(words)
     if isinstance(findings, DataFrame):
         rows = [tuple(r) for r in findings.select("before", "value", "after", "label").where("value <> '' and label is not null").limit(max_train).collect()]
     else:
-        rows = list(built_in_findings() if findings is None else findings)[:max_train]
-    x = np.array([features(b or "", v, a or "") for b, v, a, _ in rows])
-    return Forest().fit(x, np.array([r[3] for r in rows]))
+        rows = list(built_in_findings(words=[*DICTIONARY, *words]) if findings is None else findings)[:max_train]
+    x = np.array([features(b or "", v, a or "", known) for b, v, a, _ in rows])
+    return Forest(known=known).fit(x, np.array([r[3] for r in rows]))
 
 
 # ---------------------------------------------------------------- the scan
@@ -373,6 +413,25 @@ def candidates(data: np.ndarray, offsets: np.ndarray):
             yield t, b + i, b + j, before + text[max(0, i - 200) : i], text[i:j].encode("latin-1").decode("utf-8", "replace"), text[j : j + 200] + after
 
 
+def blocks(data: np.ndarray, offsets: np.ndarray):
+    """The same of every block of lines between BEGIN and END."""
+    whole = data.tobytes()
+    if b"-----BEGIN " not in whole:
+        return
+    for t, (lo, hi) in enumerate(itertools.pairwise(offsets.tolist())):
+        for m in BLOCK.finditer(whole, lo, hi):
+            around = whole[max(lo, m.start() - 100) : m.start()], whole[m.end() : min(hi, m.end() + 100)]
+            yield t, m.start(), m.end(), around[0].decode("utf-8", "replace"), m.group().decode("utf-8", "replace"), around[1].decode("utf-8", "replace")
+
+
+def scanned(data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
+    """All candidates in order; a block of lines is judged as a whole, not its words."""
+    whole = list(blocks(data, offsets))
+    ends = [b[2] for b in whole]
+    inside = lambda f: (k := bisect.bisect_right(ends, f[1])) < len(whole) and whole[k][1] < f[2]
+    return sorted([*(f for f in candidates(data, offsets) if not (whole and inside(f))), *whole], key=lambda f: f[:3])
+
+
 def annotate(docs: DataFrame, forest: Forest, keep: list[str] | None = None, at_least: float = 0.5, mask: str = MASK) -> DataFrame:
     """docs (the columns in keep, else all) with findings, an array of (start, stop, score) in characters,
     and redacted, the text with every finding replaced (null for a null text)."""
@@ -386,8 +445,8 @@ def annotate(docs: DataFrame, forest: Forest, keep: list[str] | None = None, at_
             data, off = raw(b.column(source))
             for i, j in slices(off):
                 block, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                found = list(candidates(block, o))
-                score = held.value.predict(np.array([features(*f[3:]) for f in found])) if found else []
+                found = scanned(block, o)
+                score = held.value.predict(np.array([features(*f[3:], held.value.known) for f in found])) if found else []
                 hits: dict[int, list] = {}
                 for f, s in zip(found, score, strict=True):
                     if s < at_least:
