@@ -42,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; n_chars follows the text it counts."""
     small_batches(spark)
-    out = secrets.annotate(docs, secrets.train())
+    out = secrets.annotate(docs, secrets.train(words=secrets.common_words(docs)))
     hit = F.size("findings") > 0
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
