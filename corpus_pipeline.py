@@ -2,16 +2,25 @@
 
 Language ID -> near duplicates -> secrets -> mixing -> tokens.  A stage takes (spark, docs,
 sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Defined results: rows with a null id pass every stage on their own text; null and empty texts, and
+texts without a letter, go in the first stage; repeated rows go in the second, all but one; a text
+of any length is one row, taken whole; an empty table stays empty; more columns pass through all
+stages but the last, whatever their names.  Stages that send whole rows to Python lower the
+session's rows per Arrow batch to 500, and leave it there: what they return is run by the caller.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, langid, mixing, ngram_join, secrets
 from lodestone.llm.common import cut, drop, table
 
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 #: The stages need trained models and merges, which SQL cannot express.
 ORACLE_SQL = None
 
@@ -21,6 +30,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+def shielded(stage):
+    """The stage with columns of the documents that it doesn't know out of the way of those it adds."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inside = {c: c if c in KNOWN else f"extra_{i}" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(x) for c, x in inside.items()]), sf_dir)
+        return out.select(*[F.col(x).alias(c) for c, x in inside.items()])
+
+    return run
+
+
+@shielded
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose language is rejected (no letter, or unlike every learned language) go."""
     small_batches(spark)
@@ -28,6 +50,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.predict(docs, model).where(~F.col("rejected")).select(*docs.columns)
 
 
+@shielded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate texts the document of least id stays, once."""
     groups = ngram_join.near_duplicates(docs.select("doc_id", "text"))
@@ -39,6 +62,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return out if many.isEmpty() else out.unionByName(pick(many).dropDuplicates(["doc_id"]))
 
 
+@shielded
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; n_chars follows the text it counts."""
     small_batches(spark)
@@ -49,6 +73,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.withColumn("text", F.col("redacted")).select(*docs.columns)
 
 
+@shielded
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.repeat_rows(mixing.mix(docs), docs.columns)

@@ -143,6 +143,18 @@ def test_empty_pipeline(spark, empty):
     assert P.run(spark, empty).count() == 0
 
 
+def test_pipeline_keeps_other_columns(spark, odd, tmp_path):
+    P = pytest.importorskip("corpus_pipeline")
+    d = spark.read.parquet(f"{odd[0]}/documents.parquet").where("doc_id % 3 = 0")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, d, odd[0])
+        assert out.dtypes == d.dtypes, name
+        out.write.parquet(str(tmp_path / name))
+        d = spark.read.parquet(str(tmp_path / name))
+        assert d.count() and d.where(" OR ".join(f"`{c}` <> 'clash'" for c in CLASHING)).count() == 0
+    assert P.STAGES[-1][1](spark, d, odd[0]).columns == ["doc_id", "source", "lang", "n_tokens", "token_ids"]
+
+
 def test_repeated_and_null_ids(spark):
     from lodestone.llm import bpe, mixing, ngram_join, quality, substring_dedup, suffix_dedup
 
