@@ -235,7 +235,7 @@ def fitted_windows(flat: DataFrame, ranks: DataFrame, asks: DataFrame, dims: dic
 
 
 def search(
-    emb: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, window: int | None = None, share: float = 0.97, seed: int = 7
+    emb: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, window: int | None = None, share: float = 0.95, seed: int = 7
 ) -> DataFrame:
     """(query_id, rank, id_col, score) of the k nearest found of every row where is_query holds.  window: rows
     to either side on each curve; if it isn't given, the least that holds `share` of the neighbours of a sample."""
