@@ -18,7 +18,9 @@ calibration got right rejects nothing.  Prediction covers every text, whole.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and are rejected;
 rows without a label are not learned from; with no labelled text at all everything is `und`;
-equal entropies go to the language that sorts first; repeated rows are predicted alike.
+equal entropies go to the language that sorts first; repeated rows are predicted alike; texts of
+any length are read whole; an empty table gives an empty result; extra columns pass through, those
+named like the results are replaced.
 """
 
 from __future__ import annotations

@@ -14,9 +14,10 @@ Labelled findings are rows (before, value, after, label).  Where none are given,
 ones are drawn by `built_in_findings` from the public shapes of credentials and of their common
 false positives, with made-up words and those of the dictionary around them; at most `max_train` rows are learned from (documented bound).
 
-Defined results: null and empty texts have no findings, an empty table gives an empty result; a value that repeats is found each time;
-overlapping candidates that are judged secret give one finding, their union; places count characters, whole texts are read; extra
-columns pass through, those named like the results are replaced.
+Defined results: null and empty texts have no findings, an empty table gives an empty result; a
+value that repeats is found each time; overlapping candidates that are judged secret give one
+finding, their union; places count characters; texts of any length are read whole; repeated rows
+have the same findings; extra columns pass through, those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ LEAST = 6  # bytes of a value
 REACH = 3  # words on both sides of a key word
 MASK = "[SECRET]"
 TRANSITIONS = 16
-BLOCK = re.compile(rb"-----BEGIN [A-Z0-9 ]{1,40}-----[^-]{16,20000}-----END [A-Z0-9 ]{1,40}-----")
+BLOCK = re.compile(rb"-----BEGIN [A-Z0-9 ]{1,40}-----(?:[^-]|-(?!----)){16,}+-----END [A-Z0-9 ]{1,40}-----")
 _KNOWN = frozenset(w for w in DICTIONARY if len(w) > 2)
 _WORD = re.compile(r"[A-Za-z_0-9]+")
 _STEMS = [k for k in KEYWORDS if not any(o != k and o in k for o in KEYWORDS)]
