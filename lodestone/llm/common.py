@@ -83,6 +83,13 @@ def with_text(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("_text"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def workers(spark: SparkSession) -> int:
     """Partitions for a stage of Python work over a small table."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
@@ -221,6 +228,10 @@ def keys_of(n: int, seed: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes between terms: what is neither an ASCII digit or letter nor part of a wider character.
+TERM_GAP = np.ones(256, bool)
+for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
+    TERM_GAP[_lo:_hi] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTES = {False: keys_of(256, 11), True: keys_of(256, 11)[_LOWER]}
@@ -261,14 +272,15 @@ def slices(offsets: np.ndarray, most: int = CHUNK_BYTES):
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, gap: np.ndarray = _SPACE):
     """Words of a block of texts: (hashes, begin, end, first) where first[d]:first[d+1] are the
-    words of text d and begin/end are byte places in data.  lower folds A-Z alone."""
+    words of text d and begin/end are byte places in data.  lower folds A-Z alone; gap marks the
+    bytes between words."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = gap[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     ink = ~space

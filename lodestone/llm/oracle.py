@@ -63,4 +63,38 @@ OP8 = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(te
  SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(runs, 0) AS n_spans,
   sha256(CASE WHEN n IS NULL THEN b WHEN rest <= octet_length(b) THEN unhex(head || hex(b[rest:octet_length(b)])) ELSE unhex(head) END) AS kept_sha256 FROM d LEFT JOIN g USING (r)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1, "op3_mix_sources": OP3, "op6_substring_dedup": OP6, "op7_ngram_join": OP7, "op8_suffix_dedup": OP8}
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+#: Every document that shares a term is scored.
+OP11 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ws FROM documents),
+ g AS (SELECT count(*) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM d WHERE len(ws) > 0),
+ t AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY r, w),
+ f AS (SELECT w, CAST(floor(1000 * ln((2.0 * g.n + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM t, g GROUP BY w, g.n),
+ i AS (SELECT q, item_id, w, count(*) AS c FROM (SELECT row_number() OVER () AS q, item_id, unnest({_TERMS}) AS w FROM benchmark) GROUP BY ALL),
+ s AS (SELECT q, item_id, r, CAST(sum(c * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(ws) * g.n) // g.l)))) AS BIGINT) AS score
+  FROM i JOIN f USING (w) JOIN t USING (w) JOIN d USING (r), g GROUP BY q, item_id, r),
+ k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN d USING (r) WHERE score > 0)
+ SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM k WHERE rank <= 10"""
+
+#: The lines as a list, cut and joined again.
+OP12 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ x AS (SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda p: CAST('0x' || substr(h, p, 8) AS BIGINT)) AS hs FROM d),
+ c AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 100 THEN 'plain' WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM x),
+ p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+#: Every window of every item against every place of every document.
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ws FROM documents),
+ b AS (SELECT item_id, {_TERMS} AS ws FROM benchmark),
+ i AS (SELECT item_id, least(len(ws), 10) AS k, unnest(list_transform(range(1, len(ws) - least(len(ws), 10) + 2), lambda p: array_to_string(ws[p:p + least(len(ws), 10) - 1], ' '))) AS g FROM b WHERE len(ws) > 0),
+ k AS (SELECT DISTINCT k FROM i),
+ w AS (SELECT r, k, unnest(range(1, len(ws) - k + 2)) AS p, unnest(list_transform(range(1, len(ws) - k + 2), lambda p: array_to_string(ws[p:p + k - 1], ' '))) AS g FROM d, k WHERE len(ws) >= k),
+ o AS (SELECT DISTINCT r, p, k, item_id FROM w JOIN i USING (k, g)),
+ h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS x FROM o) GROUP BY r),
+ l AS (SELECT r, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS v FROM o WHERE item_id IS NOT NULL) GROUP BY r)
+ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN l USING (r)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1, "op3_mix_sources": OP3, "op6_substring_dedup": OP6, "op7_ngram_join": OP7, "op8_suffix_dedup": OP8, "op11_lexical_search": OP11, "op12_fill_in_middle": OP12, "op13_decontamination": OP13}

@@ -84,6 +84,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fim import restored, transform
+
+    out = transform(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    text = restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(text).alias("restored_sha256"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import annotate
+
+    out = annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_nearest": op2_nearest,
@@ -95,4 +118,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_decontamination": op13_decontamination,
 }
\ No newline at end of file

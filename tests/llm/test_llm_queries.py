@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .test_llm import corpus, vectors
 
 #: Names that the operators use or add.
-CLASHING = "size taken target source_size mark cell c h s1 n id rep v q rank score query_id component_id n_links kept n_shingles n_words n_removed kept_sha256 n_bytes n_tokens token_ids decoded findings redacted held_out lang_pred rejected predicted x y fold quality d k t _text".split()
+CLASHING = "size taken target source_size mark cell c h s1 n id rep v q rank score query_id component_id n_links kept n_shingles n_words n_removed kept_sha256 n_bytes n_tokens token_ids decoded findings redacted n n_units form output prefix_chars middle_chars spans items matches n_hit n_items item_id slot block part held_out lang_pred rejected predicted x y fold quality d k t _text".split()
 DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
 
 
@@ -31,9 +31,20 @@ def tables(folder, docs, vecs, labels):
     pq.write_table(pa.table({**own, **clash(len(vecs))}), f"{folder}/embeddings.parquet")
     own = {"doc_id": pa.array([x[0] for x in labels], pa.int64()), "quality": pa.array([x[1] for x in labels], pa.int32()), "toxic": pa.array([0 for _ in labels], pa.int32())}
     pq.write_table(pa.table(own), f"{folder}/labels.parquet")
+    items = [(i, t) for i, t in (*passages(docs), (900, None), (901, ""), (902, "to"), (902, "A b"), (None, "ab"), (903, "?! -- "), (904, "w1 w2 w3 never-seen")) if docs]
+    own = {"item_id": pa.array([x[0] for x in items], pa.int64()), "text": pa.array([x[1] for x in items], pa.string())}
+    pq.write_table(pa.table({**own, **clash(len(items))}), f"{folder}/benchmark.parquet")
     return str(folder)
 
 
+def passages(docs):
+    """Items cut from documents: whole texts, middles, and passages in other writing."""
+    texts = [d[1] for d in docs if d[1] and len(d[1].split()) > 24]
+    for i, t in enumerate(texts[::3]):
+        w = t.split()
+        yield i, [" ".join(w), " ".join(w[3:20]).upper(), "before " + ", ".join(w[5:17]) + " after", " ".join(w[:4])][i % 4]
+
+
 @pytest.fixture(scope="module")
 def odd(tmp_path_factory):
     r = random.Random(12)
@@ -60,7 +71,7 @@ def plain(rows):
 def test_query_equals_sql(spark, odd, name):
     got = QUERIES[name](spark, odd[0])
     db = duckdb.connect()
-    for t, own in (("documents", ", ".join(DOCS.names)), ("embeddings", "vec_id, embedding, label")):
+    for t, own in (("documents", ", ".join(DOCS.names)), ("embeddings", "vec_id, embedding, label"), ("benchmark", "item_id, text")):
         db.sql(f"CREATE VIEW {t} AS SELECT {own} FROM '{odd[0]}/{t}.parquet'")
     want = db.sql(ORACLE_SQL[name])
     assert set(want.columns) == set(got.columns)
