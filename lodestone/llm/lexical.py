@@ -198,47 +198,67 @@ def fetch(rows: DataFrame, score: Score) -> DataFrame:
     return rows.mapInArrow(run, FETCHED)
 
 
-def bound(fetched: DataFrame, k: int) -> DataFrame:
-    """(item, part, doc, low, high): documents whose upper bound reaches the bar known in their part."""
-
-    def of_part(g: pa.Table, part: int) -> pa.RecordBatch:
-        col = {c: g.column(c).to_pylist() for c in ("items", "slots", "cw", "least", "miss", "bar", "docs", "s")}
-        docs = [np.frombuffer(x, "<u4").astype(np.int64) for x in col["docs"]]
-        worth = [np.frombuffer(x, "<u4").astype(np.int64) for x in col["s"]]
-        slots = sorted({x for s in col["slots"] for x in s})
-        at = {s: i for i, s in enumerate(slots)}
-        width = 1 + max((int(d.max()) for d in docs if len(d)), default=-1)
-        low, seen = np.zeros((len(slots), width), np.int64), np.zeros((len(slots), width), np.int64)
-        hidden, bar, item = (np.zeros(len(slots), np.int64) for _ in range(3))
-        for r, (d, s) in enumerate(zip(docs, worth, strict=True)):
-            for i, x, c, least, miss, b in zip(*(col[c][r] for c in ("items", "slots", "cw", "least", "miss", "bar")), strict=True):
-                x = at[x]
-                item[x], bar[x] = i, b
-                hidden[x] += miss
-                if m := int(np.searchsorted(-s, -least, "right")):
-                    low[x, d[:m]] += c * s[:m]
-                    seen[x, d[:m]] += miss
-        out: list[np.ndarray] = []
-        for x in range(len(slots)):
-            got = low[x]
-            kth_ = int(np.partition(got, width - k)[width - k]) if width >= k else 0
-            high = got + hidden[x] - seen[x]
-            on = np.flatnonzero((high >= max(int(bar[x]), kth_, 1)) & (got > 0))
-            # of those known exactly, no more than the k best count: they are numbered by id
-            known = on[high[on] == got[on]]
-            if len(known) > k:
-                worst = np.lexsort((known, -got[known]))[k:]
-                on = np.setdiff1d(on, known[worst], assume_unique=True)
-            out.append(np.stack([np.full(len(on), item[x]), np.full(len(on), part), on, got[on], high[on]], 1))
-        table = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(5)], ["item", "part", "doc", "low", "high"])
+def _sums(g: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item, bar, low, high) of a part and block: a row of low and high for each item, a column for each document."""
+    col = {c: g.column(c).to_pylist() for c in ("items", "slots", "cw", "least", "miss", "bar", "docs", "s")}
+    docs = [np.frombuffer(x, "<u4").astype(np.int64) for x in col["docs"]]
+    worth = [np.frombuffer(x, "<u4").astype(np.int64) for x in col["s"]]
+    at = {s: i for i, s in enumerate(sorted({x for s in col["slots"] for x in s}))}
+    width = 1 + max((int(d.max()) for d in docs if len(d)), default=-1)
+    low, seen = np.zeros((len(at), width), np.int64), np.zeros((len(at), width), np.int64)
+    hidden, bar, item = (np.zeros(len(at), np.int64) for _ in range(3))
+    for r, (d, s) in enumerate(zip(docs, worth, strict=True)):
+        for i, x, c, least, miss, b in zip(*(col[c][r] for c in ("items", "slots", "cw", "least", "miss", "bar")), strict=True):
+            x = at[x]
+            item[x], bar[x] = i, b
+            hidden[x] += miss
+            if m := int(np.searchsorted(-s, -least, "right")):
+                low[x, d[:m]] += c * s[:m]
+                seen[x, d[:m]] += miss
+    seen *= -1
+    seen += low
+    seen += hidden[:, None]
+    return item, bar, low, seen
+
+
+def best_sums(fetched: DataFrame, k: int) -> DataFrame:
+    """(item, part, doc, low): of every part the k largest sums of an item that reach the bar so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, ["part", "block"]):
-            yield of_part(g, g.column("part")[0].as_py())
+            part = g.column("part")[0].as_py()
+            item, bar, low, _ = _sums(g)
+            out = [np.zeros((0, 4), np.int64)]
+            for x in range(len(item)):
+                on = np.argsort(-low[x], kind="stable")[:k]
+                on = on[low[x, on] >= max(int(bar[x]), 1)]
+                out.append(np.stack([np.full(len(on), item[x]), np.full(len(on), part), on, low[x, on]], 1))
+            table = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(4)], ["item", "part", "doc", "low"])
 
-    dealt = fetched.repartition(workers(fetched.sparkSession), "part", "block").sortWithinPartitions("part", "block")
-    return dealt.mapInArrow(run, "item long, part long, doc long, low long, high long")
+    return fetched.sortWithinPartitions("part", "block").mapInArrow(run, "item long, part long, doc long, low long")
+
+
+def candidates(fetched: DataFrame, k: int) -> DataFrame:
+    """(item, part, doc): documents whose upper bound reaches the bar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups_of(batches, ["part", "block"]):
+            part = g.column("part")[0].as_py()
+            item, bar, low, high = _sums(g)
+            out = [np.zeros((0, 3), np.int64)]
+            for x in range(len(item)):
+                on = np.flatnonzero((high[x] >= max(int(bar[x]), 1)) & (low[x] > 0))
+                # of those known exactly, no more than the k best count: they are numbered by id
+                known = on[high[x, on] == low[x, on]]
+                if len(known) > k:
+                    worst = np.lexsort((known, -low[x, known]))[k:]
+                    on = np.setdiff1d(on, known[worst], assume_unique=True)
+                out.append(np.stack([np.full(len(on), item[x]), np.full(len(on), part), on], 1))
+            table = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(3)], ["item", "part", "doc"])
+
+    return fetched.sortWithinPartitions("part", "block").mapInArrow(run, "item long, part long, doc long")
 
 
 # ---------------------------------------------------------------- phase three
@@ -259,11 +279,18 @@ def look_up(rows: DataFrame, score: Score) -> DataFrame:
     return rows.mapInArrow(run, "item long, part long, doc long, worth long")
 
 
+def _dealt(fetched: DataFrame) -> DataFrame:
+    return fetched.repartition(workers(fetched.sparkSession), "part", "block")
+
+
 def search(
     docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", item_block: int = 256,
+    item_text_col: str = "text", item_block: int = 256, finer: int = 4,
 ) -> DataFrame:
-    """(item_col, rank, id_col, score): of each row of items its k documents of highest score above 0."""
+    """(item_col, rank, id_col, score): of each row of items its k documents of highest score above 0.
+
+    finer: how many times lower than its bar divided by its lists an item's threshold is; more is fetched then,
+    and fewer candidates are looked up.  The result is the same for any."""
     numbered = cut(items.select(F.col(item_col).alias("name"), F.col(item_text_col).alias("text"), F.monotonically_increasing_id().alias("item")))
     wants = cut(item_terms(numbered.select("item", "text")))
     asked = wants.select("t").distinct()
@@ -291,7 +318,7 @@ def search(
     # phase two: every item's share of its bar
     limits = weighed.join(best.where("r = 1").select("t", F.col("s").alias("most")), "t").join(weighed.groupBy("item").agg(F.count("*").alias("m")), "item")
     limits = limits.join(bar, "item", "left").withColumn("bar", F.coalesce("bar", F.lit(0).cast("long")))
-    limits = limits.withColumn("least", F.expr("(bar + cw * m - 1) div (cw * m)"))
+    limits = limits.withColumn("least", F.expr(f"(bar + cw * m * {finer} - 1) div (cw * m * {finer})"))
     limits = limits.withColumn("miss", F.greatest(F.lit(0), F.least(F.col("most"), F.col("least") - 1)) * F.col("cw"))
     blocks = -(-numbered.count() // item_block) or 1
     place = wants.select("item").distinct().withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
@@ -301,9 +328,13 @@ def search(
     per = cut(per.select("t", "block", list_("item", "items"), list_("slot", "slots"), list_("cw"), list_("least"), list_("miss"), list_("bar")))
     few = weighed.count() <= FEW_LISTS
     fetched = fetch(lists.join(F.broadcast(per) if few else per, "t"), score)
-    found = cut(bound(fetched, k))
-    bar = kth(found, "low", k)
-    found = cut(found.join(bar, "item", "left").where("high >= coalesce(bar, 1)").select("item", "part", "doc"))
+    fetched = cut(fetched)
+    # the second bar: the k-th largest sum of an item anywhere
+    second = kth(best_sums(_dealt(fetched), k), "low", k)
+    bars = place.join(second, "item").groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("slot", "bar"))).alias("bars"))  # a row for each block of items
+    raised = fetched.join(F.broadcast(bars) if few else bars, "block", "left")
+    raised = raised.withColumn("bar", F.when(F.col("bars").isNull(), F.col("bar")).otherwise(F.expr("transform(slots, (s, i) -> greatest(bar[i], coalesce(bars[s], 0)))"))).drop("bars")
+    found = cut(candidates(_dealt(raised), k))
     # phase three: exact scores of the candidates
     wanted = found.join(F.broadcast(weighed) if few else weighed, "item").groupBy("t", "part").agg(F.collect_list(F.struct("item", "doc", "cw")).alias("asked"))
     exact = look_up(lists.join(wanted, ["t", "part"]), score).groupBy("item", "part", "doc").agg(F.sum("worth").alias("score"))
@@ -312,5 +343,5 @@ def search(
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"), "part", "doc")
     out = exact.join(ids, ["part", "doc"]).withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") > 0))
     out = cut(out.join(numbered.select("item", "name"), "item").select(F.col("name").alias(item_col), "rank", F.col("id").alias(id_col), "score"))
-    drop(numbered, wants, made, weighed, best, per, found, exact)
+    drop(numbered, wants, made, weighed, best, per, fetched, found, exact)
     return out
