@@ -94,11 +94,14 @@ def field_ref(cls: Column, name: Column, type_: Column) -> Column:
 
 
 def quoted(col: Column) -> Column:
-    """A double-quoted literal with the usual escapes."""
-    out = col
-    for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\0", "\\0")):
-        out = F.replace(out, F.lit(raw), F.lit(shown))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    """A double-quoted literal with the usual escapes; other control characters by number."""
+    out = F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    short = {0: "\\0", 9: "\\t", 10: "\\n", 13: "\\r"}
+    shown = out
+    for code in (*range(0x20), *range(0x7F, 0xA0)):
+        shown = F.replace(shown, F.lit(chr(code)), F.lit(short.get(code, f"\\u{{{code:x}}}")))
+    # few texts have any: the long chain runs on those alone
+    return F.concat(F.lit('"'), F.when(col.rlike("[\\x00-\\x1f\\x7f-\\x9f]"), shown).otherwise(out), F.lit('"'))
 
 
 def resolve_name(package: Column, name: Column) -> Column:
@@ -115,11 +118,10 @@ def human_bytes(n: int) -> str:
 
 
 def java_identifier(name: str) -> str:
-    """A legal identifier for any name."""
-    out = "".join(c if c == "_" or c == "$" or (c.isascii() and c.isalnum()) else "_" for c in name) or "_"
-    if out[0].isdigit():
-        out = "_" + out
-    return out + "_" if out in JAVA_KEYWORDS else out
+    """A legal identifier for any name: what no identifier may hold becomes `_`; keywords, a first
+    digit and a lone `_` get one in front.  Different names can become equal (`operators.names` tells them apart)."""
+    out = "".join(c if c in "_$" or (c.isascii() and c.isalnum()) else "_" for c in name) or "_"
+    return f"_{out}" if out in JAVA_KEYWORDS or out == "_" or out[0].isdigit() else out
 
 
 def java_type(descriptor: str) -> str:

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import method_ref, field_ref, quoted
-
 OWNER = ["image", "class", "method"]
 
 
@@ -24,17 +22,18 @@ def hits(refs: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     return refs.join(wanted, keys)
 
 
-def by_method(found: DataFrame, order: list[str]) -> DataFrame:
-    """One row per method: kind of its first hit, distinct targets in the order of their first hits."""
+def by_method(found: DataFrame, order: list[str], owner: list[str] = OWNER) -> DataFrame:
+    """One row per method (owner: what tells methods apart, names of images need not): kind of its
+    first hit, distinct targets in the order of their first hits."""
     at = F.struct(*order)
-    first = found.groupBy(*OWNER, "target").agg(F.min(F.struct(at.alias("at"), F.col("kind").alias("kind"))).alias("one"))
-    grouped = first.groupBy(*OWNER).agg(F.min("one").alias("head"), F.array_sort(F.collect_list(F.struct(F.col("one.at").alias("at"), "target"))).alias("all"))
+    first = found.groupBy(*owner, "target").agg(F.min(F.struct(at.alias("at"), F.col("kind").alias("kind"))).alias("one"))
+    grouped = first.groupBy(*owner).agg(F.min("one").alias("head"), F.array_sort(F.collect_list(F.struct(F.col("one.at").alias("at"), "target"))).alias("all"))
     return grouped.select(F.col("image").alias("dex"), F.col("head.kind").alias("kind"), "class", "method", F.transform("all", lambda x: x["target"]).alias("refs"))
 
 
-def by_class(found: DataFrame) -> DataFrame:
+def by_class(found: DataFrame, owner: list[str] = OWNER) -> DataFrame:
     """Methods with at least one hit per owner class, over all images."""
-    return found.select(*OWNER).distinct().groupBy("class").agg(F.count("*").alias("methods"))
+    return found.select(*owner).distinct().groupBy("class").agg(F.count("*").alias("methods"))
 
 
 def sites_by_class(found: DataFrame) -> DataFrame:
@@ -42,10 +41,12 @@ def sites_by_class(found: DataFrame) -> DataFrame:
     return found.groupBy("class").agg(F.count("*").alias("sites"))
 
 
-def in_row_order(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("class", "method", "dex")
+def kinds(refs: DataFrame, of: list[str], kind: str = "ref_kind", target: str = "ref_idx") -> DataFrame:
+    """kind, sites and targets (different ones) of the references of some kinds."""
+    per = refs.where(F.col(kind).isin(*of)).groupBy(F.col(kind).alias("ref_kind"), target).agg(F.count("*").alias("n"))
+    return per.groupBy("ref_kind").agg(F.sum("n").alias("sites"), F.count("*").alias("targets"))
 
 
-def rendered(kind: Column, text: Column, cls: Column, name: Column, desc: Column) -> Column:
-    """A reference as its kind shows it."""
-    return F.when(kind == "string", quoted(text)).when(kind == "type", text).when(kind == "field", field_ref(cls, name, desc)).otherwise(method_ref(cls, name, desc))
+def signatures(members: DataFrame, owner: str, signature: str) -> DataFrame:
+    """owner and signatures: the different ones of each owner, sorted."""
+    return members.groupBy(owner).agg(F.array_sort(F.collect_set(signature)).alias("signatures"))

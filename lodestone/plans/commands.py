@@ -26,6 +26,9 @@ KINDS = ("string", "type", "field", "method")
 SHORT = {"string": "const-string", "type": "type", "field": "field", "method": "invoke"}
 
 
+METHOD = ["image_seq", "image", "class", "method"]  # entries of different archives have the same names
+
+
 class NotFound(LookupError):
     """What was asked for is not in the input (exit code 2, HTTP 404)."""
 
@@ -66,21 +69,21 @@ class Session:
         self.a = Artifacts(self.spark, self.path, self.dex)
         self._checked = False
 
-    def t(self, name: str) -> DataFrame:
-        """A table; the first one of images checks that there are any."""
+    def t(self, name: str, *columns: str) -> DataFrame:
+        """A table, or some of its columns; the first one of images checks that there are any."""
         if name not in FILE_TABLES and not self._checked:
             self._checked = True
             self.check()
-        return self.a.table(name)
+        return self.a.table(name, list(columns) or None)
 
     def images(self) -> DataFrame:
         """image_seq and dex, the part of the label after the last `!`."""
-        return self.t("images").select("image_seq", F.substring_index("label", "!", -1).alias("dex"), "label")
+        return self.t("images", "image_seq", "label").select("image_seq", F.substring_index("label", "!", -1).alias("dex"), "label")
 
     def check(self) -> None:
         """Fails if no image is left: none there, none that decodes, or none that --dex names."""
-        if self.a.table("images").isEmpty():
-            bad = self.a.corrupt().orderBy("image_seq").limit(20).collect()
+        if self.a.table("images", ["image_seq"]).isEmpty():
+            bad = self.a.failures("images").orderBy("image_seq").limit(20).collect()
             if bad:
                 raise NotFound("no image decodes: " + "; ".join(f"{r.label}: {r.reason}" for r in bad))
             labels = [r.label for r in Artifacts(self.spark, self.path).images_raw().select("label").orderBy("image_seq").limit(20).collect()]
@@ -88,8 +91,8 @@ class Session:
 
     # ------------------------------------------------------------ classes
     def classes(self) -> DataFrame:
-        """dex, class_seq, class, access, super, interfaces: of every name its first definition."""
-        rows = self.t("class_defs").join(self.images().select("image_seq", "dex"), "image_seq")
+        """image_seq, class_seq, class, dex: of every name its first definition."""
+        rows = self.t("class_defs", "image_seq", "class_seq", "class").join(self.images().select("image_seq", "dex"), "image_seq")
         return J.first_wins(rows, "class", ["image_seq", "class_seq"])
 
     def listclasses(self, pattern: str = "", full: bool = False, view: View | None = None, offset: int = 0, limit: int = 0) -> DataFrame:
@@ -110,11 +113,10 @@ class Session:
     # ------------------------------------------------------------ references
     def refs(self) -> DataFrame:
         """Every reference of every method: image, class, method, pc, kind, ref_kind, ref_idx."""
-        m = self.t("encoded_methods").select("image_seq", "class_seq", "method_seq", "method_idx")
+        m = self.t("encoded_methods", "image_seq", "class_seq", "method_seq", "method_idx")
         names = self.t("method_ids").select("image_seq", "method_idx", "class", F.concat("name", "proto").alias("method"))
         owner = m.join(names, ["image_seq", "method_idx"]).join(self.images().select("image_seq", "dex"), "image_seq")
-        ins = self.t("instructions").where(F.col("ref_kind").isNotNull()).select("image_seq", "class_seq", "method_seq", "pc", "mnemonic", "ref_kind", "ref_idx")
-        rows = ins.join(owner, ["image_seq", "class_seq", "method_seq"])
+        rows = self.t("refs", "image_seq", "class_seq", "method_seq", "pc", "mnemonic", "ref_kind", "ref_idx").join(owner, ["image_seq", "class_seq", "method_seq"])
         kind = F.when(F.col("mnemonic").startswith("invoke"), "invoke").otherwise(F.col("mnemonic"))
         return rows.select(F.col("dex").alias("image"), "image_seq", "class", "method", "pc", kind.alias("kind"), "ref_kind", "ref_idx")
 
@@ -144,9 +146,9 @@ class Session:
         found = R.hits(self.refs(), self.targets(kind, text, owner, fuzzy), ["image_seq", "ref_kind", "ref_idx"])
         found = found.withColumn("class", N.dotted(F.col("class")))
         if full:
-            rows = R.by_method(found.where(N.under_prefix(F.col("class"), N.normalize_prefix(view.prefix))), ["pc", "ref_idx"])
+            rows = R.by_method(found.where(N.under_prefix(F.col("class"), N.normalize_prefix(view.prefix))), ["pc", "ref_idx"], METHOD)
             return W.window(rows, ["class", "method", "dex"], offset, limit)
-        return self._tree(view.of(R.by_class(found), "class", F.col("methods")), view, offset, limit)
+        return self._tree(view.of(R.by_class(found, METHOD), "class", F.col("methods")), view, offset, limit)
 
     def callers(self, name: str, owner: str | None = None, **options) -> DataFrame:
         return self.findrefs("method", name, owner, **options)
@@ -198,7 +200,7 @@ class Session:
 
     def edges(self) -> DataFrame:
         """child, parent over supers and interfaces."""
-        c = self.t("class_defs")
+        c = self.t("class_defs", "class", "super", "interfaces")
         return c.where(F.col("super").isNotNull()).select(F.col("class").alias("child"), F.col("super").alias("parent")).union(c.select("class", F.explode("interfaces")))
 
     def subtypes(self, name: str) -> DataFrame:
@@ -212,7 +214,7 @@ class Session:
 
     def disasm(self, target: str) -> DataFrame:
         """class, method, pc, mnemonic, operands of a class, or of its methods named by what follows the last dot."""
-        known = self.t("class_defs").select("class")
+        known = self.t("class_defs", "class")
         head = target.split("(")[0]
         whole = N.class_literal(head)
         method = None
@@ -222,7 +224,7 @@ class Session:
             if known.where(F.col("class") == whole).limit(1).count() == 0:
                 raise NotFound(f"no class for {target}")
         names = self.t("method_ids").select("image_seq", "method_idx", "class", F.concat("name", "proto").alias("method"))
-        rows = self.t("encoded_methods").select("image_seq", "class_seq", "method_seq", "method_idx").join(names.where(F.col("class") == whole), ["image_seq", "method_idx"])
+        rows = self.t("encoded_methods", "image_seq", "class_seq", "method_seq", "method_idx").join(names.where(F.col("class") == whole), ["image_seq", "method_idx"])
         if method:
             rows = rows.where(F.col("method") == method if "(" in method else F.col("method").startswith(method))
         ins = self.t("instructions").join(rows, ["image_seq", "class_seq", "method_seq"])
@@ -368,7 +370,7 @@ class Session:
     def nesting(self) -> DataFrame:
         """image_seq, class, enclosing_class, enclosing_method, inner_name, members: what the system
         annotations of a class say about where it is nested."""
-        owner = self.t("class_defs").select("image_seq", "class_seq", "class")
+        owner = self.t("class_defs", "image_seq", "class_seq", "class")
         return J.nesting_evidence(self.t("annotations")).join(owner, ["image_seq", "class_seq"]).drop("class_seq")
 
     def export(self, out: str, package: str | None = None) -> None:

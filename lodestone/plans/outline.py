@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.names import java_identifier, java_type
-from ..sources.dex import NO_INDEX, CorruptImage, Image, decode_all, operands
+from ..sources.archive import opened
+from ..sources.artifact import rows_of
+from ..sources.dex import NO_INDEX, CorruptImage, Image, decode_all, operands, sound
 
 # Fixed values of the public format.
 FLAGS = ((0x1, "public"), (0x2, "private"), (0x4, "protected"), (0x8, "static"), (0x10, "final"), (0x400, "abstract"))
@@ -92,16 +94,18 @@ def outlines(images: DataFrame, names: list[str] | None, method: str | None, pac
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for seq, data in zip(b.column("image_seq").to_pylist(), b.column("data").to_pylist(), strict=True):
+            for seq, data, size, deflated in rows_of(b, "image_seq", "data", "size", "deflated"):
+                rows = []
                 try:
-                    img = Image(data)
+                    with sound():
+                        img = Image(opened(data, size, deflated))
+                        for k in range(len(img.class_defs)):
+                            cls = img.internal(int(img.class_defs[k, 0]))
+                            if cls in wanted if names is not None else (not package or cls.startswith(package + "/")):
+                                img.whole()
+                                rows.append((seq, cls, class_text(img, k, method)))
                 except CorruptImage:
-                    continue
-                rows = []
-                for k in range(len(img.class_defs)):
-                    cls = img.internal(int(img.class_defs[k, 0]))
-                    if cls in wanted if names is not None else (not package or cls.startswith(package + "/")):
-                        rows.append((seq, cls, class_text(img, k, method)))
+                    continue  # Artifacts.failures lists it
                 if rows:
                     seqs, classes, sources = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int32()), pa.array(classes), pa.array(sources)], ["image_seq", "class", "source"])

@@ -106,8 +106,7 @@ def string_site_counts(t: Tables) -> DataFrame:
 
 @query("SELECT l_returnflag AS ref_kind, count(*) AS sites, count(DISTINCT l_partkey) AS targets FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1")
 def ref_kind_mask(t: Tables) -> DataFrame:
-    rows = t.lineitem.where(F.col("l_returnflag").isin("A", "R")).groupBy(F.col("l_returnflag").alias("ref_kind"), "l_partkey").agg(F.count("*").alias("n"))
-    return rows.groupBy("ref_kind").agg(F.sum("n").alias("sites"), F.count("*").alias("targets"))
+    return R.kinds(t.lineitem, ["A", "R"], "l_returnflag", "l_partkey")
 
 
 # ------------------------------------------------------------------ strings
@@ -373,7 +372,7 @@ def label_join(t: Tables) -> DataFrame:
 
 @query("SELECT p_brand AS owner, string_agg(DISTINCT p_type, '; ' ORDER BY p_type) AS signatures FROM part GROUP BY 1")
 def signatures_by_owner(t: Tables) -> DataFrame:
-    return t.part.groupBy(F.col("p_brand").alias("owner")).agg(F.array_join(F.array_sort(F.collect_set("p_type")), "; ").alias("signatures"))
+    return R.signatures(t.part.withColumnRenamed("p_brand", "owner"), "owner", "p_type").withColumn("signatures", F.array_join("signatures", "; "))
 
 
 # ------------------------------------------------------------------ info, scalars

@@ -6,11 +6,14 @@ Indexes are resolved to text here, since every later query would join them back.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
+import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -80,20 +83,73 @@ def mutf8_encode(s: str) -> bytes:
     return bytes(out)
 
 
-def inflate_prefix(data: bytes, need, step: int = 1 << 16) -> bytes:
-    """Raw deflate data inflated until need(bytes so far) no longer returns a larger size."""
-    d, out = zlib.decompressobj(-15), bytearray()
-    at = 0
-    want = need(bytes(out))
-    while len(out) < want and not d.eof:
-        chunk = d.unconsumed_tail or data[at : at + step]
-        if not d.unconsumed_tail:
-            at += step
-        if not chunk:
-            break
-        out += d.decompress(chunk, max(1, want - len(out)))
-        want = need(bytes(out))
-    return bytes(out)
+class Inflating:
+    """Raw deflate data of a known size, read like bytes; it is inflated as far as it is read."""
+
+    STEP = 1 << 14  # of the packed data at once
+
+    def __init__(self, packed: bytes, size: int):
+        self.packed, self.size, self.out = packed, size, bytearray()
+        self._at, self._d = 0, zlib.decompressobj(-15)
+
+    @property
+    def inflated(self) -> int:
+        return len(self.out)
+
+    def upto(self, n: int) -> None:
+        n = min(n, self.size)
+        while len(self.out) < n:
+            chunk = self._d.unconsumed_tail
+            if not chunk:
+                chunk = self.packed[self._at : self._at + self.STEP]
+                self._at += self.STEP
+            if not chunk or self._d.eof:
+                raise CorruptImage("packed data ends early")
+            self.out += self._d.decompress(chunk, n - len(self.out))
+
+    def whole(self) -> bytes:
+        self.upto(self.size)
+        return bytes(self.out)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, i: int | slice):
+        if isinstance(i, slice):
+            self.upto(self.size if i.stop is None else i.stop)
+            return bytes(self.out[i])
+        if i >= self.size:
+            raise IndexError(i)
+        self.upto(i + 1)
+        return self.out[i]
+
+    def index(self, what: bytes, at: int) -> int:
+        self.upto(at + 64)
+        while (found := self.out.find(what, at)) < 0:
+            if len(self.out) >= self.size:
+                raise ValueError(f"{what!r} is not found")
+            self.upto(len(self.out) + 256)
+        return found
+
+
+@contextlib.contextmanager
+def sound():
+    """Whatever a damaged image makes a decoder stumble over is one error, CorruptImage."""
+    try:
+        yield
+    except CorruptImage:
+        raise
+    except (LookupError, ValueError, ArithmeticError, TypeError, RecursionError, struct.error, zlib.error, EOFError, NotImplementedError, zipfile.BadZipFile) as e:
+        raise CorruptImage(f"{type(e).__name__}: {e}"[:200]) from e
+
+
+def quote(s: str) -> str:
+    """A double-quoted literal: the usual escapes, other control characters by number."""
+    return '"' + s.translate(ESCAPES) + '"'
+
+
+#: Fixed values of the literal syntax.
+ESCAPES = {i: f"\\u{{{i:x}}}" for i in (*range(0x20), *range(0x7F, 0xA0))} | {0: "\\0", 9: "\\t", 10: "\\n", 13: "\\r", 34: '\\"', 92: "\\\\"}
 
 
 # ---------------------------------------------------------------- opcodes
@@ -266,6 +322,8 @@ def _payload(u: np.ndarray, pc: int, kind: int) -> Instruction:
         count = int(u[pc + 2]) | int(u[pc + 3]) << 16
         raw = u[pc + 4 :].astype("<u2").tobytes()[: n * count]
         data, size = ("array-data", n, raw), 4 + (n * count + 1) // 2
+    if pc + size > len(u):
+        raise CorruptImage("payload runs over the end")
     return Instruction(pc, int(u[pc]), f"{data[0]}-payload", size, None, None, [], None, None, data)
 
 
@@ -279,36 +337,72 @@ def decode_all(u: np.ndarray) -> Iterator[Instruction]:
 
 # ---------------------------------------------------------------- the image
 class Image:
-    """One image: id tables as arrays, text decoded when asked for."""
+    """One image: id tables as arrays, text decoded when asked for.  Of data that is still packed no
+    more is inflated than is read."""
+
+    WIDTHS = {"strings": 1, "types": 1, "protos": 3, "fields": 2, "methods": 2, "classes": 8}  # 32-bit words of a row
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | Inflating):
         if len(data) < 0x70 or data[:4] != b"dex\n" or data[7:8] != b"\0":
             raise CorruptImage("not a bytecode image")
         if data[4:7] not in VERSIONS:
             raise CorruptImage(f"version {data[4:7]!r} is not supported")
         self.data = data
-        h = struct.unpack_from("<20I", data, 0x20)
+        h = self._unpack("<20I", 0x20)
         if h[2] != ENDIAN:
             raise CorruptImage("unexpected byte order")
         self.map_off = h[5]
-        self.counts = dict(zip(("strings", "types", "protos", "fields", "methods", "classes"), h[6:18:2], strict=True))
-        self.offsets = dict(zip(self.counts, h[7:18:2], strict=True))
+        self.counts = dict(zip(self.WIDTHS, h[6:18:2], strict=True))
+        self.offsets = dict(zip(self.WIDTHS, h[7:18:2], strict=True))
         self.version = data[4:7].decode()
-        self.string_offs = self._table("strings", 1)[:, 0]
-        self.type_ids = self._table("types", 1)[:, 0]
-        self.proto_ids = self._table("protos", 3)
-        fields = self._table("fields", 2)
-        self.field_ids = np.stack([fields[:, 0] & 0xFFFF, fields[:, 0] >> 16, fields[:, 1]], 1)  # class, type, name
-        methods = self._table("methods", 2)
-        self.method_ids = np.stack([methods[:, 0] & 0xFFFF, methods[:, 0] >> 16, methods[:, 1]], 1)  # class, proto, name
-        self.class_defs = self._table("classes", 8)
+        for name, width in self.WIDTHS.items():
+            if self.counts[name] and self.offsets[name] + 4 * width * self.counts[name] > len(data):
+                raise CorruptImage(f"{name} run over the end")
         self._text: dict[int, str] = {}
 
-    def _table(self, name: str, width: int) -> np.ndarray:
-        n, off = self.counts[name], self.offsets[name]
-        if n and off + 4 * width * n > len(self.data):
-            raise CorruptImage(f"{name} run over the end")
-        return np.frombuffer(self.data, "<u4", n * width, off if n else 0).reshape(n, width).astype(np.int64)
+    def _unpack(self, fmt: str, at: int) -> tuple:
+        if isinstance(self.data, bytes):
+            return struct.unpack_from(fmt, self.data, at)
+        return struct.unpack(fmt, self.data[at : at + struct.calcsize(fmt)])
+
+    def _table(self, name: str) -> np.ndarray:
+        n, off, width = self.counts[name], self.offsets[name], self.WIDTHS[name]
+        return np.frombuffer(self.data[off : off + 4 * width * n] if n else b"", "<u4").reshape(n, width).astype(np.int64)
+
+    def _split(self, name: str) -> np.ndarray:
+        """Rows of two 16-bit numbers and a 32-bit one."""
+        t = self._table(name)
+        return np.stack([t[:, 0] & 0xFFFF, t[:, 0] >> 16, t[:, 1]], 1)
+
+    @cached_property
+    def string_offs(self) -> np.ndarray:
+        return self._table("strings")[:, 0]
+
+    @cached_property
+    def type_ids(self) -> np.ndarray:
+        return self._table("types")[:, 0]
+
+    @cached_property
+    def proto_ids(self) -> np.ndarray:
+        return self._table("protos")
+
+    @cached_property
+    def field_ids(self) -> np.ndarray:
+        return self._split("fields")  # class, type, name
+
+    @cached_property
+    def method_ids(self) -> np.ndarray:
+        return self._split("methods")  # class, proto, name
+
+    @cached_property
+    def class_defs(self) -> np.ndarray:
+        return self._table("classes")
+
+    def whole(self) -> bytes:
+        """All of the data; what reads most of an image is quicker over bytes."""
+        if isinstance(self.data, Inflating):
+            self.data = self.data.whole()
+        return self.data
 
     # text
     def string(self, i: int) -> str:
@@ -327,8 +421,8 @@ class Image:
     def type_list(self, off: int) -> list[str]:
         if not off:
             return []
-        (n,) = struct.unpack_from("<I", self.data, off)
-        return [self.type(x) for x in struct.unpack_from(f"<{n}H", self.data, off + 4)]
+        (n,) = self._unpack("<I", off)
+        return [self.type(x) for x in self._unpack(f"<{n}H", off + 4)]
 
     def proto(self, i: int) -> tuple[str, list[str]]:
         _, ret, params = self.proto_ids[i]
@@ -350,10 +444,7 @@ class Image:
     def reference(self, kind: str, i: int) -> str:
         """How a reference is shown."""
         if kind == "string":
-            s = self.string(i)
-            for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\0", "\\0")):
-                s = s.replace(raw, shown)
-            return f'"{s}"'
+            return quote(self.string(i))
         if kind == "type":
             return self.type(i)
         if kind == "field":
@@ -389,19 +480,24 @@ class Image:
                     methods.append((idx, access, code))
         return fields, methods
 
+    def code_head(self, off: int) -> tuple[int, int, int, int, int, int]:
+        """Registers, ins, outs, try blocks, debug offset and units of a code item."""
+        head = self._unpack("<4H2I", off)
+        if off + 16 + 2 * head[5] > len(self.data):
+            raise CorruptImage("code runs over the end")
+        return head
+
     def code(self, off: int) -> dict | None:
         """Registers, units and try blocks of a code item."""
         if not off:
             return None
-        regs, ins, outs, tries, debug, size = struct.unpack_from("<4H2I", self.data, off)
-        if off + 16 + 2 * size > len(self.data):
-            raise CorruptImage("code runs over the end")
-        units = np.frombuffer(self.data, "<u2", size, off + 16)
+        regs, ins, outs, tries, debug, size = self.code_head(off)
+        units = np.frombuffer(self.data[off + 16 : off + 16 + 2 * size], "<u2")
         blocks = []
         at = off + 16 + 2 * size + (2 if tries and size % 2 else 0)
         base = at + 8 * tries
         for k in range(tries):
-            start, n, handler = struct.unpack_from("<I2H", self.data, at + 8 * k)
+            start, n, handler = self._unpack("<I2H", at + 8 * k)
             pos = base + handler
             count, pos = sleb128(self.data, pos)
             catches = []
@@ -474,12 +570,12 @@ class Image:
         off = int(self.class_defs[seq, 5])
         if not off:
             return []
-        (s,) = struct.unpack_from("<I", self.data, off)
+        (s,) = self._unpack("<I", off)
         if not s:
             return []
-        (n,) = struct.unpack_from("<I", self.data, s)
+        (n,) = self._unpack("<I", s)
         out = []
-        for item in struct.unpack_from(f"<{n}I", self.data, s + 4):
+        for item in self._unpack(f"<{n}I", s + 4):
             t, elements, _ = self.annotation(item + 1)
             out.append((self.data[item], t, elements))
         return out
@@ -488,8 +584,8 @@ class Image:
         """Kind -> (count, offset) of the map list."""
         if not self.map_off:
             return {}
-        (n,) = struct.unpack_from("<I", self.data, self.map_off)
-        return {k: (c, o) for k, _, c, o in (struct.unpack_from("<2H2I", self.data, self.map_off + 4 + 12 * i) for i in range(n))}
+        (n,) = self._unpack("<I", self.map_off)
+        return {k: (c, o) for k, _, c, o in (self._unpack("<2H2I", self.map_off + 4 + 12 * i) for i in range(n))}
 
     def debug(self, off: int, registers: int) -> tuple[list[str | None], list[dict]]:
         """Parameter names, and local variables with their ranges, of a debug stream."""

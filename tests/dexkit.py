@@ -56,7 +56,7 @@ class Dex:
         self.m = {x: i for i, x in enumerate(self.methods)}
         self.shorty = shorty
 
-    def build(self):
+    def build(self, strings_first=False):
         n = [len(x) for x in (self.strings, self.types, self.protos, self.fields, self.methods, self.classes)]
         width = (4, 4, 12, 8, 8, 32)
         offs, at = [], 0x70
@@ -76,6 +76,8 @@ class Dex:
         for want in [p for _, p in self.protos] + [tuple(c.get("interfaces", ())) for c in self.classes]:
             if want and want not in type_list:
                 type_list[want] = put(struct.pack(f"<I{len(want)}H", len(want), *(self.t[x] for x in want)), 4)
+        text = lambda: [put(uleb(len(x.encode("utf-16-le", "surrogatepass")) // 2) + mutf8_encode(x) + b"\0") for x in self.strings]
+        string_at = text() if strings_first else None
         codes = {}
         for c in self.classes:
             for name, p, r, _, code in c.get("methods", ()):
@@ -97,7 +99,7 @@ class Dex:
             class_data[c["name"]] = put(b)
             if c.get("statics"):
                 statics[c["name"]] = put(uleb(len(c["statics"])) + b"".join(bytes([0x04, v]) for v in c["statics"]))
-        string_at = [put(uleb(len(x.encode("utf-16-le", "surrogatepass")) // 2) + mutf8_encode(x) + b"\0") for x in self.strings]
+        string_at = string_at or text()
         ids = b"".join(struct.pack("<I", x) for x in string_at)
         ids += b"".join(struct.pack("<I", self.s[t]) for t in self.types)
         ids += b"".join(struct.pack("<3I", self.s[self.shorty(r, p)], self.t[r], type_list.get(p, 0)) for r, p in self.protos)

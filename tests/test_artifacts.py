@@ -10,7 +10,7 @@ from lodestone.plans.commands import BadQuery, NotFound, Session, View
 from lodestone.plans import render
 from lodestone.operators import page as W
 from lodestone.sources import archive, axml, dex
-from lodestone.sources.artifact import SCHEMAS, ArtifactSource, Artifacts, class_names_need
+from lodestone.sources.artifact import SCHEMAS, ArtifactSource, Artifacts
 from lodestone.streaming.ingest import ingest
 
 from . import dexkit as K
@@ -84,17 +84,6 @@ def test_corrupt_images():
             dex.Image(bad)
 
 
-def test_prefix_is_enough_for_class_names():
-    import zlib
-
-    data = K.hello().build()
-    c = zlib.compressobj(9, zlib.DEFLATED, -15)
-    raw = c.compress(data) + c.flush()
-    got = dex.inflate_prefix(raw, class_names_need, 16)
-    assert data.startswith(got) and len(got) >= 0x70
-    assert dex.inflate_prefix(raw, lambda b: 0x70)[:8] == data[:8]
-
-
 def test_image_tables(spark, one):
     a = Artifacts(spark, str(one))
     row = a.table("images").collect()[0]
@@ -162,7 +151,7 @@ def test_containers_and_order(spark, folder, tmp_path):
     (tmp_path / "note.txt").write_bytes(b"no")
     a = Artifacts(spark, str(tmp_path))
     assert [r.label for r in a.table("images").orderBy("image_seq").collect()] == ["a", "b!base.apk!classes.dex", "b!config.apk!classes.dex"]
-    assert [r.label for r in a.corrupt().collect()] == ["broken"]
+    assert [r.label for r in a.failures().collect()] == ["broken"]
     labels = [r.label for r in Artifacts(spark, str(folder)).table("images").orderBy("image_seq").collect()]
     assert labels == ["app!classes.dex", "app!classes2.dex"]
     assert [r.label for r in Artifacts(spark, str(folder), ["CLASSES2"]).table("images").collect()] == ["app!classes2.dex"]
