@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from .common import pieces, raw, text_column, with_text
 
-SLICE = 2 << 20  # bytes of text in a block
+SLICE = 1 << 20  # bytes of text in a block
 LONG = 64  # bytes of a word beyond which it is merged by a heap, and never in the lexicon
 CELLS = 1 << 19  # bytes of words merged together
 
@@ -410,7 +410,7 @@ def frequent_words(docs: DataFrame, share: float = 2e-6, lexicon_size: int = 65_
             for i, k, m in zip(at.tolist(), size.tolist(), n.tolist(), strict=True):
                 if k <= LONG:
                     seen[whole[i : i + k]] += m
-            if len(seen) > 600_000:  # lossy counting: what lies under the share so far is let go
+            if len(seen) > 300_000:  # lossy counting: what lies under the share so far is let go
                 floor = max(floor, share * total)
                 seen = Counter({w: n for w, n in seen.items() if n >= floor})
         kept = [(w, n) for w, n in seen.items() if n >= share * total - floor]

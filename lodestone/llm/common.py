@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -336,6 +338,26 @@ def arrow_schema(ddl_frame) -> pa.Schema:
     return to_arrow_schema(ddl_frame)
 
 
+_LIBC = None
+_RELEASED = 0.0
+
+
+def release(seconds: float = 0.1) -> None:
+    """Give freed memory back, if that was not done just now: a worker that waits, or works on little,
+    should hold little."""
+    global _LIBC, _RELEASED
+    if time.monotonic() < _RELEASED + seconds:
+        return
+    _RELEASED = time.monotonic()
+    if _LIBC is None:
+        try:
+            _LIBC = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):
+            _LIBC = lambda pad: 0
+    pa.default_memory_pool().release_unused()
+    _LIBC(0)
+
+
 def pieces(batches, most: int = 4 << 20, column: str = "text"):
     """Record batches cut so that none holds much over `most` bytes of text, but for one long text."""
     for b in batches:
@@ -344,6 +366,7 @@ def pieces(batches, most: int = 4 << 20, column: str = "text"):
         _, off = raw(b.column(column))
         for i, j in slices(off, most):
             yield b.slice(i, j - i)
+            release()
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -360,6 +383,7 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
             if held and now != last:
                 yield pa.Table.from_batches(held)
                 held = []
+                release()
             held.append(b.slice(x, y - x))
             last = now
     if held:

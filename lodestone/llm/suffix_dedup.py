@@ -37,7 +37,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, keys_of, mix, pieces, raw, signed, slices, workers
+from .common import cut, drop, keys_of, mix, pieces, raw, release, signed, slices, workers
 from .substring_dedup import keyed_texts, only, repeated
 
 GRAM = 64
@@ -280,6 +280,7 @@ def match_segments(rows: DataFrame, length: int) -> DataFrame:
                     if size >= ARRAY_BYTES:
                         yield from flush(held)
                         held, size = [], 0
+                        release()
                     last = (h, k)
                 held.append((h, *rest))
                 size += len(rest[-1])
@@ -310,6 +311,7 @@ def match_blocks(waiting: DataFrame, length: int) -> DataFrame:
                 if held and (h, r) != last:
                     yield spans(held)
                     held = []
+                    release()
                 last = (h, r)
                 held.append(data)
         if held:
@@ -333,6 +335,7 @@ def fetch(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     rows += [(x["h"], x["b"], c, x["s1"], x["s2"] - x["s1"] + 1, x["done"], x["ranges"], data[at + x["s1"] : at + x["s2"] + length].tobytes()) for x in list_]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], names)
+                release()
 
     lists = wanted.groupBy("c").agg(F.collect_list(F.struct("h", "b", "s1", "s2", "done", "ranges")).alias("list"))  # as many as a text has segments
     own = only(texts, lists.select("c")).dropDuplicates(["c"])
@@ -367,6 +370,7 @@ def remove(texts: DataFrame, spans: DataFrame) -> DataFrame:
                     gone.append(len(text) - len(out))
                     runs.append([{"lo": lo, "hi": hi} for lo, hi in merged])
                 yield pa.RecordBatch.from_arrays([part.column("c"), pa.array(runs, one), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], ["c", "spans", "n_removed", "kept"])
+                release()
 
     lists = spans.groupBy("c").agg(F.collect_list(F.struct("lo", "hi")).alias("list"))  # at most a few for each segment of a text
     own = only(texts, lists.select("c")).dropDuplicates(["c"])
