@@ -255,7 +255,8 @@ def search(
     dims = {r.dim: r.n for r in flat.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     if not dims or asks.isEmpty():
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    made = {dim: [Curve(dim, seed * 1000 + c, *_centre(flat, dim)) for c in range(curves)] for dim in dims}
+    centres = _centres(flat)
+    made = {dim: [Curve(dim, seed * 1000 + c, *centres[dim]) for c in range(curves)] for dim in dims}
     ranks = ranked(flat, made)
     widths = {dim: window for dim in dims} if window else fitted_windows(flat, ranks, asks, dims, k, share)
 
@@ -314,22 +315,23 @@ def search(
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("cand").alias(id_col), "score")
 
 
-def _centre(flat: DataFrame, dim: int) -> tuple[np.ndarray, float]:
-    """Mean of the vectors of a length, and the root mean square of what is left of a component."""
+def _centres(flat: DataFrame) -> dict[int, tuple[np.ndarray, float]]:
+    """Of the vectors of each length their mean, and the root mean square of what is left of a component; one pass."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, np.zeros((2, dim))
+        n: dict[int, int] = {}
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            if b.num_rows:
-                x = np.clip(floats(b.column("v")), -1e100, 1e100)
-                n += len(x)
-                total += np.stack([x.sum(0), (x * x).sum(0)])
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["n", "sums"])
-
-    got = flat.where(F.col("dim") == dim).select("v").mapInArrow(sums, "n long, sums array<double>")
-    r = got.select("n", F.posexplode("sums")).groupBy("pos").agg(F.sum("n").alias("n"), F.sum("col").alias("s")).collect()  # two numbers a component
-    total = np.zeros(2 * dim)
-    for x in r:
-        total[x.pos] = x.s / x.n
-    mean = total[:dim]
-    return mean, max(float(np.sqrt(max(0.0, np.mean(total[dim:] - mean * mean)))), 1e-300)
+            size = b.column("dim").to_numpy()
+            for dim in np.unique(size).tolist():
+                x = np.clip(floats(b.column("v").filter(pa.array(size == dim))), -1e100, 1e100)
+                n[dim] = n.get(dim, 0) + len(x)
+                total[dim] = total.get(dim, 0.0) + np.concatenate([x.sum(0), (x * x).sum(0)])
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64()), pa.array([t.tolist() for t in total.values()], pa.list_(pa.float64()))], ["dim", "n", "sums"])
+
+    got = flat.select("dim", "v").mapInArrow(sums, "dim long, n long, sums array<double>")
+    rows = got.select("dim", "n", F.posexplode("sums")).groupBy("dim", "pos").agg(F.sum("n").alias("n"), F.sum("col").alias("s")).collect()  # two numbers a component
+    means: dict[int, np.ndarray] = {}
+    for r in rows:
+        means.setdefault(r.dim, np.zeros(2 * r.dim))[r.pos] = r.s / r.n
+    return {d: (m[:d], max(float(np.sqrt(max(0.0, np.mean(m[d:] - m[:d] * m[:d])))), 1e-300)) for d, m in means.items()}

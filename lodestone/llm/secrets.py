@@ -304,7 +304,7 @@ def train(findings: DataFrame | Sequence[tuple[str, str, str, int]] | None = Non
     """A forest from labelled findings (before, value, after, label); words: more words of the dictionary."""
     known = _KNOWN | frozenset(words)
     if isinstance(findings, DataFrame):
-        rows = [tuple(r) for r in findings.select("before", "value", "after", "label").where("value <> '' and label is not null").limit(max_train).collect()]
+        rows = [tuple(r) for r in findings.select("before", "value", "after", "label").where("value <> '' and label is not null").orderBy(F.xxhash64("before", "value", "after", "label"), "value").limit(max_train).collect()]
     else:
         rows = list(built_in_findings(words=[*DICTIONARY, *words]) if findings is None else findings)[:max_train]
     x = np.array([features(b or "", v, a or "", known) for b, v, a, _ in rows])
