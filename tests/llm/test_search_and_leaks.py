@@ -212,3 +212,14 @@ def test_small_parts(spark, monkeypatch):
     make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
     got = lexical.search(make(docs, "doc_id long, text string").repartition(40), make(items, "item_id long, text string"), 4)
     assert sorted(map(tuple, got.collect()), key=repr) == plain_search(docs, items, 4)
+
+
+def test_a_forest_is_trained_on_the_same_findings_however_they_lie(spark):
+    from lodestone.llm import secrets
+
+    r = random.Random(4)
+    rows = [("key = ", "".join(r.choice("abcdef0123456789") for _ in range(24)), "", 1) for _ in range(60)] + [("the ", r.choice(["river", "mountain", "window"]) + str(i), " is", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "before string, value string, after string, label int")
+    texts = spark.createDataFrame([(i, f"{b}{v}{a}") for i, (b, v, a, _) in enumerate(rows)], "doc_id long, text string")
+    found = [sorted(map(str, secrets.annotate(texts, secrets.train(df.repartition(n), max_train=50), keep=["doc_id"]).collect())) for n in (1, 7)]
+    assert found[0] == found[1]
