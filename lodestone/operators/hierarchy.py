@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rounds import settled
+from .rounds import forget, settled
 
 RELATIONS = ["class", "extends", "implements", "sub", "impl"]
 
@@ -39,7 +39,7 @@ def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     paths lead to it, and cycles end by themselves."""
     up = edges.select("child", "parent").distinct()
     new = settled(up.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
-    found = new
+    found, parts = new, [new]
     up = up.select(F.col("child").alias("ancestor"), "parent")
     for depth in range(2, max_depth + 1):
         step = new.join(up, "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
@@ -47,21 +47,30 @@ def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
         if new.isEmpty():
             break
         found = found.unionByName(new)
-    return found
+        parts.append(new)
+    return _joined(parts)
+
+
+def _joined(parts: list[DataFrame]) -> DataFrame:
+    """What all rounds found, in one table; those of the rounds go."""
+    out = settled(reduce(DataFrame.unionByName, parts))
+    forget(*parts)
+    return out
 
 
 def subtypes(edges: DataFrame, top: str, max_depth: int = 64) -> DataFrame:
     """class, depth of everything below a type; a frontier of new names a round, so cycles end by themselves."""
     down = edges.select(F.col("parent").alias("class"), "child").distinct()
     new = settled(down.where(F.col("class") == top).select(F.col("child").alias("class"), F.lit(1).alias("depth")))
-    found = new
+    found, parts = new, [new]
     for depth in range(2, max_depth + 1):
         step = new.join(down, "class").select(F.col("child").alias("class")).distinct()
         new = settled(step.join(found, "class", "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
         found = found.unionByName(new)
-    return found
+        parts.append(new)
+    return _joined(parts)
 
 
 def assignable(pairs: DataFrame, closed: DataFrame, top: str = "java/lang/Object") -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rounds import forget, settled
 
 DEFAULT_CAP = 500  # rows of an answer that names no limit
 
@@ -25,19 +26,16 @@ def largest(rows: DataFrame, size: str, order: list[str], n: int = 20) -> DataFr
     return rows.orderBy(F.desc(size), *order).limit(n)
 
 
-def total(rows: DataFrame, count: Column | None = None) -> DataFrame:
-    """One row with the number of rows, counted beside the page rather than from it."""
-    return rows.agg((count if count is not None else F.count("*")).alias("total"))
-
-
 def capped(rows: DataFrame, order: list, cap: int = DEFAULT_CAP) -> DataFrame:
     """The first rows, at most cap of them, each with truncated: whether there are more."""
     return with_total(rows, order, 0, cap).withColumn("truncated", F.col("total") > cap).drop("total")
 
 
 def with_total(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
-    """The page, each row with the total of all rows."""
-    return window(rows, order, offset, limit).crossJoin(F.broadcast(total(rows)))  # the total is one row
+    """The page, each row with the total of all rows.  The rows are made once, into a table of their own,
+    whose count is in its footers; a page is taken from it."""
+    rows = settled(rows)
+    return window(rows, order, offset, limit).withColumn("total", F.lit(rows.count()).cast("long"))
 
 
 @dataclass
@@ -57,7 +55,9 @@ class Page:
 
 
 def fetch(rows: DataFrame, order: list, offset: int = 0, limit: int = 0) -> Page:
-    """Run a page: its rows come to the caller, the total is counted in Spark."""
+    """Run a page: its rows come to the caller, the total is counted in Spark; the rows are made once."""
+    rows = settled(rows)
     n = rows.count()
     got = window(rows, order, offset, limit).collect() if offset < n else []
+    forget(rows)
     return Page(got, n, offset, limit)

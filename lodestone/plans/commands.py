@@ -13,14 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..operators import access as A
+from ..operators import closure as C
+from ..operators import forest as T
 from ..operators import frontier as P
 from ..operators import hierarchy as H
+from ..operators import naming as G
 from ..operators import page as W
 from ..operators import refs as R
 from ..operators import tables as J
 from ..operators.rounds import settled
 from ..sources import archive, axml
 from ..sources.artifact import FILE_TABLES, Artifacts
+from ..sources.tree import write_tree
 
 KINDS = ("string", "type", "field", "method")
 SHORT = {"string": "const-string", "type": "type", "field": "field", "method": "invoke"}
@@ -51,10 +56,7 @@ class View:
         if self.sort not in ("name", "count"):
             raise BadQuery(f"unknown sort {self.sort}")
         prefix = N.normalize_prefix(self.prefix, self.sep) if self.prefix else ""
-        tree = P.frontier(rows, key, weight, self.sep, prefix, self.depth, by)
-        if self.samples:
-            tree = P.with_samples(rows, key, tree, self.samples, self.sep)
-        return tree
+        return P.frontier(rows, key, weight, self.sep, prefix, self.depth, by, self.samples)
 
 
 @dataclass
@@ -196,7 +198,8 @@ class Session:
             return W.window(rel.withColumn("class", shown), [H.relation_rank(), "class", "dex"], offset, limit)
         view = view or View()
         tree = view.of(rel.withColumn("class", N.dotted(F.col("class"))), "class", by=["relation"]).withColumn("o", H.relation_rank())
-        return W.window(tree, ["o", "path", "rank"], offset, limit).select("relation", "path", "kind", "count")
+        keys = ["o", "path", "rank"] if view.sort == "name" else [F.desc("count"), "path", "o", "rank"]
+        return W.window(tree, keys, offset, limit).select("relation", "path", "kind", "count", *(["samples"] if view.samples else []))
 
     def edges(self) -> DataFrame:
         """child, parent over supers and interfaces."""
@@ -343,14 +346,42 @@ class Session:
         return axml.to_xml(data) if data[:2] == b"\x03\x00" else data
 
     # ------------------------------------------------------------ source outlines
-    def getclass(self, name: str) -> DataFrame:
-        """class, dex, images, source: declarations with bodies as listings (no statement recovery)."""
+    def getclass(self, name: str, dependencies: bool = False) -> DataFrame:
+        """class, dex, images, source: declarations with bodies as listings (no statement recovery).
+        dependencies: also the names it needs that some image defines, in order."""
         from .outline import outlines
 
         want = N.class_literal(name)
-        rows = J.defining(self.t("class_defs").join(self.images().select("image_seq", "dex"), "image_seq"), "class", "dex", "image_seq").where(F.col("class") == want)
+        rows = J.defining(self.t("class_defs", "image_seq", "class").join(self.images().select("image_seq", "dex"), "image_seq"), "class", "dex", "image_seq").where(F.col("class") == want)
         src = outlines(self.a.images_raw(), [want], None)
-        return src.join(rows.select("class", "images", F.col("first").alias("dex")), "class").select(N.dotted(F.col("class")).alias("class"), "dex", "images", "source")
+        out = src.join(rows.select("class", "images", F.col("first").alias("dex")), "class").select(N.dotted(F.col("class")).alias("class"), "dex", "images", "source")
+        if not dependencies:
+            return out
+        needs = self.dependencies(name).found.where("round > 0 and image is not null")
+        return out.crossJoin(F.broadcast(needs.agg(F.array_sort(F.collect_list(N.dotted(F.col("name")))).alias("dependencies"))))  # one row: what one class needs
+
+    def dependencies(self, name: str, rounds: int = 3) -> C.Closure:
+        """What a class and those nested in it need, and the images that hold it."""
+        want = N.class_literal(name)
+        defs = settled(self.t("class_defs", "image_seq", "class_seq", "class", "super", "interfaces"))
+        defined = defs.groupBy(F.col("class").alias("name")).agg(F.min("image_seq").alias("image"))
+        head = defs.where(F.col("super").isNotNull()).select(F.col("class").alias("src"), F.col("super").alias("dst")).union(defs.select("class", F.explode("interfaces")))
+        family = settled(C.family(defs.select(F.col("class").alias("name")), want))
+        if family.isEmpty():
+            raise NotFound(f"class {name} is in no image")
+        mine = defs.join(family.withColumnRenamed("name", "class"), "class", "left_semi").select("image_seq", "class_seq", F.col("class").alias("src"))
+        t = lambda table, *columns: self.a.table(table, list(columns), images=mine)
+        ids = ("image_seq", "ref_kind", "ref_idx")
+        used = t("refs", "image_seq", "class_seq", "ref_kind", "ref_idx")
+        used = used.unionByName(t("encoded_methods", "image_seq", "class_seq", "method_idx").select("image_seq", "class_seq", F.lit("method").alias("ref_kind"), F.col("method_idx").alias("ref_idx")))
+        used = used.unionByName(t("encoded_fields", "image_seq", "class_seq", "field_idx").select("image_seq", "class_seq", F.lit("field").alias("ref_kind"), F.col("field_idx").alias("ref_idx")))
+        owner = F.when(F.col("class").startswith("["), F.col("class")).otherwise(F.concat(F.lit("L"), "class", F.lit(";")))
+        shown = t("types", "image_seq", "type_idx", "descriptor").select("image_seq", F.lit("type").alias("ref_kind"), F.col("type_idx").alias("ref_idx"), F.col("descriptor").alias("text"))
+        shown = shown.unionByName(t("method_ids", "image_seq", "method_idx", "class", "proto").select("image_seq", F.lit("method").alias("ref_kind"), F.col("method_idx").alias("ref_idx"), F.concat(owner, "proto").alias("text")))
+        shown = shown.unionByName(t("field_ids", "image_seq", "field_idx", "class", "type").select("image_seq", F.lit("field").alias("ref_kind"), F.col("field_idx").alias("ref_idx"), F.concat(owner, "type").alias("text")))
+        hits = used.join(mine, ["image_seq", "class_seq"]).select("src", *ids).distinct().join(shown, list(ids))
+        body = hits.select("src", F.explode(F.regexp_extract_all("text", F.lit("L([^;]+);"), 1)).alias("dst")).union(head).distinct()
+        return C.closure(family, body, head, defined, self.images().count(), rounds)
 
     def getmethod(self, name: str, method: str) -> DataFrame:
         from .outline import outlines
@@ -358,14 +389,18 @@ class Session:
         return outlines(self.a.images_raw(), [N.class_literal(name)], method).select(N.dotted(F.col("class")).alias("class"), "source")
 
     def pkg(self, package: str | None = None) -> DataFrame:
-        """path, source of every top-level class below a package (the launcher's if none is given)."""
+        """path, source of every class below a package (the launcher's if none is given); paths differ even where
+        case does not count, and a class is called in its source as its file is."""
         from .outline import outlines
 
         if package is None:
             launcher = self.facts()["launcher"] or ""
             package = launcher.rpartition(".")[0]
-        src = outlines(self.a.images_raw(), None, None, package.replace(".", "/"))
-        return src.select(F.concat("class", F.lit(".java")).alias("path"), "source")
+        mark = "\ue000"  # stands for the class's own name until its path is known
+        src = settled(outlines(self.a.images_raw(), None, None, package.replace(".", "/"), mark))
+        paths = G.unique_paths(src.select(F.col("class").alias("name")), G.safe_path(F.col("name"), N.JAVA_KEYWORDS)).withColumnRenamed("name", "class")
+        own = F.replace(F.col("source"), F.lit(mark), F.substring_index("path", "/", -1))
+        return src.join(paths, "class").select(F.concat("path", F.lit(".java")).alias("path"), own.alias("source"))
 
     def nesting(self) -> DataFrame:
         """image_seq, class, enclosing_class, enclosing_method, inner_name, members: what the system
@@ -373,10 +408,36 @@ class Session:
         owner = self.t("class_defs", "image_seq", "class_seq", "class")
         return J.nesting_evidence(self.t("annotations")).join(owner, ["image_seq", "class_seq"]).drop("class_seq")
 
+    def forest(self) -> DataFrame:
+        """name, outer, how, root, depth, unit of every class: what it says of itself before what its name says."""
+        said = self.nesting()
+        inside = F.coalesce("enclosing_class", F.substring_index("enclosing_method", "->", 1))
+        said = said.select(F.col("class").alias("name"), N.class_name(inside).alias("outer")).where("outer is not null")
+        return T.forest(self.classes().select(F.col("class").alias("name")), said)
+
+    def access(self) -> DataFrame:
+        """owner, member, declared, needed, widened, changed: the least access that lets every reference of all images through."""
+        names = {}
+        for kind, idx, tail in (("method", "method_idx", F.concat("name", "proto")), ("field", "field_idx", F.concat("name", F.lit(" "), "type"))):
+            names[kind] = self.t(f"{kind}_ids").select("image_seq", F.lit(kind).alias("ref_kind"), F.col(idx).alias("ref_idx"), F.col("class").alias("owner"), tail.alias("member"))
+        ids = settled(names["method"].unionByName(names["field"]))
+        own = [self.t(f"encoded_{kind}s", "image_seq", f"{kind}_idx", "access").select("image_seq", F.lit(kind).alias("ref_kind"), F.col(f"{kind}_idx").alias("ref_idx"), A.level_of(F.col("access")).alias("declared")) for kind in ("method", "field")]
+        members = own[0].unionByName(own[1]).join(ids, ["image_seq", "ref_kind", "ref_idx"]).groupBy("owner", "member").agg(F.min("declared").alias("declared"))
+        refs = self.refs().select("image_seq", "ref_kind", "ref_idx", F.col("class").alias("user")).join(ids, ["image_seq", "ref_kind", "ref_idx"]).select("owner", "member", "user").distinct()
+        unit = self.forest().select("name", "unit")
+        for side in ("owner", "user"):
+            refs = refs.join(unit.select(F.col("name").alias(side), F.col("unit").alias(f"{side}_unit")), side, "left")
+            refs = refs.withColumn(f"{side}_unit", F.coalesce(f"{side}_unit", side)).withColumn(f"{side}_package", A.package_of(F.col(side)))
+        return A.levels(members, refs, H.closure(self.edges()))
+
     def export(self, out: str, package: str | None = None) -> None:
-        """A Parquet table (path, source) below out, one row per top-level class."""
+        """A Parquet table (path, source) below out, one row per class."""
         self.pkg(package if package is not None else "").write.mode("overwrite").parquet(out)
 
+    def export_tree(self, out: str, package: str | None = None) -> None:
+        """A file for every class below out, a folder that all executors share."""
+        write_tree(self.pkg(package if package is not None else ""), out)
+
 
 def resolve(package: str, name: str | None) -> str | None:
     if not name:

@@ -32,17 +32,16 @@ def literal(v: object, descriptor: str) -> str:
     return f"{v}L" if descriptor == "J" else f"{v}f" if descriptor == "F" else str(v)
 
 
-def method_text(img: Image, idx: int, access: int, off: int, cls: str, listing: bool = True) -> str:
+def method_text(img: Image, idx: int, access: int, off: int, own: str, listing: bool = True) -> str:
     _, name, _ = img.method(idx)
     ret, params = img.proto(int(img.method_ids[idx, 1]))
     code = img.code(off)
     names = img.debug(code["debug"], code["registers"])[0] if code else []
     args = ", ".join(f"{java_type(t)} {(names[i] if i < len(names) and names[i] else f'p{i}')}" for i, t in enumerate(params))
-    simple = cls.rsplit("/", 1)[-1].rsplit("$", 1)[-1]
     if name == "<clinit>":
         head = "static"
     elif name == "<init>":
-        head = f"{words(access, METHOD_FLAGS)}{java_identifier(simple)}({args})"
+        head = f"{words(access, METHOD_FLAGS)}{own}({args})"
     else:
         head = f"{words(access, METHOD_FLAGS)}{java_type(ret)} {java_identifier(name)}({args})"
     if code is None:
@@ -51,22 +50,24 @@ def method_text(img: Image, idx: int, access: int, off: int, cls: str, listing:
     return f"    {head} {{\n{body}    }}\n"
 
 
-def class_text(img: Image, seq: int, only: str | None = None) -> str:
+def class_text(img: Image, seq: int, only: str | None = None, own: str | None = None) -> str:
+    """A class as text; own: how it is called in it (its own name, made safe)."""
     row = img.class_defs[seq].tolist()
     cls, access = img.internal(row[0]), row[1]
+    own = own or java_identifier(cls.rsplit("/", 1)[-1])
     fields, methods = img.class_data(row[6])
     parts = []
     for idx, acc, off in methods:
         _, name, desc = img.method(idx)
         if only is None or (name + desc == only if "(" in only else name == only):
-            parts.append(method_text(img, idx, acc, off, cls))
+            parts.append(method_text(img, idx, acc, off, own))
     if only is not None:
         return "\n".join(parts)
-    package, _, simple = cls.rpartition("/")
+    package = cls.rpartition("/")[0]
     kind = "@interface" if access & 0x2000 else "interface" if access & 0x200 else "enum" if access & 0x4000 else "class"
     shown = words(access & ~0x400 if access & 0x200 else access, FLAGS)
     sup = None if row[2] == NO_INDEX else img.internal(row[2])
-    head = f"{shown}{kind} {java_identifier(simple)}"
+    head = f"{shown}{kind} {own}"
     if sup and sup != "java/lang/Object" and kind == "class":
         head += f" extends {sup.replace('/', '.')}"
     faces = [t[1:-1].replace("/", ".") for t in img.type_list(row[3])]
@@ -86,8 +87,9 @@ def class_text(img: Image, seq: int, only: str | None = None) -> str:
     return f"{top}{head} {{\n{''.join(lines)}{chr(10) if lines and parts else ''}{chr(10).join(parts)}}}\n"
 
 
-def outlines(images: DataFrame, names: list[str] | None, method: str | None, package: str | None = None) -> DataFrame:
-    """class, source of the named classes, or of all below a package; the first definition wins."""
+def outlines(images: DataFrame, names: list[str] | None, method: str | None, package: str | None = None, own: str | None = None) -> DataFrame:
+    """class, source of the named classes, or of all below a package; the first definition wins.
+    own: what stands for the simple name of a class in its source."""
     from pyspark.sql import functions as F
 
     wanted = set(names or [])
@@ -103,7 +105,7 @@ def outlines(images: DataFrame, names: list[str] | None, method: str | None, pac
                             cls = img.internal(int(img.class_defs[k, 0]))
                             if cls in wanted if names is not None else (not package or cls.startswith(package + "/")):
                                 img.whole()
-                                rows.append((seq, cls, class_text(img, k, method)))
+                                rows.append((seq, cls, class_text(img, k, method, own)))
                 except CorruptImage:
                     continue  # Artifacts.failures lists it
                 if rows:

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..operators import access as A
+from ..operators import closure as C
+from ..operators import forest as T
 from ..operators import frontier as P
 from ..operators import hierarchy as H
+from ..operators import naming as G
 from ..operators import page as W
 from ..operators import refs as R
 from ..operators import tables as J
@@ -181,8 +185,24 @@ def path_prefix_scope(t: Tables) -> DataFrame:
  SELECT path, sample, CAST(nr AS INT) AS nr FROM r WHERE nr <= 3"""
 )
 def path_samples(t: Tables) -> DataFrame:
-    tree = P.frontier(t.classes(), "class", depth=2)
-    return P.samples(t.classes(), "class", tree, 3)
+    return P.samples(t.classes(), "class", 3, depth=2)
+
+
+_SQL_RELATIONS = "(SELECT 'sub' AS relation, n_name || '.' || c_mktsegment || '.' || c_name AS key, 1 AS w FROM " + SQL_CLASSES + " UNION ALL SELECT 'impl', c_mktsegment || '.' || c_name, 1 FROM " + SQL_CLASSES + " WHERE c_custkey % 2 = 0 UNION ALL SELECT 'extends', 'ROOT', 1)"
+
+
+@query(
+    f"""WITH t AS ({sql_frontier(_SQL_RELATIONS, ".", depth=None, by="relation")}),
+ r AS (SELECT t.relation, t.path, t.kind, key, row_number() OVER (PARTITION BY t.relation, t.path ORDER BY string_split(key, '.')) AS nr FROM t JOIN {_SQL_RELATIONS} k ON k.relation = t.relation AND (key = t.path OR starts_with(key, t.path || '.')) WHERE kind = 'package'),
+ s AS (SELECT relation, path, kind, string_agg(key, '; ' ORDER BY nr) AS samples FROM r WHERE nr <= 4 GROUP BY ALL)
+ SELECT relation, path, kind, count, coalesce(samples, '') AS samples FROM t LEFT JOIN s USING (relation, path, kind)"""
+)
+def hierarchy_samples(t: Tables) -> DataFrame:
+    c = t.classes()
+    rows = c.select(F.lit("sub").alias("relation"), F.concat_ws(".", "n_name", "c_mktsegment", "c_name").alias("class"))
+    rows = rows.union(c.where("c_custkey % 2 = 0").select(F.lit("impl"), F.concat_ws(".", "c_mktsegment", "c_name"))).union(t.region.limit(1).select(F.lit("extends"), F.lit("ROOT")))
+    tree = P.frontier(rows, "class", by=["relation"], samples=4)
+    return tree.select("relation", *TREE, F.array_join("samples", "; ").alias("samples"))
 
 
 @query(f"SELECT * FROM ({sql_frontier(f'(SELECT class AS key, 1 AS w FROM {SQL_CLASSES})', '.', depth=2)}) ORDER BY count DESC, path LIMIT 10")
@@ -375,6 +395,94 @@ def signatures_by_owner(t: Tables) -> DataFrame:
     return R.signatures(t.part.withColumnRenamed("p_brand", "owner"), "owner", "p_type").withColumn("signatures", F.array_join("signatures", "; "))
 
 
+# ------------------------------------------------------------------ nesting, closures, access, names
+#: Names that nest by their text, and what some say instead: a class that exists elsewhere, one that does not, itself.
+_SQL_FOREST = """n AS (SELECT p_brand AS name FROM part UNION SELECT p_brand || '$' || p_size FROM part WHERE p_size < 10 UNION SELECT p_brand || '$' || p_size || '$' || (p_partkey % 7) || 'T' FROM part WHERE p_partkey % 3 = 0
+  UNION SELECT p_brand || '$' || p_size || '$T' || (p_partkey % 7) FROM part WHERE p_partkey % 3 = 1 UNION SELECT 'X$' || p_size FROM part),
+ e AS (SELECT p_brand || '$' || p_size || '$T' || (p_partkey % 7) AS name, 'X$' || p_size AS "outer" FROM part WHERE p_partkey % 3 = 1 AND p_size % 2 = 0 UNION SELECT 'X$' || p_size, 'Gone' FROM part WHERE p_size % 3 = 0
+  UNION SELECT 'X$' || p_size, (SELECT min(p_brand) FROM part) FROM part WHERE p_size % 3 = 1 UNION SELECT p_brand, p_brand FROM part),
+ s AS (SELECT e.name, min(e."outer") AS said FROM e JOIN n ON n.name = e."outer" WHERE e.name <> e."outer" GROUP BY e.name),
+ h AS (SELECT a.name, max_by(b.name, length(b.name)) AS named FROM n a JOIN n b ON starts_with(a.name, b.name || '$') GROUP BY a.name),
+ o AS (SELECT n.name, coalesce(said, named) AS "outer", CASE WHEN said IS NOT NULL THEN 'said' WHEN named IS NOT NULL THEN 'named' END AS how FROM n LEFT JOIN s USING (name) LEFT JOIN h USING (name)),
+ f AS (SELECT name, "outer", how, name AS root, 0 AS depth, name AS unit FROM o WHERE "outer" IS NULL UNION ALL
+  SELECT o.name, o."outer", o.how, f.root, f.depth + 1, CASE WHEN starts_with(o.name, o."outer" || '$') AND NOT regexp_matches(o.name[length(o."outer") + 2:], '(^|[$])[0-9][^$]*$') THEN f.unit ELSE o.name END FROM o JOIN f ON o."outer" = f.name)"""
+
+
+def _forest(t: Tables) -> DataFrame:
+    p, k = t.part, F.col("p_partkey")
+    join = lambda *c: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in c])
+    brand, size, seven = F.col("p_brand"), F.col("p_size").cast("string"), (k % 7).cast("string")
+    other, deep = join("X$", size), join(brand, "$", size, "$T", seven)
+    names = p.select(brand.alias("name")).union(p.where("p_size < 10").select(join(brand, "$", size))).union(p.where(k % 3 == 0).select(join(brand, "$", size, "$", seven, "T"))).union(p.where(k % 3 == 1).select(deep)).union(p.select(other))
+    said = p.where((k % 3 == 1) & (F.col("p_size") % 2 == 0)).select(deep.alias("name"), other.alias("outer"))
+    said = said.union(p.where("p_size % 3 = 0").select(other, F.lit("Gone"))).union(p.select(brand, brand))
+    said = said.union(p.where("p_size % 3 = 1").select(other).crossJoin(F.broadcast(p.agg(F.min("p_brand")))))  # one row
+    return T.forest(names, said)
+
+
+@query(f"WITH RECURSIVE {_SQL_FOREST} SELECT name, \"outer\", how, root, depth, unit FROM f")
+def nesting_forest(t: Tables) -> DataFrame:
+    return _forest(t).select("name", "outer", "how", "root", "depth", "unit")
+
+
+@query(f"WITH RECURSIVE {_SQL_FOREST} SELECT unit, count(*) AS classes, count(DISTINCT \"outer\") AS outers, max(depth) AS depth FROM f GROUP BY unit")
+def nesting_units(t: Tables) -> DataFrame:
+    return _forest(t).groupBy("unit").agg(F.count("*").alias("classes"), F.count_distinct("outer").alias("outers"), F.max("depth").alias("depth"))
+
+
+@query("""WITH RECURSIVE b AS (SELECT DISTINCT 'C' || o_custkey || '$' || o_orderkey AS src, 'P' || l_partkey || '$' || l_linenumber AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+ u AS (SELECT DISTINCT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst FROM lineitem UNION SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation),
+ d AS (SELECT 'P' || p_partkey AS name, p_brand || ' ' || p_size AS image FROM part UNION ALL SELECT 'S' || s_suppkey, 'S' || s_suppkey FROM supplier UNION ALL SELECT 'N' || n_nationkey, 'N' || n_nationkey FROM nation
+  UNION ALL SELECT 'R' || r_regionkey, 'R' FROM region UNION ALL SELECT 'C' || o_custkey || '$' || o_orderkey, 'C' FROM orders),
+ s AS (SELECT DISTINCT src AS name FROM b WHERE starts_with(src, 'C1$')),
+ r(name, round) AS (SELECT name, 0 FROM s UNION SELECT x.name, 1 FROM s JOIN b ON b.src = s.name, unnest([dst, split_part(dst, '$', 1)]) AS x(name)
+  UNION SELECT u.dst, r.round + 1 FROM r JOIN u ON u.src = r.name WHERE r.round BETWEEN 1 AND 2)
+ SELECT name, image, min(round) AS round FROM r LEFT JOIN d USING (name) GROUP BY name, image""")
+def dependency_images(t: Tables) -> DataFrame:
+    tag = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    order = F.concat(tag("C", "o_custkey"), F.lit("$"), F.col("o_orderkey").cast("string"))
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    body = t.orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(order.alias("src"), F.concat(tag("P", "l_partkey"), tag("$", "l_linenumber")).alias("dst"))
+    head = lines.select(tag("P", "l_partkey").alias("src"), tag("S", "l_suppkey").alias("dst")).union(t.supplier.select(tag("S", "s_suppkey"), tag("N", "s_nationkey"))).union(t.nation.select(tag("N", "n_nationkey"), tag("R", "n_regionkey")))
+    own = lambda letter, c: (tag(letter, c), tag(letter, c))
+    defined = t.part.select(tag("P", "p_partkey").alias("name"), F.concat("p_brand", F.lit(" "), F.col("p_size").cast("string")).alias("image"))
+    defined = defined.union(t.supplier.select(*own("S", "s_suppkey"))).union(t.nation.select(*own("N", "n_nationkey"))).union(t.region.select(tag("R", "r_regionkey"), F.lit("R"))).union(t.orders.select(order, F.lit("C")))
+    total = defined.select("image").distinct().count()
+    return C.closure(C.family(body.select(F.col("src").alias("name")), "C1"), body, head, defined, total).found
+
+
+@query("""WITH m AS (SELECT 'K' || p_size AS owner, p_partkey AS member, CAST(p_partkey % 4 AS INT) AS declared FROM part),
+ r AS (SELECT DISTINCT p_size, p_partkey AS member, l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE (l_suppkey + p_size) % 5 < p_partkey % 6),
+ a AS (SELECT 'K' || p_size AS owner, member, max(CASE WHEN p_size % 17 = l_suppkey % 17 THEN 0 WHEN p_size % 5 = l_suppkey % 5 THEN 1 WHEN l_suppkey % 3 > 0 AND l_suppkey % 7 = p_size % 7 THEN 2 ELSE 3 END) AS level FROM r GROUP BY ALL),
+ l AS (SELECT owner, member, declared, coalesce(level, 0) AS level FROM m LEFT JOIN a USING (owner, member))
+ SELECT owner, member, ['private', 'package', 'protected', 'public'][declared + 1] AS declared, ['private', 'package', 'protected', 'public'][level + 1] AS needed,
+  ['private', 'package', 'protected', 'public'][greatest(declared, level) + 1] AS widened, level > declared AS changed FROM l""")
+def access_levels(t: Tables) -> DataFrame:
+    p = t.part.select(F.concat(F.lit("K"), F.col("p_size").cast("string")).alias("owner"), F.col("p_partkey").alias("member"), (F.col("p_partkey") % 4).cast("int").alias("declared"), "p_size")
+    user = F.concat(F.lit("U"), F.col("l_suppkey").cast("string"))
+    rows = t.lineitem.select("l_partkey", "l_suppkey").join(p, F.col("member") == F.col("l_partkey")).where((F.col("l_suppkey") + F.col("p_size")) % 5 < F.col("member") % 6)
+    mod = lambda c, n, name: (F.col(c) % n).cast("string").alias(name)
+    refs = rows.select("owner", "member", user.alias("user"), mod("p_size", 5, "owner_package"), mod("l_suppkey", 5, "user_package"), mod("p_size", 17, "owner_unit"), mod("l_suppkey", 17, "user_unit"))
+    below = t.supplier.where("s_suppkey % 3 > 0").select("s_suppkey").join(p.select("owner", "p_size").distinct(), F.col("s_suppkey") % 7 == F.col("p_size") % 7)
+    closed = below.select(F.concat(F.lit("U"), F.col("s_suppkey").cast("string")).alias("child"), F.col("owner").alias("ancestor"))
+    return A.levels(p.drop("p_size"), refs, closed)
+
+
+_SQL_FILES = """n AS (SELECT r_name AS name FROM region UNION SELECT lower(r_name) FROM region UNION SELECT lower(r_name) || '_2' FROM region WHERE r_regionkey < 3 UNION SELECT r_name || '_4' FROM region UNION SELECT substr(r_name, 1, 2) || lower(substr(r_name, 3)) FROM region
+  UNION SELECT p_name FROM part UNION SELECT replace(p_name, ' ', '-') FROM part UNION SELECT n_name || '/' || lower(n_name) FROM nation UNION SELECT lower(n_name) || '/' || n_name FROM nation)"""
+
+
+@query(f"""WITH {_SQL_FILES}, b AS (SELECT name, regexp_replace(name, '[^A-Za-z0-9_$/]', '_', 'g') AS base FROM n), f AS (SELECT *, lower(base) AS fold FROM b),
+ r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY CAST(base <> name AS INT), name) - 1 AS r FROM f),
+ h AS (SELECT regexp_replace(fold, '_[1-9][0-9]*$', '') AS fold, list(DISTINCT CAST(regexp_extract(fold, '_([1-9][0-9]*)$', 1) AS INT)) AS taken FROM f WHERE regexp_matches(fold, '_[1-9][0-9]*$') GROUP BY 1)
+ SELECT name, CASE WHEN r = 0 THEN base ELSE base || '_' || list_filter(range(2, 50), lambda k: NOT list_contains(coalesce(taken, []), k))[r] END AS path FROM r LEFT JOIN h USING (fold)""")
+def unique_paths(t: Tables) -> DataFrame:
+    r, name = t.region, F.col("r_name")
+    names = r.select(name.alias("name")).union(r.select(F.lower(name))).union(r.where("r_regionkey < 3").select(F.concat(F.lower(name), F.lit("_2")))).union(r.select(F.concat(name, F.lit("_4")))).union(r.select(F.concat(F.substring(name, 1, 2), F.lower(F.substring(name, F.lit(3), F.length(name))))))
+    names = names.union(t.part.select("p_name")).union(t.part.select(F.translate("p_name", " ", "-"))).union(t.nation.select(F.concat("n_name", F.lit("/"), F.lower("n_name")))).union(t.nation.select(F.concat(F.lower("n_name"), F.lit("/"), "n_name")))
+    return G.unique_paths(names, G.safe_path(F.col("name"), N.JAVA_KEYWORDS))
+
+
 # ------------------------------------------------------------------ info, scalars
 @query("""SELECT source AS image, count(*) AS classes, sum(n_chars)::BIGINT AS strings, count(DISTINCT lang) AS fields, (SELECT count(*) FROM documents) AS total_classes FROM documents GROUP BY source""")
 def info_counts(t: Tables) -> DataFrame:

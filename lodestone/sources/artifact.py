@@ -368,8 +368,9 @@ class Artifacts:
         bad = F.broadcast(self._bad) if self._bad.count() <= FEW_NAMES else self._bad
         return self.ranked().join(bad, "image_seq", "left_anti")
 
-    def table(self, name: str, columns: list[str] | None = None) -> DataFrame:
-        """A table, or those of its columns that are named: no more of an image is inflated than they need."""
+    def table(self, name: str, columns: list[str] | None = None, images: DataFrame | None = None) -> DataFrame:
+        """A table, or those of its columns that are named: no more of an image is inflated than they need.
+        images(image_seq), counted to be few or not: of these alone."""
         kinds = chosen(SCHEMAS[name], columns)
         if name in FILE_TABLES:
 
@@ -396,7 +397,11 @@ class Artifacts:
                         continue  # it shows in failures()
                     yield from got
 
-        return self.images_raw().mapInArrow(of_images, kinds)
+        src = self.images_raw()
+        if images is not None:
+            some = settled(images.select("image_seq").distinct())
+            src = src.join(F.broadcast(some) if some.count() <= FEW_NAMES else some, "image_seq", "left_semi")
+        return src.mapInArrow(of_images, kinds)
 
     @staticmethod
     def _failed(images: DataFrame, tables: tuple[str, ...]) -> DataFrame:

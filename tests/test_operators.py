@@ -60,7 +60,7 @@ def test_order_of_a_tree(spark):
 def test_samples(spark):
     keys = forest(10)
     df = spark.createDataFrame([(k,) for k in keys], "k string")
-    for r in P.with_samples(df, "k", P.frontier(df, "k"), 2).collect():
+    for r in P.frontier(df, "k", samples=2).collect():
         under = sorted((k.split(".") for k in keys if (k + ".").startswith(r.path + ".")))[:2] if r.kind == "package" else []
         assert r.samples == [".".join(k) for k in under]
 
@@ -69,7 +69,7 @@ def test_normalisation():
     assert [N.normalize_prefix(p) for p in ("org/app.ui/ ", "\torg.app..", "/")] == ["org.app.ui", "org.app", ""]
     assert {N.normalize_type(x) for x in ("a.b.C", "a/b/C", "La/b/C;")} == {"La/b/C;"}
     assert N.normalize_type("LLogger") == "LLLogger;"
-    assert N.java_identifier("class") == "class_" and N.java_identifier("1-a") == "_1_a"
+    assert [N.java_identifier(x) for x in ("class", "1-a", "_", "支", "ok")] == ["_class", "_1_a", "__", "__", "ok"]
     assert N.java_type("[[I") == "int[][]" and N.human_bytes(2048) == "2.0 KB"
 
 
