@@ -109,12 +109,20 @@ def resolve_name(package: Column, name: Column) -> Column:
     return F.when(name.startswith("."), F.concat(package, name)).when(~F.contains(name, F.lit(".")) & (F.length(name) > 0), F.concat(package, F.lit("."), name)).otherwise(name)
 
 
-def human_bytes(n: int) -> str:
-    size, units = float(n), ["B", "KB", "MB", "GB", "TB"]
-    k = 0
-    while size >= 1024 and k + 1 < len(units):
-        size, k = size / 1024, k + 1
-    return f"{n} B" if k == 0 else f"{size:.1f} {units[k]}"
+def human_size(n: Column) -> Column:
+    """Bytes as text: whole below a KB, else with one digit (ties to even) in KB, MB or GB."""
+    shown = lambda unit, k: F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1 << k)), 1))
+    return F.when(n >= 1 << 30, shown("GB", 30)).when(n >= 1 << 20, shown("MB", 20)).when(n >= 1 << 10, shown("KB", 10)).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+
+
+def digest(col: Column) -> Column:
+    """MD5 of a text or of bytes, as hexadecimal digits."""
+    return F.md5(col.cast("binary"))
+
+
+def flags(access: Column, mask: int) -> Column:
+    """The access flags inside a mask."""
+    return access.bitwiseAND(mask)
 
 
 def java_identifier(name: str) -> str:

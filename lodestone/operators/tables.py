@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rounds import settled
+
 
 def first_wins(rows: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
     """One row per name: the one that comes first in the order."""
@@ -91,6 +93,14 @@ def case_collisions(paths: DataFrame, path: str) -> DataFrame:
     return got.where("n > 1")
 
 
+def image_counts(rows: DataFrame, image: str, counts: dict[str, Column]) -> DataFrame:
+    """image, counts, total_classes: sums of each image beside the number of all rows.
+
+    The total is added up from the images' own counts, so the rows are read once."""
+    per = settled(rows.groupBy(F.col(image).alias("image")).agg(F.count("*").alias("classes"), *[c.alias(n) for n, c in counts.items()]))
+    return per.crossJoin(F.broadcast(per.agg(F.sum("classes").alias("total_classes"))))  # one row
+
+
 def entry(rows: DataFrame, name: str, text: str) -> DataFrame:
     """Entries a text names: the exact one, else all that contain it (one is a match, more are ambiguous)."""
     hit = rows.where(F.contains(F.col(name), F.lit(text))).withColumn("exact", F.col(name) == text)

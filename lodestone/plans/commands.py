@@ -35,11 +35,20 @@ METHOD = ["image_seq", "image", "class", "method"]  # entries of different archi
 
 
 class NotFound(LookupError):
-    """What was asked for is not in the input (exit code 2, HTTP 404)."""
+    """What was asked for is not in the input."""
+
+    exit_code, status = 2, 404
 
 
 class BadQuery(ValueError):
-    """The question itself is wrong (exit code 1, HTTP 400)."""
+    """The question itself is wrong."""
+
+    exit_code, status = 1, 400
+
+
+def outcome(error: Exception) -> tuple[int, int]:
+    """(exit code, HTTP status) of an error."""
+    return getattr(error, "exit_code", 1), getattr(error, "status", 500)
 
 
 @dataclass
@@ -278,7 +287,7 @@ class Session:
 
     def info(self, offset: int = 0, limit: int = W.DEFAULT_CAP) -> dict:
         """Facts of the manifest, totals, and a page of the images; next_offset says that there are more."""
-        per = self.t("images").orderBy("image_seq")
+        per = self.t("images", "image_seq", "label", "dex_version", "classes", "methods", "fields", "strings").orderBy("image_seq")  # headers alone
         total = per.agg(F.count("*").alias("n"), F.sum("classes").alias("c")).first()
         try:
             facts = self.facts()

@@ -17,6 +17,7 @@ from ..operators import naming as G
 from ..operators import page as W
 from ..operators import refs as R
 from ..operators import tables as J
+from . import render as V
 from .roles import SQL_CLASSES, SQL_EDGES, SQL_MEMBERS, SQL_PATHS, SQL_REFS, Tables, sql_frontier
 
 NEEDLE, NEEDLE2 = "bolt", "gear"
@@ -486,8 +487,14 @@ def unique_paths(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ info, scalars
 @query("""SELECT source AS image, count(*) AS classes, sum(n_chars)::BIGINT AS strings, count(DISTINCT lang) AS fields, (SELECT count(*) FROM documents) AS total_classes FROM documents GROUP BY source""")
 def info_counts(t: Tables) -> DataFrame:
-    per = t.documents.groupBy(F.col("source").alias("image")).agg(F.count("*").alias("classes"), F.sum("n_chars").alias("strings"), F.count_distinct("lang").alias("fields"))
-    return per.crossJoin(F.broadcast(t.documents.agg(F.count("*").alias("total_classes"))))  # one row
+    return J.image_counts(t.documents, "source", {"strings": F.sum("n_chars"), "fields": F.count_distinct("lang")})
+
+
+@query("""WITH s AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) * power(7, doc_id % 9) AS BIGINT) AS n FROM documents)
+ SELECT doc_id, n, CASE WHEN n >= 1073741824 THEN printf('%.1f GB', n / 1073741824.0::DOUBLE) WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0::DOUBLE) ELSE n || ' B' END AS size FROM s""")
+def entry_sizes(t: Tables) -> DataFrame:
+    n = (F.octet_length(F.coalesce("text", F.lit(""))) * F.pow(F.lit(7), F.col("doc_id") % 9)).cast("long")
+    return t.documents.select("doc_id", n.alias("n")).withColumn("size", N.human_size(F.col("n")))
 
 
 @query("""SELECT p_partkey, 'L' || replace(p_brand, '#', '/') || ';' AS descriptor, replace(replace(p_brand, '#', '/'), '/', '.') AS dotted,
@@ -526,7 +533,13 @@ def launcher_facts(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, md5(text) AS md5, length(text) AS chars, (n_chars & 7) AS flags FROM documents")
 def digests(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.length("text").cast("long").alias("chars"), F.col("n_chars").bitwiseAND(7).alias("flags"))
+    return t.documents.select("doc_id", N.digest(F.col("text")).alias("md5"), F.length("text").cast("long").alias("chars"), N.flags(F.col("n_chars"), 7).alias("flags"))
+
+
+@query("""SELECT rpad(x.dex, CAST(greatest(10, length(x.dex)) AS INT), ' ') || '  ' || rpad(x.kind, CAST(greatest(12, length(x.kind)) AS INT), ' ') || '  ' || x.class || ' ' || x.method || '  ' || x.refs AS line
+ FROM (SELECT dex, kind, class, CAST(method AS VARCHAR) AS method, refs FROM (""" + _sql_methods(_sql_found(NEEDLE)) + ")) x")
+def findrefs_lines(t: Tables) -> DataFrame:
+    return V.lines(R.by_method(_found(t), ["pc", "ref_idx", "kind"]), "findrefs")
 
 
 @query("SELECT s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) EXCEPT SELECT s_name FROM supplier WHERE s_acctbal < 0")

@@ -70,7 +70,7 @@ def test_normalisation():
     assert {N.normalize_type(x) for x in ("a.b.C", "a/b/C", "La/b/C;")} == {"La/b/C;"}
     assert N.normalize_type("LLogger") == "LLLogger;"
     assert [N.java_identifier(x) for x in ("class", "1-a", "_", "支", "ok")] == ["_class", "_1_a", "__", "__", "ok"]
-    assert N.java_type("[[I") == "int[][]" and N.human_bytes(2048) == "2.0 KB"
+    assert N.java_type("[[I") == "int[][]"
 
 
 def test_predicates(spark):
@@ -151,3 +151,18 @@ def test_unique_value_and_nesting(spark):
 def test_largest_needs_a_number(spark):
     with pytest.raises(ValueError):
         W.largest(spark.range(1).toDF("s"), "s", [], 0)
+
+
+def test_sizes_and_lines(spark):
+    from lodestone.plans import render
+    from lodestone.plans.commands import BadQuery, NotFound, outcome
+
+    sizes = [0, 1023, 1024, 1280, 1 << 20, (1 << 30) - 1, 5 << 40]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(N.human_size(F.col("n"))).collect()]
+    assert got == ["0 B", "1023 B", "1.0 KB", "1.2 KB", "1.0 MB", "1024.0 MB", "5120.0 GB"]
+    df = spark.createDataFrame([(12, "classes.dex", "a/B", "run()V"), (1234567890, "x", None, "m")], "units long, dex string, class string, method string")
+    assert [r.line for r in render.lines(df, "largest").collect()] == ["     12  classes.dex  a/B run()V", "1234567890  x           - m"]
+    assert render.header("largest") == "  insns  dex         class method" and set(render.LAYOUTS) >= {"findrefs", "members"}
+    tree = spark.createDataFrame([("p", "package", 3, ["p.a", "p.b"]), ("q", "class", 1, [])], "path string, kind string, count int, samples array<string>").collect()
+    assert render.tree(tree) == "p/ (3)  e.g. p.a, p.b\nq\n"
+    assert (outcome(NotFound()), outcome(BadQuery()), outcome(OSError())) == ((2, 404), (1, 400), (1, 500))
