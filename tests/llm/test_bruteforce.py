@@ -190,3 +190,79 @@ def test_quality_query_equals_plain_normal_equations(spark, tmp_path):
     for i in range(len(texts)):
         assert got[i].held_out == (fold_of(i, 4) == 2)
         assert abs(got[i].score - want[i]) < 1e-9 and got[i].predicted == int(got[i].score >= 0.7)
+
+
+# ---------------------------------------------------------------- the pipeline
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """Plain models, SQL and the tokenizers library, stage after stage; what a secret is, is the forest's own."""
+    import duckdb
+    from lodestone.llm import secrets
+    from lodestone.llm.oracle import ORACLE_SQL
+
+    P = pytest.importorskip("corpus_pipeline")
+    tokenizers = pytest.importorskip("tokenizers")
+    from lodestone.llm.bpe import default_path
+
+    r = random.Random(21)
+    words = {"aa": [f"w{chr(97 + i)}th" for i in range(26)] + ["the", "and"], "bb": [f"{chr(97 + i)}ción" for i in range(26)] + ["el", "una"]}
+    text = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n))
+    rows = []
+    for i in range(50):
+        lang = "aa" if i % 2 else "bb"
+        rows.append((text(lang, r.randint(1, 40)), lang, f"s{i % 4}" if i % 7 else None))
+    base = text("aa", 60)
+    for _ in range(6):  # near copies, and exact ones
+        w = base.split()
+        w[r.randrange(60)] = "other"
+        rows.append((" ".join(w), "aa", "s1"))
+    rows += [rows[0], rows[1], ('the and password = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b" and the', "aa", "s2"), ("!? 12", "aa", "s1"), (None, None, "s0"), ("", "bb", "s0"), ("日本語の文字だけ", None, "s3")]
+    rows = [(i, t, x, s, len(t or "")) for i, (t, x, s) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sql(query, docs):
+        db = duckdb.connect()
+        db.register("d", pa.table({"doc_id": pa.array([x[0] for x in docs], pa.int64()), "text": pa.array([x[1] for x in docs], pa.string()), "source": pa.array([x[3] for x in docs], pa.string())}))
+        db.sql("CREATE VIEW documents AS SELECT * FROM d")
+        got = db.sql(query)
+        return [dict(zip(got.columns, x, strict=True)) for x in got.fetchall()]
+
+    # language: labelled texts of more than 30 give a part to calibration, the others none
+    known = [(i, t, x) for i, t, x, _, _ in rows if x is not None and t is not None]
+    sizes = Counter(x for _, _, x in known)
+    drawn = {(q.lang, q.text): q.part for q in langid.sample(langid.labelled(df, F.lit(True)), dict(sizes), "doc_id", 600).collect()}
+    names = sorted(sizes)
+    models = [PlainModel([t for _, t, x in known if x == lang and drawn[x, t] < 2]) for lang in names]
+    alphabet = len({g[-1] for m in models for g in m.counts[4]}) + 1
+    entropies = lambda t: [m.entropy(t, alphabet) for m in models]
+    right = defaultdict(list)
+    for _, t, x in known:
+        if drawn[x, t] == 2 and has_letter(t):
+            h = entropies(t)
+            if names[int(np.argmin(h))] == x:
+                right[x].append(min(h))
+    limits = {x: float(np.quantile(v, 0.998)) + 0.6 for x, v in right.items() if len(v) >= 5}
+    stays = lambda t: has_letter(t) and min(h := entropies(t)) <= limits.get(names[int(np.argmin(h))], math.inf) + 4 / math.sqrt(len(t))
+    one = [x for x in rows if stays(x[1])]
+    assert 50 < len(one) < len(rows)
+    # near duplicates
+    first = {x["doc_id"] for x in sql(ORACLE_SQL["op7_ngram_join"], one) if x["doc_id"] == x["component_id"]}
+    two = [x for x in one if x[0] in first]
+    assert len(one) - len(two) >= 7
+    # secrets, row by row
+    kept = spark.createDataFrame(two, df.schema)
+    forest = secrets.train(words=secrets.common_words(kept))
+    masked = {q.doc_id: q.redacted for q in secrets.annotate(kept.repartition(5), forest).collect()}
+    three = [(i, masked[i], x, s, n) for i, _, x, s, n in two]
+    assert sum(a[1] != b[1] for a, b in zip(two, three)) >= 1 and not any("9233a8" in x[1] for x in three)
+    # mixing and tokens
+    copies = {x["doc_id"]: x["taken"] // x["size"] if x["size"] else 0 for x in sql(ORACLE_SQL["op3_mix_sources"], three)}
+    library = tokenizers.Tokenizer.from_file(default_path())
+    library.no_truncation()
+    library.no_padding()
+    want = []
+    for i, t, x, s, _ in three:
+        ids = library.encode(t, add_special_tokens=False).ids
+        want += [(i, s, x, len(ids), np.array(ids, "<u4").tobytes())] * copies[i]
+    got = [(q.doc_id, q.source, q.lang, q.n_tokens, bytes(q.token_ids)) for q in P.run(spark, str(tmp_path)).collect()]
+    assert len(set(copies.values())) > 1 and sorted(got, key=repr) == sorted(want, key=repr)
