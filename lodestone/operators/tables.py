@@ -40,6 +40,11 @@ def all_inside(candidates: DataFrame, refs: DataFrame, key: str, violates: Colum
     return candidates.join(refs.where(violates).select(key), key, "left_anti")
 
 
+def without(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """The different values of the keys in rows that other does not have (set difference)."""
+    return rows.select(*keys).distinct().join(other.select(*keys), keys, "left_anti")
+
+
 def outside_writes(refs: DataFrame, fields: DataFrame, key: list[str], owner: str, writer: str, method: str, constructors: Sequence[str] = ("<init>", "<clinit>")) -> DataFrame:
     """References that write a final field from another class, or from its own outside a constructor.
 

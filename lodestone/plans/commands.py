@@ -378,7 +378,7 @@ class Session:
         family = settled(C.family(defs.select(F.col("class").alias("name")), want))
         if family.isEmpty():
             raise NotFound(f"class {name} is in no image")
-        mine = defs.join(family.withColumnRenamed("name", "class"), "class", "left_semi").select("image_seq", "class_seq", F.col("class").alias("src"))
+        mine = settled(defs.join(family.withColumnRenamed("name", "class"), "class", "left_semi").select("image_seq", "class_seq", F.col("class").alias("src")))
         t = lambda table, *columns: self.a.table(table, list(columns), images=mine)
         ids = ("image_seq", "ref_kind", "ref_idx")
         used = t("refs", "image_seq", "class_seq", "ref_kind", "ref_idx")

@@ -545,4 +545,4 @@ def findrefs_lines(t: Tables) -> DataFrame:
 @query("SELECT s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) EXCEPT SELECT s_name FROM supplier WHERE s_acctbal < 0")
 def set_difference(t: Tables) -> DataFrame:
     inside = t.supplier.join(t.nation.where("n_regionkey = 1"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
-    return inside.select("s_name").distinct().join(t.supplier.where("s_acctbal < 0").select("s_name"), "s_name", "left_anti")
+    return J.without(inside, t.supplier.where("s_acctbal < 0"), ["s_name"])

@@ -370,7 +370,7 @@ class Artifacts:
 
     def table(self, name: str, columns: list[str] | None = None, images: DataFrame | None = None) -> DataFrame:
         """A table, or those of its columns that are named: no more of an image is inflated than they need.
-        images(image_seq), counted to be few or not: of these alone."""
+        images(image_seq): of these alone; they are counted, so a table of its own is best."""
         kinds = chosen(SCHEMAS[name], columns)
         if name in FILE_TABLES:
 
@@ -399,7 +399,7 @@ class Artifacts:
 
         src = self.images_raw()
         if images is not None:
-            some = settled(images.select("image_seq").distinct())
+            some = images.select("image_seq").distinct()
             src = src.join(F.broadcast(some) if some.count() <= FEW_NAMES else some, "image_seq", "left_semi")
         return src.mapInArrow(of_images, kinds)
 
