@@ -182,8 +182,7 @@ def plain_search(docs, items, k):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("few", [True, False])
-@pytest.mark.parametrize("k", [10, 3])
+@pytest.mark.parametrize(("few", "k"), [(True, 10), (False, 3)])
 def test_search_equals_all_scores(spark, monkeypatch, few, k):
     if not few:  # joins instead of broadcasts, many blocks of items
         monkeypatch.setattr(lexical, "FEW_TERMS", 0)
